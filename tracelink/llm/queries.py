@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from tracelink.llm.bpe import op7_bpe
 from tracelink.llm.mpeg import op8_mpeg
+from tracelink.llm.simhash import op6_simhash
 from tracelink.llm.token_counts import op2_token_counts
 from tracelink.llm.token_ids import op1_token_ids
 
-QUERIES = {f.__name__: f for f in (op1_token_ids, op2_token_counts, op7_bpe, op8_mpeg)}
+QUERIES = {f.__name__: f for f in (op1_token_ids, op2_token_counts, op6_simhash, op7_bpe, op8_mpeg)}
 
 SQL: dict[str, str] = {}
