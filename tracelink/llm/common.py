@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a task.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 6 << 20
 
 
 def sized(batch: pa.RecordBatch, column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
@@ -53,62 +53,98 @@ def unique_name(prefix: str, suffix: str) -> str:
 class Segments:
     """Cuts texts where no token can cross, so that equal segments are encoded once per worker.
 
-    ``cut`` is an RE2 pattern of two groups: the text is cut between them. Each text is the
-    concatenation of its segments; an empty text has one empty segment.
+    ``cut`` is an RE2 pattern of two groups: the text is cut between them, before a blank (and before
+    whatever else the pattern says, in texts that match ``hard``; other texts are cut before every
+    blank). Each text, with ``prefix`` before it, is the concatenation of its segments; without a prefix
+    an empty text has one empty segment.
     """
 
     MARK = "\x00"
 
-    def __init__(self, cut: str) -> None:
-        self.cut = cut
+    def __init__(self, cut: str, hard: str, prefix: str = "") -> None:
+        self.cut, self.hard, self.prefix = cut, hard, prefix
 
     def __call__(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """Distinct segments, code of each segment in order, and first segment of each text (plus the end)."""
-        marked = pc.replace_substring_regex(texts, pattern=self.cut, replacement=r"\1" + self.MARK + r"\2")
+        marked = pc.replace_substring(texts, pattern=" ", replacement=self.MARK + " ")
+        hard = pc.match_substring_regex(texts, pattern=self.hard)
+        if pc.any(hard).as_py():
+            marked = pc.replace_with_mask(marked, hard, pc.replace_substring_regex(texts.filter(hard), pattern=self.cut, replacement=r"\1" + self.MARK + r"\2"))
+        if self.prefix:
+            marked = pc.binary_join_element_wise(pa.scalar(self.prefix, marked.type), marked, pa.scalar("", marked.type))
         lists = pc.split_pattern(marked, self.MARK)
         odd = pc.match_substring(texts, self.MARK)
         if pc.any(odd).as_py():  # a text that holds the mark itself stays one segment
-            rows = [[t] if o else x for t, o, x in zip(texts.to_pylist(), odd.to_pylist(), lists.to_pylist(), strict=True)]
+            rows = [[self.prefix + t] if o else x for t, o, x in zip(texts.to_pylist(), odd.to_pylist(), lists.to_pylist(), strict=True)]
             lists = pa.array(rows, pa.list_(pa.large_string()))
         coded = lists.flatten().dictionary_encode()
         starts = np.asarray(lists.offsets, dtype=np.int64)
-        return coded.dictionary, np.asarray(coded.indices, dtype=np.int64), starts - starts[0]
+        return coded.dictionary, np.asarray(coded.indices), starts - starts[0]
+
+
+def strings(words: pa.Array) -> list[str]:
+    """An Arrow string array as a list; quicker than to_pylist."""
+    return words.to_numpy(zero_copy_only=False).tolist()
 
 
 class SegmentIds:
-    """Ids of segments, kept per worker: at most ``most`` segments, forgotten together when full."""
+    """Ids of segments, kept per worker in two generations of at most ``most`` segments: what is used goes
+    over to the younger one, and the older one is forgotten when the younger is full."""
 
-    def __init__(self, encode, most: int = 400_000, longest: int = 64) -> None:
+    def __init__(self, encode, most: int = 250_000, longest: int = 48) -> None:
         self.encode, self.most, self.longest = encode, most, longest
-        self.clear()
+        self.old, self.young = self._empty(), self._empty()
+
+    @staticmethod
+    def _empty() -> tuple[dict[str, int], list[np.ndarray], list[np.ndarray]]:
+        return {}, [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
 
-    def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
+    def _put(self, words: list[str], lengths: np.ndarray, ids: np.ndarray) -> None:
+        place, sizes, stored = self.young
+        place.update(zip(words, range(len(place), len(place) + len(words)), strict=True))
+        sizes.append(lengths), stored.append(ids)
 
     def gather(self, words: list[str], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the coded segments, and the number of ids of each coded segment."""
-        if len(self.place) > self.most:
-            self.clear()
-        new = [w for w in words if w not in self.place]
-        base = len(self.ids)
-        found = [np.asarray(x, dtype=np.uint32) for x in self.encode(new)] if new else []
-        kept, extra = [], {}
-        for w, x in zip(new, found, strict=True):
-            if len(w) <= self.longest:
-                self.place[w] = base + len(kept)
-                kept.append(x)
-            else:
-                extra[w] = x
-        self.ids.extend(kept)
-        own = [self.ids[self.place[w]] if w in self.place else extra[w] for w in words]
-        lengths = np.fromiter(map(len, own), dtype=np.int64, count=len(own))
-        flat = np.concatenate([*own, np.zeros(0, np.uint32)])
-        at = np.cumsum(lengths) - lengths
+        """All ids of the coded segments in order, and the number of ids of each coded segment."""
+        if len(self.young[0]) > self.most:
+            self.old, self.young = self.young, self._empty()
+        at = np.full(len(words), -1, np.int64)
+        lengths = np.zeros(len(words), np.int64)
+        parts, base = [], 0
+        for place, sizes, stored in (self.young, self.old):
+            if not place:
+                continue
+            sizes[:], stored[:] = [np.concatenate(sizes)], [np.concatenate(stored)]
+            found = np.fromiter((place.get(w, -1) for w in words), np.int64, len(words))
+            new = np.flatnonzero((found >= 0) & (at < 0))
+            ends = np.cumsum(sizes[0])
+            lengths[new] = sizes[0][found[new]]
+            at[new] = base + ends[found[new]] - lengths[new]
+            if stored is self.old[2] and len(new):
+                self._put([words[i] for i in new], lengths[new], spread(stored[0], at[new] - base, lengths[new]))
+            parts.append(stored[0])
+            base += len(stored[0])
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            own = [words[i] for i in new]
+            ids, n = self.encode(own)
+            lengths[new], at[new] = n, base + np.cumsum(n) - n
+            parts.append(ids)
+            short = np.fromiter(map(len, own), np.int64, len(own)) <= self.longest
+            kept = np.flatnonzero(short)
+            self._put([own[i] for i in kept], n[kept], spread(ids, (np.cumsum(n) - n)[kept], n[kept]))
         n = lengths[codes]
-        ends = np.cumsum(n)
-        index = np.arange(ends[-1] if len(ends) else 0) + np.repeat(at[codes] - (ends - n), n)
-        return flat[index], n
+        return spread(np.concatenate([np.zeros(0, np.uint32), *parts]), at[codes], n), n
+
+
+def spread(flat: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """flat[at[i] : at[i] + n[i]] of every i, one after the other."""
+    ends = np.cumsum(n)
+    if not len(n) or not ends[-1]:
+        return flat[:0]
+    index = np.repeat(at - (ends - n), n)
+    index += np.arange(ends[-1])
+    return flat[index]
 
 
 def sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:

@@ -25,10 +25,12 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelink.llm.common import Segments, hash_sample, sized, sums, texts_of
+from tracelink.llm.common import Segments, hash_sample, sized, strings, sums, texts_of
 
 SPACE = "▁"  # the model writes a blank so
 CUT = f"([^ {SPACE}])( )"
+#: Texts with a blank at the start or after a blank or the model's own sign for one.
+HARD = f"^ |[ {SPACE}] "
 CACHED = 500_000
 LONGEST = 64
 
@@ -69,8 +71,8 @@ def _model(path: str) -> PieceLengths:
 
 def _keys(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct pre-tokens without their first blank. A text's first pre-token gets that blank from the
-    model; an empty text has no pre-token, which the code -1 stands for."""
-    words, codes, starts = Segments(CUT)(pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string())))
+    model; ``count_tokens`` gives an empty text none."""
+    words, codes, starts = Segments(CUT, HARD, " ")(texts)
     return pc.utf8_slice_codeunits(words, 1), codes, starts
 
 
@@ -81,7 +83,7 @@ def frequent_lengths(docs: DataFrame, model: str, sample_docs: int, table_size:
     for batch in rows.to_batches():
         for part in sized(batch, "text"):
             words, codes, _ = _keys(texts_of(part, "text"))
-            counts.update(dict(zip(words.to_pylist(), np.bincount(codes, minlength=len(words)).tolist(), strict=True)))
+            counts.update(dict(zip(strings(words), np.bincount(codes, minlength=len(words)).tolist(), strict=True)))
     top = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:table_size] if w and len(w) <= LONGEST]
     sink = pa.BufferOutputStream()
     batch = pa.record_batch([pa.array(top, pa.large_string())], names=["key"])
@@ -106,7 +108,7 @@ def count_tokens(docs: DataFrame, model: str | None = None, limit: int = 4096, s
                 own = np.zeros(len(words), np.int64)
                 hit = np.asarray(at.is_valid())
                 own[hit] = lengths[np.asarray(at.drop_null())]
-                own[~hit] = _model(path)(words.filter(pa.array(~hit)).to_pylist())
+                own[~hit] = _model(path)(strings(words.filter(pa.array(~hit))))
                 size = np.asarray(pc.binary_length(texts)).astype(np.int64)
                 n = np.where(size > 0, sums(own[codes], starts), 0)
                 yield pa.record_batch([part.column("doc_id").cast(pa.int64()), pa.array(size), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])

@@ -18,6 +18,7 @@ shard; other columns of the input are ignored.
 from __future__ import annotations
 
 import hashlib
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -31,37 +32,80 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tracelink.llm.common import SegmentIds, Segments, filesystem, hash_sample, sized, texts_of, unique_name
+from tracelink.llm.common import SegmentIds, Segments, filesystem, hash_sample, sized, strings, texts_of, unique_name
 from tracelink.session import remove, work_path
 
 MAGIC = b"TLSHARD1"
 HEAD = 8 + 32 + 1
 LEVEL = 3
-#: A non-space character before a blank or line feed: the pre-tokenizer always ends a match there.
-CUT = r"([^\s\x0b\x1c-\x1f\x85\pZ])([ \n])"
+#: A non-space character before a blank: the pre-tokenizer always ends a match there.
+CUT = r"([^\s\x0b\x1c-\x1f\x85\pZ])( )"
+#: Texts with a blank at the start or after other white space.
+HARD = r"^ |[\s\x0b\x1c-\x1f\x85\pZ] "
 
-_encoders: dict[str, SegmentIds] = {}
 
+class Encoder:
+    """Encodes segments with the tokenizers library, many in one call.
 
-def _encoder(path: str) -> SegmentIds:
-    """The worker's encoder of a tokenizer file; special strings in a text stay ordinary text's ids as the file says."""
-    if path not in _encoders:
-        import os
+    Segments that start with a blank and end with another character are joined before encoding, as
+    no match crosses their borders, and told apart again by the tokens' bytes.
+    """
+
+    JOINED = 256
 
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        t = Tokenizer.from_file(path)
-        t.no_padding()
-        t.no_truncation()
-        _encoders[path] = SegmentIds(lambda words: [e.ids for e in t.encode_batch(words, add_special_tokens=False)])
-        _encoders[path].size = t.get_vocab_size(with_added_tokens=True)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_padding()
+        self.tokenizer.no_truncation()
+        self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        added = {i: len(t.content.encode()) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        tokens = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.bytes = np.zeros(self.size, np.int64)  # byte-level tokens have one character for a byte
+        for token, i in tokens.items():
+            self.bytes[i] = added.get(i, len(token))
+        self.segments = SegmentIds(self.encode)
+
+    def _call(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after the other, and the number of each word's ids."""
+        joins = np.fromiter((w[:1] == " " and not w[-1].isspace() for w in words), bool, len(words))
+        ids: list = [None] * len(words)
+        alone = np.flatnonzero(~joins).tolist()
+        together = np.flatnonzero(joins).tolist()
+        groups = [together[i : i + self.JOINED] for i in range(0, len(together), self.JOINED)]
+        for group, got in zip(groups, self._call(["".join(words[i] for i in g) for g in groups]), strict=True):
+            got = np.array(got, np.uint32)
+            ends = np.cumsum(self.bytes[got])
+            borders = np.cumsum([len(words[i].encode()) for i in group])
+            cuts = np.searchsorted(ends, borders)
+            if not len(got) or ends[-1] != borders[-1] or (ends[cuts] != borders).any():
+                alone += group  # a tokenizer that is not byte-level after all
+                continue
+            for i, a, b in zip(group, [0, *(cuts[:-1] + 1)], cuts + 1, strict=True):
+                ids[i] = got[a:b]
+        for i, got in zip(alone, self._call([words[i] for i in alone]), strict=True):
+            ids[i] = np.array(got, np.uint32)
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.concatenate([np.zeros(0, np.uint32), *ids]), n
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def _encoder(path: str) -> Encoder:
+    """The worker's encoder of a tokenizer file."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
 def encode_texts(texts: pa.Array, path: str, end_id: int) -> list[np.ndarray]:
     """Ids of each text, with ``end_id`` appended."""
-    own = _encoder(path)
-    words, codes, starts = Segments(CUT)(texts)
-    ids, n = own.gather(words.to_pylist(), codes)
+    words, codes, starts = Segments(CUT, HARD)(texts)
+    ids, n = _encoder(path).segments.gather(strings(words), codes)
     total = np.concatenate([[0], np.cumsum(n)])
     out = [np.append(ids[total[a] : total[b]], np.uint32(end_id)) for a, b in zip(starts[:-1], starts[1:], strict=True)]
     return out
