@@ -36,10 +36,10 @@ def test_landmarks_over_windows():
 
 def test_train_and_score():
     rng = np.random.default_rng(3)
-    clean = [" ".join("".join(rng.choice(list("abcdefghklmnoprstu"), rng.integers(2, 9))) for _ in range(60)) + "." for _ in range(300)]
+    clean = [" ".join("".join(rng.choice(list("abcdefghklmnoprstu"), rng.integers(2, 9))) for _ in range(60)) + "." for _ in range(380)]
     bad = [c[:150] + " " + ["moron", "clown"][i % 2] + " " + c[150:] for i, c in enumerate(clean[:100])]
-    model = tx.train(clean[100:200] + bad[:60], np.array([0] * 100 + [1] * 60))
-    s = model.scores(pa.array(clean[200:] + bad[60:] + ["", "you mo-ron!", "a m o r o n here"], pa.large_string()))
+    model = tx.train(clean[100:280] + bad[:60], np.array([0] * 180 + [1] * 60))  # the classes in the ratio that fit() takes
+    s = model.scores(pa.array(clean[280:] + bad[60:] + ["", "you mo-ron!", "a m o r o n here"], pa.large_string()))
     assert (s[:100] < 0.5).mean() > 0.97 and (s[100:140] >= 0.5).all()
     assert s[140] < 0.5 and s[142] >= 0.5
 
