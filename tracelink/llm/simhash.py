@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracelink.llm.common import sized, texts_of
 from tracelink.operators.graph import connected_components
@@ -55,15 +56,16 @@ def fingerprint(text: bytes, width: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long, of every row."""
+    """``docs`` with fp, the fingerprint of the text as a signed long, in place of any column of this name."""
+    base = docs.drop("fp")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sized(batch, "text"):
                 fps = np.fromiter((fingerprint(x.as_py(), width) for x in texts_of(part, "text").cast(pa.large_binary())), np.uint64, part.num_rows)
-                yield pa.record_batch([part.column("doc_id").cast(pa.int64()), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fps.view(np.int64))], names=[*part.schema.names, "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(mark, "doc_id long, fp long")
+    return base.mapInArrow(mark, T.StructType([*base.schema.fields, T.StructField("fp", T.LongType())]))
 
 
 def segments(count: int, distance: int) -> list[tuple[int, int, int]]:
@@ -159,15 +161,31 @@ def links(distinct: DataFrame, distance: int = 4, count: int = 3, hot_rows: int
     return rows.repartition(*keys).sortWithinPartitions(*keys, "probe").mapInArrow(meet, "src long, dst long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, count: int = 3, hot_rows: int = 20_000) -> DataFrame:
-    """doc_id, fp, fingerprint (16 hex digits) and component_id of every row of ``docs``."""
-    marked = written(fingerprints(docs, width), "fingerprints")
+def components(marked: DataFrame, distance: int = 4, count: int = 3, hot_rows: int = 20_000) -> DataFrame:
+    """(fp, root, component_id) of every distinct fp of ``marked`` (doc_id, fp): the component's smallest
+    fingerprint and smallest doc_id."""
     distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     found = connected_components(links(distinct.select("fp"), distance, count, hot_rows))
     roots = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    component = roots.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return marked.join(component, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return roots.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, count: int = 3, hot_rows: int = 20_000) -> DataFrame:
+    """doc_id, fp, fingerprint (16 hex digits) and component_id of every row of ``docs``."""
+    marked = written(fingerprints(docs.select(F.col("doc_id").cast("long"), "text"), width).select("doc_id", "fp"), "fingerprints")
+    own = components(marked, distance, count, hot_rows).select("fp", "component_id")
+    return marked.join(own, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def first_of_each(docs: DataFrame, **options) -> DataFrame:
+    """One row of each component, all columns kept: of the rows with the component's smallest doc_id (null, if
+    none has one) that with the smallest hash of its text. For tables whose doc_ids repeat or are missing."""
+    marked = written(fingerprints(docs), "fingerprinted", compression="zstd")
+    own = components(marked.select("doc_id", "fp"), **options)
+    rows = marked.join(own, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = rows.groupBy("root").agg(F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64("text"), *docs.columns)).alias("row"))
+    return first.select("row.*")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
