@@ -11,7 +11,8 @@ from tracelink.llm.token_ids import op1_token_ids
 from tracelink.llm.topk import OP5_SQL, op5_mtree
 from tracelink.llm.toxicity import op4_toxicity
 from tracelink.llm.warc import OP3_SQL, op3_warc
+from tracelink.llm.wrappers import op9_wrappers
 
-QUERIES = {f.__name__: f for f in (op1_token_ids, op2_token_counts, op3_warc, op4_toxicity, op5_mtree, op6_simhash, op7_bpe, op8_mpeg, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_token_ids, op2_token_counts, op3_warc, op4_toxicity, op5_mtree, op6_simhash, op7_bpe, op8_mpeg, op9_wrappers, op10_mixing)}
 
 SQL: dict[str, str] = {"op3_warc": OP3_SQL, "op5_mtree": OP5_SQL, "op10_mixing": OP10_SQL}
