@@ -1,11 +1,11 @@
-"""Connected components by alternating star contraction."""
+"""Graphs over clusters and values: components, rings, communities, indexes, place clusters."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelink.session import shared_dir
+from tracelink.session import shared_dir, written
 
 
 def _min_neighbour(pairs: DataFrame) -> DataFrame:
@@ -53,3 +53,101 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     return nodes.join(stars, "u", "left").select(F.col("u").alias("node"), F.coalesce("v", "u").alias("component"))
+
+
+def component_sizes(components: DataFrame) -> DataFrame:
+    """(size, components): how many components have each size."""
+    return components.groupBy("component").agg(F.count(F.lit(1)).alias("size")).groupBy("size").agg(F.count(F.lit(1)).alias("components"))
+
+
+def expand_rings(seeds: DataFrame, links: DataFrame, rings: int, cap: int | None = None) -> DataFrame:
+    """(node, ring): nodes within ``rings`` - 1 undirected steps of the seeds, with the first ring they appear in.
+
+    ``seeds`` has node, ``links`` src and dst. No step starts once there are more than ``cap`` nodes, and
+    of the last ring the smallest ids up to ``cap`` stay. Each ring is one join with what is new.
+    """
+    shared_dir(seeds.sparkSession)
+    both = links.select(F.col("src").alias("node"), F.col("dst").alias("next")).unionByName(links.select(F.col("dst").alias("node"), F.col("src").alias("next")))
+    seen = seeds.select("node").distinct().withColumn("ring", F.lit(0)).checkpoint()
+    for ring in range(1, rings):
+        n = seen.count()
+        if cap is not None and n >= cap:
+            break
+        new = both.join(seen.where(F.col("ring") == ring - 1).select("node"), "node", "left_semi").select(F.col("next").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
+        if cap is not None:
+            new = new.orderBy("node").limit(cap - n)
+        grown = seen.unionByName(new.withColumn("ring", F.lit(ring))).checkpoint()
+        if grown.count() == n:
+            break
+        seen = grown
+    return seen
+
+
+def link_reasons(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(src, dst, reasons): links between shown nodes with all shared values, in order, comma-joined."""
+    own = links.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
+    return own.groupBy("src", "dst").agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
+
+
+def search_graph(hits: DataFrame, members: DataFrame, links: DataFrame, max_nodes: int = 400, max_links: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Nodes (node, matches) and edges (src, dst) of a search: the clusters of its hits - the ``max_nodes`` with most
+    matches - and at most ``max_links`` links of each, smallest ids first."""
+    nodes = members.join(hits.select("record_id").distinct(), "record_id").groupBy(F.col("cluster_id").alias("node")).agg(F.count_distinct("record_id").alias("matches")).orderBy(F.desc("matches"), "node").limit(max_nodes)
+    pairs = links.select("src", "dst").distinct().join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
+    rank = F.row_number().over(Window.partitionBy("src").orderBy("dst"))
+    return nodes, pairs.withColumn("r", rank).where(F.col("r") <= max_links).drop("r")
+
+
+def geo_kmeans(df: DataFrame, k: int = 100, max_rounds: int = 100) -> DataFrame:
+    """(lat, lon, count) of clusters of points (lat, lon), weighted by ``count`` if there is one: squared-degree distance, starting
+    from a grid over the extent, until no centre moves. The ``k`` centres are all that the driver holds."""
+    points = df.groupBy("lat", "lon").agg((F.sum("count") if "count" in df.columns else F.count(F.lit(1))).alias("n")).where("lat IS NOT NULL AND lon IS NOT NULL")
+    lo_lat, hi_lat, lo_lon, hi_lon = points.agg(F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon")).first()
+    if lo_lat is None:
+        return points.select("lat", "lon", F.col("n").alias("count"))
+    side = max(1, round(k**0.5))
+    centres = [(lo_lat + (hi_lat - lo_lat) * (i + 0.5) / side, lo_lon + (hi_lon - lo_lon) * (j + 0.5) / side) for i in range(side) for j in range(side)]
+    for _ in range(max_rounds):
+        gaps = [F.struct((F.pow(F.col("lat") - a, 2) + F.pow(F.col("lon") - b, 2)).alias("d"), F.lit(i).alias("i")) for i, (a, b) in enumerate(centres)]
+        nearest = F.array_min(F.array(*gaps))["i"]
+        means = points.groupBy(nearest.alias("i")).agg((F.sum(F.col("lat") * F.col("n")) / F.sum("n")).alias("lat"), (F.sum(F.col("lon") * F.col("n")) / F.sum("n")).alias("lon"), F.sum("n").alias("count")).collect()
+        moved = sorted((round(r.lat, 9), round(r.lon, 9), r["count"]) for r in means)  # empty clusters drop out
+        now = [(a, b) for a, b, _ in moved]
+        if now == centres:
+            break
+        centres = now
+    return df.sparkSession.createDataFrame([(float(a), float(b), int(n)) for a, b, n in moved], "lat double, lon double, count long")
+
+
+def communities(edges: DataFrame, max_rounds: int = 20) -> DataFrame:
+    """(node, community) by label propagation on (src, dst, weight): in each round a node takes the label with the most
+    weight among itself and its neighbours, ties to the smallest; stops when nothing changes."""
+    shared_dir(edges.sparkSession)
+    both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).where("src <> dst")
+    both = both.groupBy("src", "dst").agg(F.sum("weight").alias("weight")).checkpoint()
+    labels = both.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node")).checkpoint()
+    for _ in range(max_rounds):
+        votes = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy("src", "community").agg(F.sum("weight").alias("w"))
+        votes = votes.unionByName(labels.select(F.col("node").alias("src"), "community", F.lit(0.5).cast(votes.schema["w"].dataType).alias("w"))).groupBy("src", "community").agg(F.sum("w").alias("w"))
+        new = votes.groupBy(F.col("src").alias("node")).agg(F.min_by("community", F.struct(-F.col("w"), F.col("community"))).alias("community")).checkpoint()
+        same = new.join(labels.withColumnRenamed("community", "before"), "node").where("community <> before").isEmpty()
+        labels = new
+        if same:
+            break
+    return labels
+
+
+def cluster_values(members: DataFrame, identifiers: DataFrame) -> DataFrame:
+    """(cluster_id, attribute, value, count): distinct records of a cluster with a value; grouping by either side gives
+    the index in that direction."""
+    return members.join(identifiers, "record_id").groupBy("cluster_id", "attribute", "value").agg(F.count_distinct("record_id").alias("count"))
+
+
+def attribute_ids(identifiers: DataFrame) -> DataFrame:
+    """(attribute_id, attribute, value): every distinct value numbered from 1 in order of attribute and value. Values
+    are sorted in ranges, and a range starts where the ranges before it end: no task sees them all."""
+    ranged = identifiers.select("attribute", "value").distinct().repartitionByRange("attribute", "value").sortWithinPartitions("attribute", "value")
+    parts = written(ranged.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "ranges")
+    sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return parts.join(before, "part").select((F.col("before") + F.col("at") + 1).alias("attribute_id"), "attribute", "value")
