@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -202,26 +203,38 @@ def logistic(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
+def _starts(words: set[bytes]) -> set[bytes]:
+    """Word starts of 4 to 9 bytes, and whole words of 4 to 12."""
+    return {START + w[:k] for w in words for k in range(4, min(len(w), 9) + 1)} | {START + w + END for w in words if 4 <= len(w) <= 12}
+
+
 def choose_landmarks(docs: list[set[bytes]], toxic: np.ndarray, most: int) -> list[bytes]:
-    """Word starts of 4 to 9 bytes and whole words that mark toxic documents, none the start of another."""
-    n = [Counter(), Counter()]
-    held: dict[bytes, set[int]] = defaultdict(set)
-    for i, (words, t) in enumerate(zip(docs, toxic, strict=True)):
-        own = {START + w[:k] for w in words for k in range(4, min(len(w), 9) + 1)} | {START + w + END for w in words if 4 <= len(w) <= 12}
-        n[int(t)].update(own)
-        if t:
-            for s in own:
-                held[s].add(i)
+    """Word starts and whole words that mark toxic documents, none the start of another.
+
+    One is of use if one toxic document in fifty (three at least) has it, copies of each other not
+    counted, and as good as no clean one. Counts of hashes go first, so only strings that can be of use are held.
+    """
     positive = int(toxic.sum())
-    scale = positive / max(1, len(docs) - positive)
-    # a string is of use if one toxic document in fifty (three at least) has it, copies of each other not
-    # counted, and as good as no clean one
     need = max(3, int(0.02 * positive))
-    able = sorted((s for s, k in n[1].items() if k >= need and n[0][s] * scale <= 0.002 * k), key=lambda s: (-n[1][s] * (1 + 0.05 * len(s)), s))
+    slots = np.zeros(1 << 22, np.int32)
+    for i in np.flatnonzero(toxic):
+        own = np.fromiter({zlib.crc32(s) & 0x3FFFFF for s in _starts(docs[i])}, np.int64)
+        slots[own] += 1
+    held: dict[bytes, list[int]] = defaultdict(list)
+    for i in np.flatnonzero(toxic).tolist():
+        for s in _starts(docs[i]):
+            if slots[zlib.crc32(s) & 0x3FFFFF] >= need:
+                held[s].append(i)
+    held = {s: ids for s, ids in held.items() if len(ids) >= need}
+    clean: Counter = Counter()
+    for i in np.flatnonzero(toxic == 0):
+        clean.update(s for s in _starts(docs[i]) if s in held)
+    scale = positive / max(1, len(docs) - positive)
+    able = sorted((s for s, ids in held.items() if clean[s] * scale <= 0.002 * len(ids)), key=lambda s: (-len(held[s]) * (1 + 0.05 * len(s)), s))
     chosen: list[bytes] = []
     for s in able:
         stem = s.rstrip(END)
-        if len(chosen) < most and not any(stem.startswith(x.rstrip(END)) or x.rstrip(END).startswith(stem) for x in chosen) and _differ(docs, sorted(held[s]), need):
+        if len(chosen) < most and not any(stem.startswith(x.rstrip(END)) or x.rstrip(END).startswith(stem) for x in chosen) and _differ(docs, held[s], need):
             chosen.append(s)
     return chosen
 
@@ -263,16 +276,22 @@ def train(texts: list[str], toxic: np.ndarray, most: int = 48, rounds: int = 3,
     if not 0 < toxic.sum() < len(toxic):
         share = float(toxic.mean()) if len(toxic) else 0.0
         return Model(None, None, 1.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
-    words = Words(pa.array(texts, pa.large_string()))
-    held: list[set[bytes]] = [set() for _ in texts]
-    for d, c in zip(words.document.tolist(), words.codes.tolist(), strict=True):
-        held[d].add(words.words[c])
+    chunks = [pa.array(texts[i : i + 256], pa.large_string()) for i in range(0, len(texts), 256)]
+    held: list[set[bytes]] = []
+    for chunk in chunks:
+        words, own = Words(chunk), [set() for _ in chunk]
+        for d, c in zip(words.document.tolist(), words.codes.tolist(), strict=True):
+            own[d].add(words.words[c])
+        held += own
     chosen = choose_landmarks(held, toxic, most)
+    del held
     if not chosen:  # nothing tells the classes apart
         share = float(toxic.mean())
         return Model(None, None, 1.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
     landmarks = Landmarks(chosen)
-    document, _, values = words.features(landmarks)
+    found = [Words(chunk).features(landmarks) for chunk in chunks]
+    document = np.concatenate([d + 256 * i for i, (d, *_) in enumerate(found)])
+    values = np.concatenate([v for *_, v in found])
     rng = random.Random(seed)
     padded = []
     for s in chosen:
@@ -295,7 +314,7 @@ def train(texts: list[str], toxic: np.ndarray, most: int = 48, rounds: int = 3,
         c = np.concatenate([np.where(y[: -1 - len(extra)] == 1, 1 / n1, 1 / n0), np.full(len(extra), 0.5 / max(1, len(extra))), [1.0]]) * 100
         weights = support_vector_machine(x, y, c)
     model = Model(landmarks, weights, 1.0, 0.0)
-    model.slope, model.offset = logistic(model.decisions(pa.array(texts, pa.large_string())), toxic)
+    model.slope, model.offset = logistic(np.concatenate([model.decisions(chunk) for chunk in chunks]), toxic)
     return model
 
 
