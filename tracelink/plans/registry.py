@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that hold QUERIES (name -> function of session and folder) and SQL (name -> DuckDB text).
-MODULES: tuple[str, ...] = ("filter_text", "joining", "volumes")
+MODULES: tuple[str, ...] = ("filter_text", "joining", "volumes", "linking", "storing")
 
 
 def _merged(attribute: str) -> dict:
