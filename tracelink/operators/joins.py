@@ -134,16 +134,16 @@ def similar_pairs(df: DataFrame, column: str, block: str, max_distance: float =
 
 
 def geocode(df: DataFrame, places: DataFrame, key: str, column: str) -> DataFrame:
-    """(key, place, name, by): the place a text names. Its comma parts are looked up as cities, a part that is
+    """(key, place, name, found_as): the place a text names. Its comma parts are looked up as cities, a part that is
     the city's state preferred, then the most populous; else as states."""
     parts = df.select(key, F.posexplode(F.transform(F.split(F.lower(column), ","), lambda p: F.trim(p))).alias("pos", "part"))
     city = parts.join(places.select("place", "name", "state", "population"), parts["part"] == F.lower("name"))
     states = parts.select(F.col(key).alias("_k"), F.col("part").alias("_named")).distinct()
     city = city.join(states, (city[key] == states["_k"]) & (F.lower("state") == states["_named"]), "left").withColumn("fits", F.col("_k").isNotNull())
     best = Window.partitionBy(key).orderBy(F.desc("fits"), F.desc("population"), "place")
-    cities = city.withColumn("rank", F.row_number().over(best)).where("rank = 1").select(key, "place", "name", F.lit("city").alias("by"))
+    cities = city.withColumn("rank", F.row_number().over(best)).where("rank = 1").select(key, "place", "name", F.lit("city").alias("found_as"))
     state = parts.join(places.groupBy(F.lower("state").alias("part")).agg(F.min("state").alias("name")), "part").groupBy(key).agg(F.min_by("name", "pos").alias("name"))
-    rest = state.join(cities.select(key), key, "left_anti").select(key, F.lit(None).cast("int").alias("place"), "name", F.lit("state").alias("by"))
+    rest = state.join(cities.select(key), key, "left_anti").select(key, F.lit(None).cast("int").alias("place"), "name", F.lit("state").alias("found_as"))
     return cities.unionByName(rest)
 
 

@@ -141,7 +141,7 @@ def d17(spark, sf):
 _WHERE = "CASE WHEN s_suppkey % 3 = 0 THEN 'Old Town, ' || n_name || ', ' || r_name WHEN s_suppkey % 3 = 1 THEN n_name ELSE 'Nowhere, ' || r_name END"
 
 
-@query("d18_geocode", sql("places", f", t AS (SELECT s_suppkey AS k, {_WHERE} AS w FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey), q AS (SELECT k, trim(unnest(string_split(lower(w), ','))) AS part FROM t), c AS (SELECT k, place, name, 'city' AS by, row_number() OVER (PARTITION BY k ORDER BY lower(state) IN (SELECT part FROM q x WHERE x.k = q.k) DESC, population DESC, place) AS r FROM q JOIN places ON part = lower(name)) SELECT k, place, name, by FROM c WHERE r = 1 UNION ALL SELECT k, NULL, state, 'state' FROM (SELECT DISTINCT k, state FROM q JOIN places ON part = lower(state)) WHERE k NOT IN (SELECT k FROM c)"))
+@query("d18_geocode", sql("places", f", t AS (SELECT s_suppkey AS k, {_WHERE} AS w FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey), q AS (SELECT k, trim(unnest(string_split(lower(w), ','))) AS part FROM t), c AS (SELECT k, place, name, 'city' AS found_as, row_number() OVER (PARTITION BY k ORDER BY lower(state) IN (SELECT part FROM q x WHERE x.k = q.k) DESC, population DESC, place) AS r FROM q JOIN places ON part = lower(name)) SELECT k, place, name, found_as FROM c WHERE r = 1 UNION ALL SELECT k, NULL, state, 'state' FROM (SELECT DISTINCT k, state FROM q JOIN places ON part = lower(state)) WHERE k NOT IN (SELECT k FROM c)"))
 def d18(spark, sf):
     s, n, r = (table(spark, sf, t) for t in ("supplier", "nation", "region"))
     rows = s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).select(F.col("s_suppkey").alias("k"), F.expr(_WHERE).alias("w"))

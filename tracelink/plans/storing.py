@@ -76,7 +76,7 @@ def a7(spark, sf):
 @query("a8_clean_dimension", "SELECT CAST(p_partkey AS BIGINT) AS id, trim(p_name) AS name, CASE WHEN p_size % 3 = 0 THEN 0 ELSE p_size END AS size FROM part")
 def a8(spark, sf):
     raw = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("id"), F.concat(F.lit(" "), "p_name").alias("name"), F.when(F.col("p_size") % 3 == 0, F.when(F.col("p_size") % 2 == 0, "null").otherwise("")).otherwise(F.col("p_size").cast("string")).alias("size"))
-    return s.clean_dimension(raw, T.StructType().add("id", "long").add("name", "string").add("size", "int"))
+    return s.clean_dimension(raw, T.StructType().add("id", "long").add("name", "string").add("size", "integer"))
 
 
 @query("a11_profiles_to_json")

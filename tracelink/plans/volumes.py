@@ -43,7 +43,7 @@ def own_facets(spark, sf):
     return a.facet_counts(members(spark, sf), own_records(spark, sf), FACETS, ["cluster_id"])
 
 
-@query("a4_count_containing", "SELECT count_if(contains(text, 'the')) AS n_0, count_if(contains(text, 'License')) AS n_1, count_if(contains(text, '@')) AS n_2 FROM documents")
+@query("a4_count_containing", "SELECT CAST(count_if(contains(text, 'the')) AS BIGINT) AS n_0, CAST(count_if(contains(text, 'License')) AS BIGINT) AS n_1, CAST(count_if(contains(text, '@')) AS BIGINT) AS n_2 FROM documents")
 def a4(spark, sf):
     return a.count_containing(table(spark, sf, "documents"), "text", ["the", "License", "@"])
 
