@@ -91,7 +91,7 @@ class SegmentIds:
     """Ids of segments, kept per worker in two generations of at most ``most`` segments: what is used goes
     over to the younger one, and the older one is forgotten when the younger is full."""
 
-    def __init__(self, encode, most: int = 250_000, longest: int = 48) -> None:
+    def __init__(self, encode, most: int = 120_000, longest: int = 48) -> None:
         self.encode, self.most, self.longest = encode, most, longest
         self.old, self.young = self._empty(), self._empty()
 

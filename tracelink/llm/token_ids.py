@@ -38,6 +38,8 @@ from tracelink.session import remove, work_path
 MAGIC = b"TLSHARD1"
 HEAD = 8 + 32 + 1
 LEVEL = 3
+#: Bytes of text encoded at once: with smaller parts a worker holds less and is no slower.
+BATCH = 3 << 20
 #: A non-space character before a blank: the pre-tokenizer always ends a match there.
 CUT = r"([^\s\x0b\x1c-\x1f\x85\pZ])( )"
 #: Texts with a blank at the start or after other white space.
@@ -146,7 +148,7 @@ def write_shards(
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary))
         for batch in batches:
-            for part in sized(batch, "text"):
+            for part in sized(batch, "text", BATCH):
                 ids = encode_texts(texts_of(part, "text"), path, end_id)
                 yield pa.record_batch([part.column("doc_id").cast(pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([packer.compress(x.astype(kind).tobytes()) for x in ids], pa.binary())], names=["doc_id", "n_tokens", "frame"])
 
