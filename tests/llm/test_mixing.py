@@ -35,3 +35,10 @@ def test_edge_cases(spark):
     twice = [r.selected for r in mixing.mix(df, keep=0.5).where("doc_id = 1").collect()]
     assert twice[0] == twice[1]
     assert mixing.mix(df.limit(0)).count() == 0
+
+
+def test_joined_alike_with_and_without_broadcast(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    few = rows_of(mixing.mix(docs, rounds=2).select("doc_id", "selected"))
+    monkeypatch.setattr(mixing, "SMALL", 0)
+    assert rows_of(mixing.mix(docs, rounds=2).select("doc_id", "selected")) == few

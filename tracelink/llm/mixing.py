@@ -32,6 +32,8 @@ TOPICS = (("licence", "icensed under"), ("table", " | "), ("contact", "@"), ("sh
 MARGINS = ("source", "lang", "topic")
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = "mix"
+#: Cells up to this number are broadcast to the documents; more are joined by shuffling.
+SMALL = 50_000
 
 
 def topic(text: Column, rules=TOPICS) -> Column:
@@ -109,6 +111,8 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     names = [f"mix_{m}" for m in MARGINS]
     weight = F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(F.lit(0.0))
     rates = p.select(*names, weight.alias("weight"), F.col("p").alias("probability"))
+    if rates.count() <= SMALL:  # else texts would be shuffled to meet a table that fits everywhere
+        rates = F.broadcast(rates)
     base = docs.drop("topic", "weight", "probability", "selected", *names)
     rules = options.get("rules", TOPICS)
     return with_cells(base, rules).join(rates, names).withColumn("selected", draw(F.col("doc_id")) < F.col("probability")).withColumnRenamed("mix_topic", "topic").drop("mix_source", "mix_lang")
