@@ -11,7 +11,7 @@ sources, languages and topics are thinned, small ones kept. The topic is the fir
 the text contains.
 
 Every step is an aggregate or an equi join on cells: tokens are pre-aggregated map-side, margins are
-small or joined by key, and the join back to the documents may be split where a cell is hot.
+small or joined by key (see ``rake``), and the join back to the documents may be split where a cell is hot.
 
 Edge cases: a null source or language counts as ``unknown``; a null or blank text has 0 tokens, and so
 does not move the weights; a cell without tokens, or with target 0, has probability 0 (a
@@ -22,7 +22,7 @@ columns are kept, and columns named like the added ones are replaced.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelink.session import shared_dir
@@ -32,7 +32,7 @@ TOPICS = (("licence", "icensed under"), ("table", " | "), ("contact", "@"), ("sh
 MARGINS = ("source", "lang", "topic")
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = "mix"
-#: Cells up to this number are broadcast to the documents; more are joined by shuffling.
+#: Cells up to this number are raked in one partition and broadcast to the documents; more are shuffled.
 SMALL = 50_000
 
 
@@ -60,13 +60,24 @@ def tempered(cells: DataFrame, margin: str, temper: float) -> DataFrame:
     return cells.groupBy(margin).agg(F.sum("tokens").alias("n")).where("n > 0").select(margin, F.pow(F.col("n").cast("double"), F.lit(temper)).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int, total: float) -> DataFrame:
-    """``cells`` with w: token weights whose margins meet the targets (the last margin exactly)."""
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int, total: float, few: bool) -> DataFrame:
+    """``cells`` with w: token weights whose margins meet the targets (the last margin exactly).
+
+    ``few`` cells, in one partition, are raked by windows in one job. Of more cells the margins are aggregated
+    map-side and joined back, so that no task holds a whole margin.
+    """
     scaled = {}
     for m, t in targets.items():
-        whole = t.agg(F.sum("target")).first()[0] or 1.0
+        whole = t.agg(F.sum("target")).first()[0] or 1.0  # one number per margin
         scaled[m] = t.select(m, (F.col("target") * F.lit(total / whole)).alias("target"))
     w = cells.withColumn("w", F.col("tokens").cast("double"))
+    if few:
+        for m, t in scaled.items():
+            w = w.join(F.broadcast(t.withColumnRenamed("target", f"{m}_target")), m, "left")
+        for m in [*scaled] * rounds:
+            now = F.sum("w").over(Window.partitionBy(m))
+            w = w.withColumn("w", F.col("w") * F.when(now > 0, F.coalesce(f"{m}_target", F.lit(0.0)) / now).otherwise(0.0))
+        return w.select(*cells.columns, "w").checkpoint()
     for _ in range(rounds):
         for m, t in scaled.items():
             now = w.groupBy(m).agg(F.sum("w").alias("now")).join(t, m, "left").select(m, F.when(F.col("now") > 0, F.coalesce("target", F.lit(0.0)) / F.col("now")).otherwise(0.0).alias("factor"))
@@ -83,7 +94,9 @@ def calibrate(cells: DataFrame, keep: float, total: float, steps: int) -> float:
         capped, rest = cells.agg(F.sum(F.when(full, F.col("tokens")).otherwise(0)), F.sum(F.when(full, 0.0).otherwise(F.col("w")))).first()
         if not rest:
             break
-        f = (keep * total - capped) / rest
+        before, f = f, (keep * total - capped) / rest
+        if f == before:  # no further cell is full
+            break
     return f or 0.0
 
 
@@ -97,9 +110,12 @@ def probabilities(docs: DataFrame, keep: float = 0.7, temper: float = 0.7, round
     names = [f"mix_{m}" for m in MARGINS]
     words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
     cells = with_cells(docs, rules).groupBy(*names).agg(F.sum(words).alias("tokens")).checkpoint()
-    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    n, total = cells.agg(F.count(F.lit(1)), F.sum("tokens")).first()
+    total = float(total or 0)
+    if n <= SMALL:  # few cells rake fastest in one partition: no step needs a shuffle
+        cells = cells.coalesce(1).checkpoint()
     own = {m: (targets or {}).get(m, None) for m in names}
-    w = rake(cells, {m: tempered(cells, m, temper) if t is None else t for m, t in own.items()}, rounds, total)
+    w = rake(cells, {m: tempered(cells, m, temper) if t is None else t for m, t in own.items()}, rounds, total, n <= SMALL)
     f = calibrate(w, keep, total, steps)
     p = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.lit(f) * F.col("w") / F.col("tokens"))).otherwise(F.lit(keep))
     return w.withColumn("p", p)
