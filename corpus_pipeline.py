@@ -8,9 +8,8 @@ works on all that the one before kept; all but the last return the columns of ``
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tracelink.llm import bpe, mixing, simhash, toxicity
+from tracelink.llm import bpe, mixing, near_copies, toxicity
 from tracelink.session import written
 
 
@@ -20,12 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: that with the smallest doc_id."""
-    n, ids = docs.agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
-    if n != ids:  # an id repeats or is missing: rows can't be told apart by it
-        return simhash.first_of_each(docs)
-    keep = simhash.near_duplicates(docs).where("doc_id = component_id")
-    return docs.join(keep.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    """One document of each component of near copies (five-word Jaccard of 0.8 or more): that with the smallest doc_id."""
+    return near_copies.first_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

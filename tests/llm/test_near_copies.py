@@ -1,0 +1,69 @@
+import random
+from itertools import combinations
+
+import numpy as np
+
+import corpus_pipeline
+from tracelink.llm import near_copies, simhash
+
+
+def plain(text):
+    words = (text or "").lower().split()
+    return frozenset(" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def first_ids(rows):
+    """Smallest id of each component of (id, text), by comparing all pairs that share a shingle."""
+    sets, holders = {i: plain(t) for i, t in rows}, {}
+    for i, s in sets.items():
+        for x in s or [""]:
+            holders.setdefault(x, []).append(i)
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in {p for ids in holders.values() for p in combinations(ids, 2)}:
+        if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])):
+            a, b = top(a), top(b)
+            root[max(a, b)] = min(a, b)
+    return {top(i) for i in root}
+
+
+def test_similar_texts_far_apart_in_bits(spark):
+    """Copies with an edit differ in more than 4 bits of their fingerprints, yet are near copies."""
+    rng = random.Random(5)
+    rows = []
+    for g in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(60)]
+        rows.append((g * 10, " ".join(words)))
+        words[30] = "changed"
+        rows.append((g * 10 + 1, " ".join(words).upper()))
+    fps = np.array([simhash.fingerprint(t.encode()) for _, t in rows], np.uint64)
+    assert (np.bitwise_count(fps[::2] ^ fps[1::2]) > 4).any()
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert sorted(r.doc_id for r in got.collect()) == [g * 10 for g in range(12)] and got.columns == docs.columns
+
+
+def test_against_brute_force(spark):
+    rng = random.Random(8)
+    line = [f"license{i}" for i in range(30)]
+    rows = [(0, None), (1, " "), (2, "one two"), (3, "ONE two"), (4, "one two three")]
+    for g in range(40):
+        words = [f"w{rng.randrange(400)}" for _ in range(rng.randrange(3, 90))] + line * (g % 3 == 0)
+        for _ in range(rng.choice([1, 2, 5, 12])):
+            rows.append((len(rows), " ".join(words)))
+            for _ in range(rng.randrange(0, 3)):
+                words[rng.randrange(len(words))] = f"w{rng.randrange(400)}"
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_copies.first_of_each(docs).collect()) == sorted(first_ids(rows))
+
+
+def test_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = first_ids([(r.doc_id, r.text) for r in docs.collect()])
+    assert {r.doc_id for r in near_copies.first_of_each(docs).collect()} == want

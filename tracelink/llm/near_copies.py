@@ -1,0 +1,173 @@
+"""Near copies by shingles: an exact self-join on Jaccard similarity, as components.
+
+A text stands for the set of its shingles (``WIDTH`` words of the lower-cased text; a shorter text is one
+shingle), held as sorted 64-bit hashes; equal sets are one node. Two sets of sizes m and n are similar if
+their Jaccard coefficient is at least 4/5, that is if 9 * shared >= 4 * (m + n). In any one order of all
+hashes, two similar sets share a hash among the first n - ceil(4n/5) + 1 of each (prefix filter), so
+the nodes meet in buckets of prefix hashes and no similar pair is missed. The order puts hashes that a
+sample finds often last: this decides the size of buckets, not the result.
+
+Inside a bucket each node is first held against its smallest node. Similar pairs join components; buckets with
+one component are done, and in the others every pair of different components whose sizes allow it is held
+against each other. So a group of near copies costs links in proportion to its size.
+
+Edge cases: blank and null texts are one node with an empty set; texts with equal hash sets are equal; rows with
+the same doc_id are rows of their own; an empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tracelink.llm.common import sized, texts_of
+from tracelink.operators.graph import connected_components
+from tracelink.session import written
+
+WIDTH = 5
+#: A hash in more than ``OFTEN`` sets of the sample of one set in ``SAMPLE`` goes last; of those, at most ``MOST`` are shipped.
+SAMPLE, OFTEN, MOST = 8, 2, 500_000
+
+
+def shingles(text: str) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted."""
+    words = [w.encode() for w in text.lower().split()]
+    if not words:
+        return np.zeros(0, np.int64)
+    joined = b" ".join(words)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    starts = np.cumsum(lengths + 1) - lengths - 1
+    width = min(WIDTH, len(words))
+    begin, end = starts[: len(words) - width + 1].tolist(), (starts + lengths)[width - 1 :].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b]) for a, b in zip(begin, end, strict=True)), np.uint64, len(begin)).view(np.int64))
+
+
+def prefix(n: int) -> int:
+    """How many hashes of a set of n hold one that is shared with any similar set."""
+    return n - (4 * n + 4) // 5 + 1 if n else 0
+
+
+def node(own: np.ndarray) -> int:
+    """The set's own hash as a signed long; 0 for the empty set."""
+    return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes())).view(np.int64)) if len(own) else 0
+
+
+def lists(rows: list[np.ndarray]) -> pa.Array:
+    """Arrays of longs as a list column."""
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *rows])))
+
+
+def marked(docs: DataFrame, often: np.ndarray) -> DataFrame:
+    """doc_id, node, n and prefix of every row: the set's size and its first hashes, those in ``often`` (sorted) last."""
+    shared = docs.sparkSession.sparkContext.broadcast(often)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = shared.value
+        for batch in batches:
+            for part in sized(batch, "text"):
+                nodes, sizes, out = [], [], []
+                for x in texts_of(part, "text"):
+                    own = shingles(x.as_py())
+                    nodes.append(node(own)), sizes.append(len(own))
+                    if len(last) and len(own):
+                        late = last[np.minimum(np.searchsorted(last, own), len(last) - 1)] == own
+                        own = np.concatenate([own[~late], own[late]])
+                    out.append(own[: prefix(len(own))])
+                yield pa.record_batch([part.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), lists(out)], names=["doc_id", "node", "n", "prefix"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, n long, prefix array<long>")
+
+
+def hashed(docs: DataFrame) -> DataFrame:
+    """node and hashes, the whole set, of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sized(batch, "text"):
+                sets = [shingles(x.as_py()) for x in texts_of(part, "text")]
+                yield pa.record_batch([pa.array([node(x) for x in sets], pa.int64()), lists(sets)], names=["node", "hashes"])
+
+    return docs.select("text").mapInArrow(run, "node long, hashes array<long>")
+
+
+def with_node(docs: DataFrame) -> DataFrame:
+    """``docs`` with node in place of any column of this name."""
+    base = docs.drop("node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sized(batch, "text"):
+                own = pa.array([node(shingles(x.as_py())) for x in texts_of(part, "text")], pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.columns, own], names=[*part.schema.names, "node"])
+
+    return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField("node", T.LongType())]))
+
+
+def _with_both(pairs: DataFrame, rows: DataFrame, column: str) -> DataFrame:
+    """``pairs`` (src, dst) with ``column`` of both nodes as a and b; a node may have several equal rows."""
+    met = pairs.select(F.col("src").alias("node")).unionByName(pairs.select(F.col("dst").alias("node"))).distinct()
+    own = written(rows.join(met, "node", "left_semi").groupBy("node").agg(F.first(column).alias("a")), column, compression="zstd")
+    return pairs.join(own.withColumnRenamed("node", "src"), "src").join(own.select(F.col("node").alias("dst"), F.col("a").alias("b")), "dst")
+
+
+def similar(pairs: DataFrame, marks: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (src, dst) whose sets are similar, written.
+
+    What two prefixes share is all that the sets share up to where the first of them ends; so the sets share at
+    most that and the longer rest. Only pairs that can be similar by this bound have their sets made again.
+    """
+    own = F.struct("n", "prefix").alias("own")
+    bound = "size(array_intersect(a.prefix, b.prefix)) + greatest(a.n - size(a.prefix), b.n - size(b.prefix))"
+    able = _with_both(written(pairs, "pairs"), marks.select("node", own), "own").where(f"9 * ({bound}) >= 4 * (a.n + b.n)").select("src", "dst")
+    both = _with_both(written(able, "able-pairs"), hashed(docs), "hashes")
+    return written(both.where("9 * size(array_intersect(a, b)) >= 4 * (size(a) + size(b))").select("src", "dst"), "similar")
+
+
+def frequent(docs: DataFrame) -> np.ndarray:
+    """Hashes that a sample of the texts holds often, sorted."""
+    sample = hashed(docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)).select(F.explode("hashes").alias("h"))
+    found = sample.groupBy("h").count().where(F.col("count") > OFTEN).orderBy(F.desc("count"), "h").limit(MOST).select("h").toArrow()
+    return np.sort(found.column("h").to_numpy())
+
+
+def components(marks: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, component) of every node of ``marks`` (node, n, prefix; made of ``docs``) that is similar to another."""
+    rows = marks.select("node", "n", F.explode("prefix").alias("bucket"))
+    shared = rows.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("bucket", "hub")
+    met = written(rows.join(shared, "bucket").distinct(), "met", compression="zstd")
+    sizes = marks.select(F.col("node").alias("hub"), F.col("n").alias("m")).distinct()
+    fits = "5 * least(n, m) >= 4 * greatest(n, m)"
+    first = met.where("node <> hub").select("hub", "node", "n").distinct().join(sizes, "hub").where(fits).select(F.col("hub").alias("src"), F.col("node").alias("dst"))
+    links = similar(first, marks, docs)
+    # what one component fills is done; the rest meets pairwise
+    own = met.select("bucket", "node", "n").join(connected_components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    own = written(own, "met-groups", compression="zstd")
+    mixed = own.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+    own = own.join(mixed, "bucket", "left_semi")
+    other = own.select("bucket", F.col("node").alias("dst"), F.col("n").alias("m"), F.col("component").alias("to"))
+    more = own.withColumnRenamed("node", "src").join(other, "bucket").where("src < dst AND component <> to").where(fits).select("src", "dst").distinct()
+    return connected_components(links.unionByName(similar(more.join(first, ["src", "dst"], "left_anti"), marks, docs)))
+
+
+def first_of_each(docs: DataFrame) -> DataFrame:
+    """One row of each component, all columns kept: that with the smallest doc_id, null last. Of rows that share
+    it, that with the smallest hash of its text."""
+    rows = written(marked(docs, frequent(docs)), "prefixes", compression="zstd")
+    found = components(rows, docs)
+    n, ids = docs.agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
+    if n == ids:
+        roots = rows.select("doc_id", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        least = roots.groupBy("component").agg(F.min("doc_id").alias("doc_id"))
+        return docs.join(least.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    # an id repeats or is missing: rows can't be told apart by it
+    whole = with_node(docs).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text"), *docs.columns)
+    return whole.groupBy("component").agg(F.min_by(F.struct(*docs.columns), order).alias("row")).select("row.*")
