@@ -86,3 +86,11 @@ def test_table(spark):
     hosts = {r.host: json.loads(r.wrapper) for r in w.wrappers(w.structures(df.select("url", "html"))).collect()}
     assert set(hosts) == {"a.example", "b.example", ""} and hosts["a.example"][1] == ["+", [["e", "p", [["t"]]]]]
     assert w.extract(df.limit(0)).count() == 0
+
+
+def test_two_templates_on_one_host(spark):
+    """Whether only article slots count is the page's own matter."""
+    kinds = [("<nav>m</nav><article><p>in {}</p></article><p>out</p>", "in {}"), ("<nav>m</nav><div class=content><p>text {}</p></div>", "text {}")]
+    rows = [(10 * u + 2 * i + k, url, page.format(i), want.format(i)) for u, url in enumerate(["http://mixed.example/x", None, "no-host"]) for i in range(3) for k, (page, want) in enumerate(kinds)]
+    df = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in w.extract(df).collect()} == {i: want for i, _, _, want in rows}

@@ -264,11 +264,6 @@ def labelled(items: list, inside: bool = False, dropped: bool = False) -> list:
     return out
 
 
-def has_main(items: list) -> bool:
-    """Whether some slot that is not dropped lies in an article or main element."""
-    return any(x[1] and not x[2] if x[0] == "t" else has_main(x[-1]) for x in items)
-
-
 def flat(items: list) -> list[tuple[list, int]]:
     """The list's slots and elements without groups; each with the place where its repeated group begins, or -1."""
     out: list[tuple[list, int]] = []
@@ -303,22 +298,32 @@ def walk(wrapper: list, items: list, main_only: bool, found: list[int]) -> bool:
     return True
 
 
+def taken(marked: list, items: list) -> list[int] | None:
+    """The numbers of the page's blocks in main slots, or of all its blocks that are not dropped if it has none there;
+    None if the wrapper does not accept the page."""
+    found: list[int] = []
+    if not walk(marked, items, True, found):
+        return None
+    if not found:
+        walk(marked, items, False, found)
+    return found
+
+
 def main_text(page: str | None, wrapper: list | None) -> str:
     """The page's main text by its host's wrapper."""
     items, texts = tree(page or "")
     own = fold(items)
     for candidate in ([] if wrapper is None else [wrapper, align(wrapper, own)]) + [own]:
-        marked, found = labelled(candidate), []
-        if walk(marked, items, has_main(marked), found):
+        found = taken(labelled(candidate), items)
+        if found is not None:
             return "\n".join(texts[i] for i in found)
     raise AssertionError("a page's own structure accepts it")
 
 
 @lru_cache(maxsize=4096)
-def _parsed(wrapper: str) -> tuple[list, list, bool]:
+def _parsed(wrapper: str) -> tuple[list, list]:
     own = json.loads(wrapper)
-    marked = labelled(own)
-    return own, marked, has_main(marked)
+    return own, labelled(own)
 
 
 def host(url):
@@ -374,10 +379,10 @@ def extract(pages: DataFrame, broadcast_bytes: int = 8 << 20) -> DataFrame:
                     if w is None:
                         out.append(main_text(page, None))
                         continue
-                    plain, marked, inside = _parsed(w)
+                    plain, marked = _parsed(w)
                     items, texts = tree(page or "")
-                    found: list[int] = []
-                    out.append("\n".join(texts[i] for i in found) if walk(marked, items, inside, found) else main_text(page, plain))
+                    found = taken(marked, items)
+                    out.append(main_text(page, plain) if found is None else "\n".join(texts[i] for i in found))
                 yield pa.record_batch([part.column("page_id").cast(pa.int64()), part.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
     return rows.mapInArrow(run, "page_id long, url string, text string")
