@@ -17,7 +17,7 @@ def brute(rows, k, is_query):
     return out
 
 
-@pytest.mark.parametrize("rows_per_tree", [50, 400, 20_000])
+@pytest.mark.parametrize("rows_per_tree", [60, 20_000])
 def test_against_brute_force(spark, rows_per_tree):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(6, 8))
@@ -38,14 +38,40 @@ def test_few_rows(spark):
 
 
 def test_bounds_skip_work():
+    """Stored distances leave most scores uncomputed on clustered data, and few queries see the whole tree."""
     rng = np.random.default_rng(2)
     centres = rng.normal(scale=200, size=(40, 16))
     x = np.rint(np.repeat(centres, 50, axis=0) + rng.normal(scale=5, size=(2000, 16))).astype(np.int64)
     tree = topk.MTree(np.arange(2000), x, int((x**2).sum(axis=1).max()))
-    for q in range(0, 2000, 100):
+    own = np.arange(0, 2000, 100)
+    at, ids, scores = tree.search(own, x[own], 5)
+    for row, q in enumerate(own):
         s = x @ x[q]
-        order = sorted((-v, i) for i, v in enumerate(s.tolist()) if i != q)[:5]
-        assert tree.search(q, x[q], 5) == [(-v, i) for v, i in order]
+        want = sorted((-v, i) for i, v in enumerate(s.tolist()) if i != q)[:5]
+        assert [(-v, i) for v, i in zip(scores[at == row].tolist(), ids[at == row].tolist(), strict=True)] == want
+    assert tree.computed < 0.4 * len(own) * len(x)
+
+
+def test_floor_and_large_integers():
+    rng = np.random.default_rng(5)
+    for size in (50, 1 << 27):  # the second has norms beyond what doubles hold exactly
+        x = rng.integers(-size, size, (700, 8))
+        largest = int(max(sum(int(v) ** 2 for v in row) for row in x)) + 1
+        tree = topk.MTree(np.arange(700), x, largest)
+        exact = [[sum(int(a) * int(b) for a, b in zip(x[q], y, strict=True)) for y in x] for q in range(20)]
+        at, ids, scores = tree.search(np.arange(20), x[:20], 4)
+        for q in range(20):
+            want = sorted((-v, i) for i, v in enumerate(exact[q]) if i != q)[:4]
+            assert [(-int(s), int(i)) for s, i in zip(scores[at == q], ids[at == q], strict=True)] == want
+        high = np.array([float(sorted(e)[-3]) for e in exact])
+        at, ids, scores = tree.search(np.arange(20), x[:20], 4, high)
+        assert all(s >= high[q] for q, s in zip(at, scores, strict=True))
+
+
+def test_scores_beyond_long(spark):
+    df = spark.createDataFrame([(0, [1e30]), (1, [2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError):
+        topk.top_k(df, F.col("vec_id") == 0)
 
 
 def test_against_sql(spark):
