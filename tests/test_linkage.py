@@ -60,13 +60,30 @@ def test_components_give_the_whole_run(spark, many):
     want = whole_run(many)
     got = k.link_best_match(own.repartition(7)).collect()
     assert {r.record_id: r.cluster_id for r in got} == want and len(got) == len(want)
-    large = k.link_best_match(own, max_component=3).where("whole")
-    assert large.count() > 0 and large.groupBy("record_id").count().where("count > 1").isEmpty()
+    for rows in (3, 20):  # in chunks, far above what one task takes
+        got = k.link_best_match(own, chunk_rows=rows).collect()
+        assert {r.record_id: r.cluster_id for r in got} == want and len(got) == len(want)
+
+
+def test_seeds_in_chunks(spark, many):
+    own = idents(spark, many).unionByName(idents(spark, {i: [f"0{v[0]}"] for i, v in many.items()}, "b")).unionByName(idents(spark, {5: [None]}))
+    whole = groups(k.link_by_seed(own, ["b", "a"], 1))
+    held, want = {}, {}
+    for r in sorted(many):
+        keys = sorted([(0, f"0{many[r][0]}")] + [(1, v) for v in set(many[r])])
+        c = next((held[x] for x in keys if x in held), None)
+        if c is None:
+            c = r
+            held |= dict.fromkeys(keys, r)
+        want.setdefault(c, set()).add(r)
+    assert whole == want and groups(k.link_by_seed(own, ["b", "a"], 1, chunk_rows=8)) == want
 
 
 def test_incremental_equals_whole_run(spark, many):
     old = idents(spark, {i: v for i, v in many.items() if i <= 40}).distinct()
     new = idents(spark, {i: v for i, v in many.items() if i > 40}).distinct()
+    chunked = u.link_incremental(new, k.link_best_match(old), old, chunk_rows=4).collect()
+    assert {r.record_id: r.cluster_id for r in chunked} == whole_run(many) and len(chunked) == len(many)
     got = u.link_incremental(new, k.link_best_match(old), old).collect()
     assert {r.record_id: r.cluster_id for r in got} == whole_run(many) and len(got) == len(many)
 
@@ -128,7 +145,7 @@ def test_bins(spark):
         else:
             reps.append((i, h))
             want[i] = i
-    got = k.bin_fingerprints(spark.createDataFrame(rows, "item_id long, hash array<int>"), 10)
+    got = k.bin_fingerprints(spark.createDataFrame([*rows, (900, None)], "item_id long, hash array<int>"), 10)
     assert {r.item_id: r.bin for r in got.collect()} == want
 
 

@@ -2,25 +2,33 @@
 
 A record can only join clusters that share one of its values, so a sequential rule may run in each connected
 component of records and values on its own, records in id order, and gives the same clusters as over
-the whole table. A component of more than ``max_component`` rows is not put into one task: it becomes one
-cluster, marked in the column ``whole``. Values that very many records share should be left out first (``without_frequent``).
-
-A cluster's id is its smallest record id. Records without a value get no cluster.
+the whole table. Components are sorted in their partitions and read as a stream: a task holds one component's values, and
+a component of up to ``chunk_rows`` rows is one pass. A larger one is cut, in id order, into chunks of about that many
+rows; chunk after chunk runs as a job of its own that starts from the clusters which hold the chunk's values,
+aggregated from what the chunks before it decided and wrote. The result is the same at every ``chunk_rows``; no component goes
+into one task whole. The chunks of one component follow each other, as the rule itself demands; chunks of different
+components run side by side.
+
+A cluster's id is its smallest record id. Records without a value get no cluster, null records are left out, repeated
+rows count once, extra columns are ignored, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelink.operators.graph import connected_components
-from tracelink.session import written
+from tracelink.session import shared_dir, work_path, written
 
 MEMBERS = "cluster_id long, record_id long"
+#: Rows of a component that one task takes at a time.
+CHUNK_ROWS = 200_000
 
 
 def without_frequent(identifiers: DataFrame, max_freq: int) -> DataFrame:
@@ -37,81 +45,138 @@ def record_components(identifiers: DataFrame) -> DataFrame:
     return connected_components(edges).select(F.col("node").alias("record_id"), "component")
 
 
-def _in_components(identifiers: DataFrame, rule: Callable[[pd.DataFrame], dict[int, int]], max_component: int) -> DataFrame:
-    """(cluster_id, record_id, whole): a sequential rule run in each component."""
-    own = identifiers.where("value IS NOT NULL")
-    rows = written(own.join(record_components(own), "record_id"), "component-rows")
-    size = rows.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    large = rows.join(size.where(F.col("n") > max_component), "component", "left_semi").select(F.col("component").alias("cluster_id"), "record_id").distinct().withColumn("whole", F.lit(True))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        found = rule(group.sort_values("record_id", kind="stable"))
-        return pd.DataFrame({"cluster_id": list(found.values()), "record_id": list(found)}, dtype="int64")
+class BestMatch:
+    """A cluster scores the counts of the record's values in it; the record joins the best one, ties to the smallest
+    id, or opens one; its values are added."""
 
-    small = rows.join(size.where(F.col("n") <= max_component), "component", "left_semi").groupBy("component").applyInPandas(run, MEMBERS)
-    return small.withColumn("whole", F.lit(False)).unionByName(large)
+    def load(self, held: dict, key: tuple, cluster: int, n: int) -> None:
+        held.setdefault(key, {})[cluster] = n
 
-
-def best_match(group: pd.DataFrame) -> dict[int, int]:
-    """Records in order: a cluster scores the counts of the record's values in it; the record joins the best
-    one, ties to the smallest id, or opens one; its values are added."""
-    held: dict[tuple, dict[int, int]] = {}
-    out: dict[int, int] = {}
-    for record, rows in group.groupby("record_id", sort=True):
-        values = list(dict.fromkeys(zip(rows["attribute"], rows["value"], strict=True)))
+    def take(self, held: dict, record: int, keys: list[tuple]) -> int:
         scores: dict[int, int] = {}
-        for v in values:
-            for c, n in held.get(v, {}).items():
+        for k in keys:
+            for c, n in held.get(k, {}).items():
                 scores[c] = scores.get(c, 0) + n
-        cluster = min(scores, key=lambda c: (-scores[c], c)) if scores else int(record)
-        out[int(record)] = cluster
-        for v in values:
-            own = held.setdefault(v, {})
+        cluster = min(scores, key=lambda c: (-scores[c], c)) if scores else record
+        for k in keys:
+            own = held.setdefault(k, {})
             own[cluster] = own.get(cluster, 0) + 1
-    return out
+        return cluster
+
+    def state(self, members: DataFrame, rows: DataFrame) -> DataFrame:
+        """(component, attribute, value, cluster_id, n): what the clusters of ``members`` hold of the values in ``rows``."""
+        return rows.join(members, "record_id").groupBy("component", "attribute", "value", "cluster_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def link_best_match(identifiers: DataFrame, max_component: int = 100_000) -> DataFrame:
+class Seeds:
+    """A record joins the first cluster that holds one of its values, attributes in ``order``, or opens one; only the
+    values of a cluster's first record are held, and only those of ``least`` characters."""
+
+    def __init__(self, order: list[str], least: int) -> None:
+        self.place, self.least = {a: i for i, a in enumerate(order)}, least
+
+    def load(self, held: dict, key: tuple, cluster: int, n: int) -> None:
+        held[key] = cluster
+
+    def take(self, held: dict, record: int, keys: list[tuple]) -> int:
+        own = sorted((k for k in keys if len(k[1]) >= self.least), key=lambda k: (self.place.get(k[0], len(self.place)), k[1], k[0]))
+        for k in own:
+            if k in held:
+                return held[k]
+        held.update(dict.fromkeys(own, record))
+        return record
+
+    def state(self, members: DataFrame, rows: DataFrame) -> DataFrame:
+        seeds = members.where("cluster_id = record_id")
+        return rows.join(seeds, "record_id").where(F.length("value") >= self.least).select("component", "attribute", "value", "cluster_id", F.lit(1).cast("long").alias("n"))
+
+
+def _run(rows: DataFrame, rule: BestMatch | Seeds, state: DataFrame | None = None) -> DataFrame:
+    """(cluster_id, record_id) of rows (component, record_id, attribute, value), each component in one pass, from
+    ``state`` (component, attribute, value, cluster_id, n)."""
+    columns = ["component", "record_id", "attribute", "value", "cluster_id", "n"]
+    none = F.lit(None).cast("long")
+    both = rows.select("component", "record_id", "attribute", "value", none.alias("cluster_id"), none.alias("n"))
+    if state is not None:
+        both = both.unionByName(state.select("component", none.alias("record_id"), "attribute", "value", "cluster_id", F.col("n").cast("long")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        component = record = None
+        held: dict = {}
+        keys: list[tuple] = []
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for c, r, a, v, cluster, n in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                if r != record or c != component:
+                    if record is not None:
+                        out.append((rule.take(held, record, keys), record))
+                    if c != component:
+                        component, held = c, {}
+                    record, keys = r, []
+                if r is None:  # what the chunks before hold; nulls sort first
+                    rule.load(held, (a, v), cluster, n)
+                else:
+                    keys.append((a, v))
+            yield pa.record_batch([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["cluster_id", "record_id"])
+        if record is not None:
+            yield pa.record_batch([pa.array([x], pa.int64()) for x in (rule.take(held, record, keys), record)], names=["cluster_id", "record_id"])
+
+    return both.repartition("component").sortWithinPartitions("component", "record_id", "attribute", "value").select(columns).mapInArrow(run, MEMBERS)
+
+
+def sequential(identifiers: DataFrame, rule: BestMatch | Seeds, chunk_rows: int = CHUNK_ROWS, state: DataFrame | None = None) -> DataFrame:
+    """(cluster_id, record_id): a sequential rule over records in id order, run in each component; ``state`` (attribute, value,
+    cluster_id, n) is what clusters of earlier runs hold."""
+    own = identifiers.where("value IS NOT NULL AND record_id IS NOT NULL").select(F.col("record_id").cast("long"), "attribute", F.col("value").cast("string")).distinct()
+    rows = written(own.join(record_components(own), "record_id"), "component-rows")
+    start = None
+    if state is not None:  # a value lies in one component
+        start = written(state.join(rows.select("attribute", "value", "component").distinct(), ["attribute", "value"]), "component-state")
+    sizes = rows.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk_rows)
+    total = sizes.agg(F.sum("n")).first()[0]
+    if not total:
+        return written(_run(rows, rule, start), "members")
+    large = written(sizes.select("component"), "large-components")
+    small_start = None if start is None else start.join(large, "component", "left_anti")
+    parts = [written(_run(rows.join(large, "component", "left_anti"), rule, small_start), "members")]
+    ranged = rows.join(large, "component", "left_semi").repartitionByRange(-(-total // chunk_rows), "component", "record_id")
+    ranged = written(ranged.withColumn("chunk", F.spark_partition_id()), "chunks")
+    first = ranged.groupBy("component").agg(F.min("chunk").alias("first"))
+    at = work_path(rows.sparkSession, "steps")
+    ranged.join(first, "component").withColumn("step", F.col("chunk") - F.col("first")).select(*rows.columns, "step").write.partitionBy("step").parquet(at)
+    steps = rows.sparkSession.read.parquet(at).select(*rows.columns, F.col("step").cast("int"))
+    last = steps.agg(F.max("step")).first()[0]
+    for step in range(last + 1):
+        now = steps.where(F.col("step") == step)
+        met = now.select("component", "attribute", "value").distinct()
+        held = None if start is None else start.join(met, ["component", "attribute", "value"], "left_semi")
+        if step:
+            before = steps.where(F.col("step") < step).join(met, ["component", "attribute", "value"], "left_semi")
+            more = rule.state(reduce(DataFrame.unionByName, parts[1:]), before)
+            held = more if held is None else held.select(more.columns).unionByName(more).groupBy("component", "attribute", "value", "cluster_id").agg(F.sum("n").alias("n"))
+        parts.append(written(_run(now, rule, held), "members"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def link_best_match(identifiers: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Greedy clusters by best match."""
-    return _in_components(identifiers, best_match, max_component)
+    return sequential(identifiers, BestMatch(), chunk_rows)
 
 
-def seeds(order: list[str], least: int) -> Callable[[pd.DataFrame], dict[int, int]]:
-    """The seed rule: a record joins the first cluster that holds one of its values, attributes in order; only the
-    values of a cluster's first record are held, and only those of ``least`` characters."""
-    place = {a: i for i, a in enumerate(order)}
-
-    def rule(group: pd.DataFrame) -> dict[int, int]:
-        held: dict[tuple, int] = {}
-        out: dict[int, int] = {}
-        for record, rows in group.groupby("record_id", sort=True):
-            values = sorted({(place.get(a, len(place)), str(v), a) for a, v in zip(rows["attribute"], rows["value"], strict=True) if len(str(v)) >= least})
-            keys = [(a, v) for _, v, a in values]
-            cluster = next((held[k] for k in keys if k in held), None)
-            if cluster is None:
-                cluster = int(record)
-                for k in keys:
-                    held.setdefault(k, cluster)
-            out[int(record)] = cluster
-        return out
-
-    return rule
-
-
-def link_by_seed(identifiers: DataFrame, order: list[str], least: int = 4, key: str | None = None, max_component: int = 100_000) -> DataFrame:
-    """Seed clusters; with ``key`` a value counts only together with that column."""
+def link_by_seed(identifiers: DataFrame, order: list[str], least: int = 4, key: str | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Seed clusters; with ``key`` a value counts only together with that column (a null key with null keys)."""
     own = identifiers if key is None else identifiers.where("value IS NOT NULL").where(F.length("value") >= least).withColumn("value", F.concat_ws("|", "value", F.coalesce(F.col(key).cast("string"), F.lit("null"))))
-    return _in_components(own.select("record_id", "attribute", "value"), seeds(order, least), max_component)
+    return sequential(own, Seeds(order, least), chunk_rows)
 
 
-def link_primary_secondary(df: DataFrame, primary: str, secondary: str, max_component: int = 100_000) -> DataFrame:
+def link_primary_secondary(df: DataFrame, primary: str, secondary: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Groups by the primary key; then a group joins the first one that holds one of its secondary values.
-    A group is named by its smallest record, and groups are taken in that order."""
+    A group is named by its smallest record, and groups are taken in that order. Rows without a primary key are left out."""
     groups = df.groupBy(primary).agg(F.min("record_id").alias("group"))
     rows = df.join(groups, primary).select("record_id", "group", F.col(secondary).cast("string").alias("value"))
     own = rows.select(F.col("group").alias("record_id"), F.lit("s").alias("attribute"), "value").where("value IS NOT NULL").distinct()
-    joined = _in_components(own, seeds(["s"], 1), max_component).select(F.col("cluster_id").alias("joined"), F.col("record_id").alias("group"), "whole")
-    return rows.select("record_id", "group").distinct().join(joined, "group", "left").select(F.coalesce("joined", "group").alias("cluster_id"), "record_id", F.coalesce("whole", F.lit(False)).alias("whole"))
+    joined = sequential(own, Seeds(["s"], 1), chunk_rows).select(F.col("cluster_id").alias("joined"), F.col("record_id").alias("group"))
+    return rows.select("record_id", "group").distinct().join(joined, "group", "left").select(F.coalesce("joined", "group").alias("cluster_id"), "record_id")
 
 
 def group_by_first_place(df: DataFrame, column: str) -> DataFrame:
@@ -158,17 +223,29 @@ def distance(kind: str, column: str, reach: float) -> Column:
     return F.when(a.eqNullSafe(b), 0.0).otherwise(0.5)
 
 
-def weighted_pairs(df: DataFrame, block: str, features: list[tuple[str, str, float]], threshold: float = 0.5, reach: float = 500.0) -> DataFrame:
-    """(src, dst, distance): rows of the same block whose weighted distance is below ``threshold``. Blocks should be
-    selective: rows of a block are compared with each other, though only links leave the join."""
+def weighted_pairs(df: DataFrame, block: list[str], features: list[tuple[str, str, float]], threshold: float = 0.5, reach: float = 500.0) -> DataFrame:
+    """(src, dst, distance): rows that agree in all ``block`` columns and whose weighted distance is below ``threshold``.
+
+    Blocks should be selective: rows of a block are compared with each other, though only links leave the join. A text that
+    is compared by edit distance splits its block further, in bands of length: of two texts within reach the shorter has more than
+    1 - threshold / share of the longer's length, so rows meet those of their own and the next bands only. Nulls of a
+    block column match nothing.
+    """
     whole = sum(w for *_, w in features)
     d = reduce(lambda x, y: x + y, (distance(kind, c, reach) * (w / whole) for c, kind, w in features))
-    a, b = df.alias("a"), df.alias("b")
-    near = a.join(b, (F.col(f"a.{block}") == F.col(f"b.{block}")) & (F.col("a.record_id") < F.col("b.record_id")) & (d < threshold))
+    edit = min(((threshold * whole / w, c) for c, kind, w in features if kind == "edit"), default=(1.0, ""))
+    left, right, keys = df, df, list(block)
+    if edit[0] < 0.95:
+        band = F.floor(F.log(F.greatest(F.length(edit[1]), F.lit(1))) / F.log(F.lit(1 / (1 - edit[0])))).cast("int")
+        left, keys = df.withColumn("_band", band), [*keys, "_band"]
+        right = df.withColumn("_band", F.explode(F.array(band - 1, band, band + 1)))
+    a, b = left.alias("a"), right.alias("b")
+    same = reduce(lambda x, y: x & y, (F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys))
+    near = a.join(b, same & (F.col("a.record_id") < F.col("b.record_id")) & (d < threshold))
     return near.select(F.col("a.record_id").alias("src"), F.col("b.record_id").alias("dst"), d.alias("distance"))
 
 
-def link_weighted(df: DataFrame, block: str, features: list[tuple[str, str, float]], threshold: float = 0.5) -> DataFrame:
+def link_weighted(df: DataFrame, block: list[str], features: list[tuple[str, str, float]], threshold: float = 0.5) -> DataFrame:
     """(cluster_id, record_id): components of the weighted links; unlinked records stay alone."""
     found = connected_components(weighted_pairs(df, block, features, threshold))
     return df.select("record_id").distinct().join(found.withColumnRenamed("node", "record_id"), "record_id", "left").select(F.coalesce("component", "record_id").alias("cluster_id"), "record_id")
@@ -190,37 +267,42 @@ def exact_duplicates(df: DataFrame, column: str, key: str = "record_id") -> Data
     return own.join(own.groupBy("digest").agg(F.min(key).alias("group")), "digest").select(key, "digest", "group")
 
 
-def bin_fingerprints(df: DataFrame, threshold: int = 10, max_component: int = 100_000) -> DataFrame:
+def bin_fingerprints(df: DataFrame, threshold: int = 10) -> DataFrame:
     """(item_id, bin): items (item_id, hash array<int>) in id order join the first bin whose first item is less than
     ``threshold`` away (sum of absolute differences), else open one. Equal hashes are binned once; candidates
-    meet in bands of their sums, which differ by at most the distance; the rule then runs in each component
-    of the candidates."""
-    distinct = written(df.groupBy("hash").agg(F.min("item_id").alias("record_id")), "distinct-hashes")
-    total = F.aggregate("hash", F.lit(0), lambda a, x: a + x)
-    half = F.aggregate(F.slice("hash", 1, 32), F.lit(0), lambda a, x: a + x)
+    meet in bands of their sums, which differ by at most the distance.
+
+    The rule runs in rounds over all near pairs at once: an item with no undecided smaller neighbour and no bin among its
+    smaller neighbours opens one, and all larger neighbours of a new bin are decided. Each round is a few joins, so no task holds a group of
+    near items. Items without a hash are left out.
+    """
+    shared_dir(df.sparkSession)
+    distinct = written(df.where("hash IS NOT NULL").groupBy("hash").agg(F.min("item_id").alias("record_id")), "distinct-hashes")
+    total = F.aggregate("hash", F.lit(0).cast("long"), lambda a, x: a + x)
+    half = F.aggregate(F.slice("hash", 1, 32), F.lit(0).cast("long"), lambda a, x: a + x)
     rows = distinct.select("record_id", "hash", F.floor(total / threshold).alias("band"), F.floor(half / threshold).alias("part"))
     near = lambda c: F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1))
     right = rows.select(F.col("record_id").alias("other"), F.col("hash").alias("h"), near("band").alias("band"), "part").select("other", "h", "band", near("part").alias("part"))
-    l1 = F.aggregate(F.zip_with("hash", "h", lambda a, b: F.abs(a - b)), F.lit(0), lambda a, x: a + x)
+    l1 = F.aggregate(F.zip_with("hash", "h", lambda a, b: F.abs(a - b)), F.lit(0).cast("long"), lambda a, x: a + x)
     pairs = rows.join(right, ["band", "part"]).where((F.col("record_id") < F.col("other")) & (l1 < threshold)).select(F.col("record_id").alias("src"), F.col("other").alias("dst"))
     pairs = written(pairs, "bin-pairs")
-    found = connected_components(pairs)
-
-    def leaders(group: pd.DataFrame) -> pd.DataFrame:
-        near_: dict[int, list[int]] = {}
-        for a, b in zip(group["src"], group["dst"], strict=True):
-            near_.setdefault(int(b), []).append(int(a))
-            near_.setdefault(int(a), [])
-        bins: dict[int, int] = {}
-        for i in sorted(near_):
-            bins[i] = min((a for a in near_[i] if bins[a] == a), default=i)
-        return pd.DataFrame({"record_id": list(bins), "bin": list(bins.values())}, dtype="int64")
-
-    sized = pairs.join(found.withColumnRenamed("node", "src"), "src")
-    size = sized.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    small = sized.join(size.where(F.col("n") <= max_component), "component", "left_semi").groupBy("component").applyInPandas(leaders, "record_id long, bin long")
-    large = found.join(size.where(F.col("n") > max_component), "component", "left_semi").select(F.col("node").alias("record_id"), F.col("component").alias("bin"))
-    bins = distinct.join(small.unionByName(large), "record_id", "left").select("hash", F.coalesce("bin", "record_id").alias("bin"))
+    open_ = pairs
+    undecided = pairs.select(F.col("src").alias("node")).unionByName(pairs.select(F.col("dst").alias("node"))).distinct().checkpoint()
+    firsts = []
+    while not undecided.isEmpty():
+        new = undecided.join(open_.select(F.col("dst").alias("node")), "node", "left_anti").checkpoint()
+        covered = open_.join(new.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+        firsts.append(new)
+        undecided = undecided.join(new.unionByName(covered), "node", "left_anti").checkpoint()
+        open_ = open_.join(undecided.select(F.col("node").alias("src")), "src", "left_semi").join(undecided.select(F.col("node").alias("dst")), "dst", "left_semi").checkpoint()
+    bins = distinct.select("hash", "record_id")
+    if firsts:
+        opened = reduce(DataFrame.unionByName, firsts)
+        joined = pairs.join(opened.select(F.col("node").alias("src")), "src", "left_semi").groupBy(F.col("dst").alias("record_id")).agg(F.min("src").alias("bin"))
+        # an item that opened a bin has no bin among its smaller neighbours
+        bins = bins.join(joined, "record_id", "left").select("hash", F.coalesce("bin", "record_id").alias("bin"))
+    else:
+        bins = bins.select("hash", F.col("record_id").alias("bin"))
     return df.join(bins, "hash").select("item_id", "bin")
 
 
