@@ -27,12 +27,15 @@ from collections.abc import Callable, Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelink.llm.common import filesystem, sized, unique_name
 from tracelink.session import remove, work_path
 
+#: Archives are normalised by up to this many tasks; beyond it a task takes several.
+MOST_TASKS = 50_000
+
 LEVEL = 5
 SLIM = "file string, seq long, page_id long, sha1 string, n_bytes long"
 FOUND = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -203,8 +206,14 @@ def normalise(marked: DataFrame, source: str, directory: str) -> DataFrame:
         if name is not None:
             yield pa.RecordBatch.from_pylist([one(name, refers)], schema=fields)
 
+    # archives are of one size, so they are dealt out one by one: a task inflates its share, however slim the rows it is told by
+    names = marked.select("file").distinct()
+    count = max(1, names.count())
+    tasks = min(count, MOST_TASKS)
+    order = names.withColumn("task", F.pmod(F.row_number().over(Window.orderBy("file")), F.lit(tasks)).cast("int"))
+    dealt = marked.select("file", "seq", "refers_to").join(order, "file").repartitionById(tasks, F.col("task"))
     at = f"{directory}/archives"
-    marked.select("file", "seq", "refers_to").repartition("file").sortWithinPartitions("file", "seq").mapInArrow(run, "file string, n_records long, n_bytes long").write.parquet(at)
+    dealt.sortWithinPartitions("file", "seq").select("file", "seq", "refers_to").mapInArrow(run, "file string, n_records long, n_bytes long").write.parquet(at)
     return marked.sparkSession.read.parquet(at)
 
 
