@@ -148,9 +148,9 @@ def _tags(data: bytes) -> tuple[dict[str, str], int, int]:
         while major in (3, 4) and i + 10 <= stop and data[i] >= 48:
             raw = data[i + 4 : i + 8]
             n = struct.unpack(">I", raw)[0] if major == 3 else sum((b & 127) << s for b, s in zip(raw, (21, 14, 7, 0), strict=True))
-            if data[i] == ord("T") and n:
+            if data[i] == ord("T") and n and i + 10 < stop:  # a frame cut off by the tag's end is read up to there
                 codec = {0: "latin-1", 1: "utf-16", 2: "utf-16-be"}.get(data[i + 10], "utf-8")
-                fields[data[i : i + 4].decode("latin-1")] = data[i + 11 : i + 10 + n].decode(codec, "replace").rstrip("\0")
+                fields[data[i : i + 4].decode("latin-1")] = data[i + 11 : min(stop, i + 10 + n)].decode(codec, "replace").rstrip("\0")
             i += 10 + n
         at = at + 10 + size + 10 * bool(flags & 16)
     if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
@@ -164,7 +164,7 @@ def _tags(data: bytes) -> tuple[dict[str, str], int, int]:
 def _table(data: bytes, at: int, h: Header) -> dict | None:
     """The variable-bitrate table of the frame at ``at``, if it has one."""
     for mark in (at + 4 + h.side, at + 6 + h.side):
-        if data[mark : mark + 4] in (b"Xing", b"Info"):
+        if data[mark : mark + 4] in (b"Xing", b"Info") and mark + 8 <= len(data):
             flags, i, out = struct.unpack(">I", data[mark + 4 : mark + 8])[0], mark + 8, {"kind": data[mark : mark + 4].decode()}
             for bit, key, size in ((1, "frames", 4), (2, "bytes", 4), (4, "toc", 100)):
                 if flags & bit:
@@ -172,7 +172,7 @@ def _table(data: bytes, at: int, h: Header) -> dict | None:
                     i += size
             return out
     mark = at + 36
-    if data[mark : mark + 4] == b"VBRI":
+    if data[mark : mark + 4] == b"VBRI" and mark + 26 <= len(data):
         size, frames = struct.unpack(">II", data[mark + 10 : mark + 18])
         entries, scale, width, per = struct.unpack(">HHHH", data[mark + 18 : mark + 26])
         toc = [int.from_bytes(data[mark + 26 + k * width : mark + 26 + (k + 1) * width], "big") * scale for k in range(entries)]
@@ -263,8 +263,7 @@ def probe_media(media: DataFrame, payload: bool = False) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for part in sized(batch, "media"):
                 rows = []
                 for data in part.column("media").to_pylist():
                     x = probe(data)
