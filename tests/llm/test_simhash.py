@@ -33,10 +33,8 @@ def test_fingerprint():
         assert simhash.fingerprint((t or "").encode()) == plain(t)
 
 
-@pytest.mark.parametrize(("count", "hot"), [(3, 20_000), (2, 20_000), (4, 20_000), (5, 3), (1, 20_000)])
+@pytest.mark.parametrize(("count", "hot"), [(3, 20_000), (2, 20_000), (4, 20_000), (5, 3), (3, 40)])
 def test_links_against_brute_force(spark, count, hot):
-    if count == 1:
-        return  # a single segment would need balls of 64 over 4
     rng = random.Random(count)
     fps = []
     for _ in range(60):
@@ -79,3 +77,22 @@ def test_whole_table(spark):
     for i, r in enumerate(docs):
         assert got[r.doc_id].fingerprint == f"{fps[i]:016x}"
         assert got[r.doc_id].component_id == docs[want[i]].doc_id
+
+
+def test_hot_neighbours(spark):
+    """A bucket with two entries next to buckets with very many: all their look-ups land in it, and are split."""
+    rng = random.Random(8)
+    low = 0x155555
+    fps = {(rng.getrandbits(43) << 21) | low ^ (1 << b) for b in range(21) for _ in range(40)}
+    own = [(x & ~((1 << 21) - 1)) | low for x in list(fps)[:2]]
+    far = [x ^ (0b1111 << 30) for x in own]
+    every = np.unique(np.array([*fps, *own, *far], np.uint64))
+    df = spark.createDataFrame([(int(x),) for x in every.view(np.int64)], "fp long")
+    for hot in (30, 20_000):
+        groups = {}
+        for r in simhash.connected_components(simhash.links(df, 4, 3, hot)).collect():
+            groups.setdefault(r.component, set()).add(r.node)
+        want = {}
+        for x, c in zip(every.view(np.int64).tolist(), components(every), strict=True):
+            want.setdefault(int(c), set()).add(x)
+        assert sorted(map(sorted, groups.values())) == sorted(sorted(g) for g in want.values() if len(g) > 1)

@@ -8,8 +8,9 @@ fingerprints of a pair only the one with a 0 at the lowest differing bit looks t
 
 Documents with equal fingerprints are one node. Inside a bucket of up to ``SMALL`` fingerprints every pair is
 verified; in a larger one a breadth-first search that removes what it has reached gives a spanning
-forest, so a group of near copies yields links in proportion to its size, not to its square. Buckets of
-more than ``hot_rows`` fingerprints are dealt out in pairs of blocks.
+forest, so a group of near copies yields links in proportion to its size, not to its square. A bucket of
+more than ``hot_rows`` entries and look-ups is split: few own entries are copied to each block of look-ups, many are dealt
+out in pairs of blocks.
 
 Edge cases: a null or blank text has fingerprint 0, linked like any other; a text with fewer words than a
 shingle is one shingle; rows with the same doc_id are rows of their own; a component whose
@@ -114,12 +115,15 @@ def forest(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
 def links(distinct: DataFrame, distance: int = 4, count: int = 3, hot_rows: int = 20_000) -> DataFrame:
     """src and dst: pairs of fingerprints at most ``distance`` apart, with the same components as all such pairs."""
     rows = bucket_rows(distinct, count, distance)
-    hot = rows.where("probe = 0").groupBy("bucket").count().where(F.col("count") > hot_rows)
+    hot = rows.groupBy("bucket").agg(F.count_if(F.col("probe") == 0).alias("own"), F.count(F.lit(1)).alias("count")).where((F.col("own") > 0) & (F.col("count") > hot_rows))
     keys = ["bucket"]
     if not hot.isEmpty():
-        blocks = F.ceil(F.coalesce("count", F.lit(1)) / hot_rows).cast("int")
-        rows = rows.join(hot, "bucket", "left").withColumn("n", blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("n")))
-        rows = rows.withColumn("pair", F.explode(F.expr("transform(sequence(0, n - 1), x -> least(own, x) * n + greatest(own, x))"))).select("bucket", "pair", "probe", "fp")
+        n = F.ceil(F.coalesce("count", F.lit(1)) / hot_rows).cast("int")
+        rows = rows.join(hot, "bucket", "left").withColumn("n", n).withColumn("at", F.pmod(F.xxhash64("fp"), F.col("n")))
+        # few own entries go to every block of look-ups; many are dealt out in pairs of blocks, as their look-ups are
+        few = "IF(probe = 0, sequence(0L, n - 1L), array(at))"
+        many = "transform(sequence(0L, n - 1L), x -> least(at, x) * n + greatest(at, x))"
+        rows = rows.withColumn("pair", F.explode(F.expr(f"IF(coalesce(own, 0) <= {hot_rows}, {few}, {many})"))).select("bucket", "pair", "probe", "fp")
         keys.append("pair")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
