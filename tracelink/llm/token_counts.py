@@ -4,7 +4,7 @@ A pre-token is a run of blanks with the characters up to the next blank. No piec
 blank after another character (``_check`` verifies it), so no merge crosses the cut and the lengths of
 a text's pre-tokens add up to the text's length.
 
-First tier: a broadcast table of the most frequent pre-tokens of a sample of documents and their
+First tier: a broadcast hash table of the most frequent pre-tokens of a sample of documents and their
 lengths (at most ``table_size`` entries). Second tier: each worker encodes what is not in the table
 and keeps it in a bounded cache. The tiers decide the speed only; every text is counted whole.
 
@@ -14,7 +14,6 @@ empty table gives an empty result; other columns of the input are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +21,7 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,20 +76,62 @@ def _keys(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return pc.utf8_slice_codeunits(words, 1), codes, starts
 
 
-def frequent_lengths(docs: DataFrame, model: str, sample_docs: int, table_size: int) -> tuple[bytes, np.ndarray]:
-    """The first tier: pre-tokens as an Arrow stream, and their lengths."""
-    rows = hash_sample(docs.select("doc_id", "text"), "doc_id", sample_docs).select("text").limit(4 * sample_docs).toArrow()
-    counts: Counter = Counter()
-    for batch in rows.to_batches():
-        for part in sized(batch, "text"):
-            words, codes, _ = _keys(texts_of(part, "text"))
-            counts.update(dict(zip(strings(words), np.bincount(codes, minlength=len(words)).tolist(), strict=True)))
-    top = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:table_size] if w and len(w) <= LONGEST]
-    sink = pa.BufferOutputStream()
-    batch = pa.record_batch([pa.array(top, pa.large_string())], names=["key"])
-    with pa.ipc.new_stream(sink, batch.schema) as out:
-        out.write_batch(batch)
-    return sink.getvalue().to_pybytes(), _model(model)(top).astype(np.uint16)
+class LengthTable:
+    """Lengths of frequent pre-tokens in an open-addressing hash table: slots hold a key's number, or -1, and keys
+    stand in the first free slot from their hash on. Keys are one string buffer; a hit is compared with its key."""
+
+    def __init__(self, keys: list[str], lengths: np.ndarray) -> None:
+        self.keys = pa.array(keys, pa.large_string())
+        self.lengths = lengths.astype(np.uint16)
+        bits = max(4, (4 * len(keys)).bit_length())
+        self.mask = (1 << bits) - 1
+        self.slots = np.full(1 << bits, -1, np.int32)
+        hashes = self._hashes(keys)
+        self.hashes = hashes
+        at, todo = (hashes & np.uint64(self.mask)).astype(np.int64), np.arange(len(keys))
+        while len(todo):
+            free = self.slots[at[todo]] < 0
+            taking, first = np.unique(at[todo[free]], return_index=True)  # of those that want one slot the first gets it
+            self.slots[taking] = todo[free][first]
+            todo = todo[self.slots[at[todo]] != todo]
+            at[todo] = (at[todo] + 1) & self.mask
+
+    @staticmethod
+    def _hashes(words: list[str]) -> np.ndarray:
+        return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+    def __call__(self, words: pa.Array) -> np.ndarray:
+        """Length of each word, -1 where the table has none."""
+        out = np.full(len(words), -1, np.int64)
+        if not len(self.keys):
+            return out
+        hashes = self._hashes(strings(words))
+        at, todo = (hashes & np.uint64(self.mask)).astype(np.int64), np.arange(len(words))
+        while len(todo):
+            key = self.slots[at[todo]]
+            todo, key = todo[key >= 0], key[key >= 0]
+            same = self.hashes[key] == hashes[todo]
+            hit, found = todo[same], key[same]
+            equal = np.asarray(pc.equal(words.take(pa.array(hit)), self.keys.take(pa.array(found))))
+            out[hit[equal]] = self.lengths[found[equal]]
+            todo = np.concatenate([todo[~same], hit[~equal]])
+            at[todo] = (at[todo] + 1) & self.mask
+        return out
+
+
+def frequent_lengths(docs: DataFrame, model: str, sample_docs: int, table_size: int) -> LengthTable:
+    """The first tier. The sample's pre-tokens are counted in tasks; the driver gets the table's entries alone."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sized(batch, "text"):
+                words, codes, _ = _keys(texts_of(part, "text"))
+                yield pa.record_batch([words.cast(pa.string()), pa.array(np.bincount(codes, minlength=len(words)).astype(np.int64))], names=["word", "n"])
+
+    rows = hash_sample(docs.select("doc_id", "text"), "doc_id", sample_docs).select("text").mapInArrow(count, "word string, n long")
+    often = rows.where(F.length("word").between(1, LONGEST)).groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(table_size)
+    top = [r.word for r in often.select("word").collect()]
+    return LengthTable(top, _model(model)(top))
 
 
 def count_tokens(docs: DataFrame, model: str | None = None, limit: int = 4096, sample_docs: int = 512, table_size: int = 65_536) -> DataFrame:
@@ -98,17 +140,13 @@ def count_tokens(docs: DataFrame, model: str | None = None, limit: int = 4096, s
     table = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, path, sample_docs, table_size))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream, lengths = table.value
-        keys = pa.ipc.open_stream(stream).read_all().column("key").combine_chunks()
         for batch in batches:
             for part in sized(batch, "text"):
                 texts = texts_of(part, "text")
                 words, codes, starts = _keys(texts)
-                at = pc.index_in(words, value_set=keys)
-                own = np.zeros(len(words), np.int64)
-                hit = np.asarray(at.is_valid())
-                own[hit] = lengths[np.asarray(at.drop_null())]
-                own[~hit] = _model(path)(strings(words.filter(pa.array(~hit))))
+                own = table.value(words)
+                miss = own < 0
+                own[miss] = _model(path)(strings(words.filter(pa.array(miss))))
                 size = np.asarray(pc.binary_length(texts)).astype(np.int64)
                 n = np.where(size > 0, sums(own[codes], starts), 0)
                 yield pa.record_batch([part.column("doc_id").cast(pa.int64()), pa.array(size), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
