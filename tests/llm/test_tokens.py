@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 from tokenizers import Tokenizer
 
@@ -62,3 +63,20 @@ def test_whole_tables(spark):
     for k in sorted(ids):
         assert (got[k].start, got[k].n_tokens, got[k].ids_crc32) == (start, len(ids[k]), zlib.crc32(ids[k].tobytes()))
         start += len(ids[k])
+
+
+def test_tokenizer_that_must_not_be_cut():
+    """A tokenizer that normalises and drops white space gets whole texts."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    texts = ["Two  words\u3000HERE", "", " a  b ", "e\u0301 <|endoftext|> x", "long " * 3000]
+    got = token_ids.encode_texts(pa.array(texts, pa.large_string()), path, 2)
+    assert [x.tolist() for x in got] == [[*e.ids, 2] for e in plain.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_length_table():
+    words = [f"w{i}" for i in range(5000)]
+    table = token_counts.LengthTable(words, np.arange(5000))
+    asked = pa.array([*words[::-1], "other", "", "w5000"], pa.large_string())
+    assert table(asked).tolist() == [*range(4999, -1, -1), -1, -1, -1]
+    assert token_counts.LengthTable([], np.zeros(0, np.int64))(asked[:2]).tolist() == [-1, -1]

@@ -18,10 +18,12 @@ shard; other columns of the input are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -52,6 +54,8 @@ class Encoder:
     """
 
     JOINED = 256
+    #: Groups of joined segments in one call: what the library returns is many times larger than the ids kept of it.
+    CALLED = 48
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -65,18 +69,23 @@ class Encoder:
         for token, i in tokens.items():
             self.bytes[i] = added.get(i, len(token))
         self.segments = SegmentIds(self.encode)
+        parts = json.loads(self.tokenizer.to_str())
+        before = parts["pre_tokenizer"] or {}
+        #: Whether texts may be cut before blanks: only where the byte-level pattern alone says where matches end.
+        self.cuts = parts["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not any(" " in t.content or t.lstrip or t.rstrip or t.single_word for t in self.tokenizer.get_added_tokens_decoder().values())
 
     def _call(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words one after the other, and the number of each word's ids."""
-        joins = np.fromiter((w[:1] == " " and not w[-1].isspace() for w in words), bool, len(words))
+        joins = np.fromiter((self.cuts and w[:1] == " " and not w[-1].isspace() for w in words), bool, len(words))
         ids: list = [None] * len(words)
         alone = np.flatnonzero(~joins).tolist()
         together = np.flatnonzero(joins).tolist()
         groups = [together[i : i + self.JOINED] for i in range(0, len(together), self.JOINED)]
-        for group, got in zip(groups, self._call(["".join(words[i] for i in g) for g in groups]), strict=True):
+        calls = (self._call(["".join(words[i] for i in g) for g in groups[at : at + self.CALLED]]) for at in range(0, len(groups), self.CALLED))
+        for group, got in zip(groups, chain.from_iterable(calls), strict=True):
             got = np.array(got, np.uint32)
             ends = np.cumsum(self.bytes[got])
             borders = np.cumsum([len(words[i].encode()) for i in group])
@@ -86,8 +95,10 @@ class Encoder:
                 continue
             for i, a, b in zip(group, [0, *(cuts[:-1] + 1)], cuts + 1, strict=True):
                 ids[i] = got[a:b]
-        for i, got in zip(alone, self._call([words[i] for i in alone]), strict=True):
-            ids[i] = np.array(got, np.uint32)
+        for at in range(0, len(alone), self.JOINED):
+            part = alone[at : at + self.JOINED]
+            for i, got in zip(part, self._call([words[i] for i in part]), strict=True):
+                ids[i] = np.array(got, np.uint32)
         n = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.concatenate([np.zeros(0, np.uint32), *ids]), n
 
@@ -103,7 +114,11 @@ def _encoder(path: str) -> Encoder:
 
 
 def encode_texts(texts: pa.Array, path: str, end_id: int) -> list[np.ndarray]:
-    """Ids of each text, with ``end_id`` appended."""
+    """Ids of each text, with ``end_id`` appended. A tokenizer that no cut is known to be safe for gets whole texts."""
+    if not _encoder(path).cuts:
+        ids, n = _encoder(path).encode(strings(texts))
+        ends = np.cumsum(n)
+        return [np.append(ids[b - k : b], np.uint32(end_id)) for b, k in zip(ends, n, strict=True)]
     words, codes, starts = Segments(CUT, HARD)(texts)
     ids, n = _encoder(path).segments.gather(strings(words), codes)
     total = np.concatenate([[0], np.cumsum(n)])
@@ -119,6 +134,23 @@ def train_dictionary(samples: list[bytes], size: int) -> bytes:
         return b"".join(samples)[-size:].rjust(8, b"\0")
 
 
+def _samples(docs: DataFrame, path: str, end_id: int, kind: str, documents: int, most: int) -> list[bytes]:
+    """Serialized id arrays of a sample, encoded in tasks and fetched one partition after the other up to ``most`` bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sized(batch, "text"):
+                yield pa.record_batch([pa.array([x.astype(kind).tobytes() for x in encode_texts(texts_of(part, "text"), path, end_id)], pa.binary())], names=["ids"])
+
+    out, size = [], 0
+    for row in hash_sample(docs.select("doc_id", "text"), "doc_id", documents).select("text").mapInArrow(run, "ids binary").toLocalIterator():
+        if out and size + len(row.ids) > most:
+            break
+        out.append(bytes(row.ids))
+        size += len(row.ids)
+    return out
+
+
 def write_shards(
     docs: DataFrame,
     directory: str,
@@ -126,21 +158,20 @@ def write_shards(
     end_id: int = 2,
     dictionary_docs: int = 512,
     dictionary_bytes: int = 65_536,
+    sample_bytes: int = 32 << 20,
     shard_bytes: int = 64 << 20,
 ) -> DataFrame:
     """Encode ``docs`` (doc_id, text) and write shards to ``directory``; returns the manifest.
 
     The dictionary is trained on the id arrays of ``dictionary_docs`` documents (smallest hash of
-    doc_id); it changes the size of the files, never their content. All documents are encoded once,
+    doc_id, ``sample_bytes`` at most); it changes the size of the files, never their content. All documents are encoded once,
     into a staged table of frames; only frames are shuffled, by range of doc_id.
     """
     spark = docs.sparkSession
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
     wide = 2 if max(_encoder(path).size, end_id + 1) <= 65_536 else 4
     kind = f"<u{wide}"
-    rows = hash_sample(docs.select("doc_id", "text"), "doc_id", dictionary_docs).select("text").limit(4 * dictionary_docs).toArrow()
-    sample = encode_texts(texts_of(rows.combine_chunks().to_batches()[0], "text"), path, end_id) if rows.num_rows else []
-    dictionary = train_dictionary([x.astype(kind).tobytes() for x in sample], dictionary_bytes)
+    dictionary = train_dictionary(_samples(docs, path, end_id, kind, dictionary_docs, sample_bytes), dictionary_bytes)
     digest = hashlib.sha256(dictionary).digest()
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
