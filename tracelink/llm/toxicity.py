@@ -1,17 +1,21 @@
 """Toxicity by a subsequence string kernel, Nyström landmarks and a linear support vector machine.
 
-The kernel of two strings sums, over all common subsequences of ``order`` characters, decay to the power of
-the lengths they span in both strings; so a gapped or padded insult still shares most of its
-subsequences with the plain one. A word is compared with each landmark; a sentence takes the largest
-value per landmark over its words, and the values are whitened with the landmarks' own kernel
-matrix (Nyström). The machine is trained on sentences: those of clean documents, and of toxic documents
-those that the machine itself finds most toxic (chosen anew in each of a few rounds), with copies in
-which characters are inserted. A document scores as its most toxic sentence, through a logistic curve.
-
-Training reads at most ``per_class`` toxic and three times as many clean labelled documents (smallest hash of
-doc_id), only rows
-whose crc32 of the doc_id as text is not divisible by 5. Inputs of a score are texts alone. Scoring
-covers every word of every text.
+The kernel of two strings sums, over all common subsequences of ``ORDER`` characters with at most ``REACH`` - 1 characters skipped
+between neighbours, decay to the power of the characters skipped in both strings; so a gapped or padded insult still shares most of its
+subsequences with the plain one. A sentence's value for a landmark is the largest kernel value of any of its places with it (a word between
+its ends, a part of a word between inner signs, a window of a long word), as a share of the landmark's own. Landmarks come
+from both classes: word starts and words that mark toxic documents, and the clean words that come closest
+to them. The values are whitened with the landmarks' own kernel matrix (Nyström). The machine is trained on sentences:
+those of clean documents, of toxic documents those that the machine itself finds most toxic (chosen anew in each of
+a few rounds), and, with the weight of all of these, copies of insults in which characters are inserted, doubled or set apart. A
+document scores as its most toxic sentence, through a logistic curve.
+
+The kernel is computed exactly and for all words: a table has a row for each subsequence of any landmark, and a
+word's subsequences are looked up in it, so what shares none costs a look-up.
+
+Training reads at most ``per_class`` toxic and ``clean_ratio`` times as many clean labelled documents (smallest hash of
+doc_id; of rows that share it, that with the smallest hash of its text), only rows whose crc32 of the doc_id as text
+is not divisible by 5. Inputs of a score are texts alone. Scoring covers every word of every text.
 
 Edge cases: a null or empty text scores as a text without any landmark; labels that repeat count as
 toxic if one of them does, null labels are not used; without labels of both classes every score is
@@ -35,50 +39,15 @@ from pyspark.sql import functions as F
 
 from tracelink.llm.common import sized, strings, texts_of
 
-ORDER, DECAY = 4, 0.7
+#: Characters of a subsequence, weight of a skipped character, and places from one character to the next at most.
+ORDER, DECAY, REACH = 4, 0.8, 3
 START, END = b"^", b"$"
-WINDOW, STRIDE = 40, 28
+#: Characters of a window of a long word, and from one window to the next.
+WINDOW, STRIDE = 24, 14
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]_`{|}~¡¿«»“”„’‘…–—"
 SPACED = r"(?:^|\s)(?:[^\s][\s.\-_*]{1,3}){3,}[^\s](?:\s|$)"
 _spaced = re.compile(r"(?:(?<=\s)|^)(?:[^\s][\s.\-_*]{1,3}){3,}[^\s](?=\s|$)")
-
-
-def kernel(words: np.ndarray, landmarks: np.ndarray, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
-    """Subsequence kernel of each row of ``words`` with the same row of ``landmarks`` (bytes, padded with 0)."""
-    n, width = words.shape
-    length = landmarks.shape[1]
-    same = [[((words[:, a] == landmarks[:, b]) & (words[:, a] != 0)).astype(np.float32) for b in range(length)] for a in range(width)]
-    two = np.float32(decay * decay)
-    lower = [[np.ones(n, np.float32)] * (length + 1) for _ in range(width + 1)]
-    zero = np.zeros(n, np.float32)
-    for _ in range(order - 1):
-        upper = [[zero] * (length + 1)]
-        for a in range(width):
-            row, run = [zero], zero
-            for b in range(length):
-                run = decay * run + two * same[a][b] * lower[a][b]
-                row.append(decay * upper[a][b + 1] + run)
-            upper.append(row)
-        lower = upper
-    total = zero.copy()
-    for a in range(width):
-        for b in range(length):
-            total += two * same[a][b] * lower[a][b]
-    return total
-
-
-def packed(words: list[bytes]) -> np.ndarray:
-    """Byte strings as rows padded with 0."""
-    width = max(map(len, words), default=1)
-    return np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(len(words), width)
-
-
-def letters(words: list[bytes]) -> np.ndarray:
-    """A 32-bit mask of the characters of each word."""
-    flat = np.frombuffer(b"".join(words), np.uint8)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
-    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    return np.bitwise_or.reduceat(np.uint32(1) << (flat & 31).astype(np.uint32), starts) if len(words) else np.zeros(0, np.uint32)
+INNER = re.compile(rb"[^0-9a-z\x80-\xff]+")
 
 
 class Landmarks:
@@ -86,55 +55,101 @@ class Landmarks:
 
     def __init__(self, strings_: list[bytes]) -> None:
         self.strings = strings_
-        self.rows = packed(strings_)
-        self.masks = letters(strings_)
-        self.spare = np.array([int(len(set(s)) > 6) for s in strings_])
-        m = len(strings_)
-        a, b = np.divmod(np.arange(m * m), m)
-        gram = kernel(self.rows[a], self.rows[b]).reshape(m, m).astype(np.float64)
-        self.own = np.diag(gram).copy()
-        values, vectors = np.linalg.eigh(gram / np.sqrt(np.outer(self.own, self.own)))
-        keep = values > 1e-6
+        used = sorted(set(b"".join(strings_)))
+        self.code = np.zeros(256, np.int32)  # 0: in no landmark, so in no common subsequence
+        self.code[used] = np.arange(1, len(used) + 1)
+        self.base = len(used) + 1
+        rows: dict[int, dict[int, float]] = defaultdict(dict)
+        self.known = [np.zeros(self.base**n, bool) for n in range(2, ORDER)]  # starts of some landmark's subsequences
+        flat, owner = self._stream(strings_)
+        for j, key, w in self._subsequences(flat, owner):
+            for i, k in zip(j.tolist(), key.tolist(), strict=True):
+                rows[k][i] = rows[k].get(i, 0.0) + w
+        self.row = np.full(self.base**ORDER, -1, np.int32)
+        self.row[list(rows)] = np.arange(len(rows))
+        for n, known in enumerate(self.known, 2):
+            known[np.array(list(rows), np.int64) // self.base ** (ORDER - n)] = True
+        self.weights = np.zeros((len(rows), len(strings_)), np.float32)
+        for r, own in enumerate(rows.values()):
+            self.weights[r, list(own)] = list(own.values())
+        gram = self.kernel(strings_).astype(np.float64)
+        self.own = np.maximum(np.diag(gram), 1e-9)
+        values, vectors = np.linalg.eigh((gram + gram.T) / 2 / np.sqrt(np.outer(self.own, self.own)))
+        keep = values > 1e-3
         self.whiten = vectors[:, keep] / np.sqrt(values[keep])
 
-    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Indices of the words that are like some landmark, and their values: shares of the landmark's own.
+    def _stream(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All words' character codes, too far apart for a subsequence to cross, and the word of each."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + REACH
+        flat = self.code[np.frombuffer((b"\0" * REACH).join([*words, b""]), np.uint8)]
+        return flat, np.repeat(np.arange(len(words)), sizes)
+
+    def _subsequences(self, flat: np.ndarray, owner: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+        """Word, number and weight of all subsequences, in parts of one shape, words in order; once ``known`` is
+        filled, of those whose start some landmark has."""
+        flat = np.concatenate([flat, np.zeros(REACH * ORDER, flat.dtype)])
+        base = self.base
+
+        def grow(at: np.ndarray, key: np.ndarray, end: int, n: int, skipped: int) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+            for step in range(1, REACH + 1):
+                next_ = flat[at + (end + step)]
+                longer = key * base + next_
+                keep = next_ > 0
+                if n + 1 < ORDER and self.known[n - 1].any():
+                    keep &= self.known[n - 1][longer]
+                some = np.flatnonzero(keep)
+                if not len(some):
+                    continue
+                if n + 1 == ORDER:
+                    yield owner[at[some]], longer[some], DECAY ** (skipped + step - 1)
+                else:
+                    yield from grow(at[some], longer[some], end + step, n + 1, skipped + step - 1)
+
+        at = np.flatnonzero(flat)
+        yield from grow(at, flat[at].astype(np.int64), 0, 1, 0)
+
+    def kernel(self, words: list[bytes]) -> np.ndarray:
+        """Kernel of each word with each landmark."""
+        out = np.zeros((len(words), len(self.strings)), np.float32)
+        for lo in range(0, len(words), 20_000):
+            flat, owner = self._stream(words[lo : lo + 20_000])
+            for word, key, weight in self._subsequences(flat, owner):
+                row = self.row[key]
+                some = np.flatnonzero(row >= 0)
+                if not len(some):
+                    continue
+                word, row = word[some], row[some]
+                first = np.concatenate([[0], np.flatnonzero(np.diff(word)) + 1])
+                out[lo + word[first]] += np.float32(weight) * np.add.reduceat(self.weights[row], first, axis=0)
+        return out
+
+    def __call__(self, words: list[bytes], least: float = 0.25) -> tuple[np.ndarray, np.ndarray]:
+        """Indices of the words that reach ``least`` with some landmark, and all their values: shares of the landmarks' own."""
+        pieces: list[bytes] = []
+        owner: list[int] = []
+
+        def add(w: bytes, i: int) -> None:
+            whole = START + w + END
+            for at in [0] if len(whole) <= WINDOW else range(0, len(whole) - WINDOW + STRIDE, STRIDE):
+                pieces.append(whole[at : at + WINDOW])
+                owner.append(i)
 
-        A word that lacks more than ``spare`` of a landmark's letters has value 0 for it.
-        """
-        pieces, owner = [], []
         for i, w in enumerate(words):
-            pieces.append(START + w[:WINDOW] + END * (len(w) <= WINDOW))
-            owner.append(i)
-            for at in range(STRIDE, len(w) - WINDOW + STRIDE, STRIDE):  # a long word by overlapping windows
-                pieces.append(w[at : at + WINDOW])
-                owner.append(i)
-        masks = letters(pieces)
-        found_word, found_mark = [], []
-        for j, (mask, spare) in enumerate(zip(self.masks, self.spare, strict=True)):
-            near = np.flatnonzero(np.bitwise_count(mask & ~masks) <= spare)
-            found_word.append(near)
-            found_mark.append(np.full(len(near), j))
-        w, m = np.concatenate(found_word), np.concatenate(found_mark)
-        if not len(w):
-            return np.zeros(0, np.int64), np.zeros((0, len(self.strings)), np.float32)
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))[w]
-        order = np.argsort(sizes, kind="stable")
-        w, m = w[order], m[order]
-        value = np.empty(len(w), np.float32)
-        for lo in range(0, len(w), 8192):
-            part = slice(lo, lo + 8192)
-            value[part] = kernel(packed([pieces[i] for i in w[part]]), self.rows[m[part]])
-        value = np.minimum(1, value / self.own[m])
-        own = np.asarray(owner)[w]
-        hits, row = np.unique(own, return_inverse=True)
-        out = np.zeros((len(hits), len(self.strings)), np.float32)
-        np.maximum.at(out, (row, m), value)
-        return hits, out
+            add(w, i)
+            if not w.isalnum() and len(parts := INNER.split(w)) > 1:
+                for p in parts:
+                    if len(p) >= ORDER and p != w:
+                        add(p, i)
+        value = np.minimum(1, self.kernel(pieces) / self.own.astype(np.float32))
+        own = np.asarray(owner, np.int64)
+        first = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1]) if len(own) else np.zeros(0, np.int64)
+        pooled = np.maximum.reduceat(value, first, axis=0) if len(own) else value
+        hits = np.flatnonzero(pooled.max(axis=1, initial=0) >= least)
+        return own[first][hits], pooled[hits]
 
 
 class Words:
-    """The words of a batch of texts, with document and sentence of each."""
+    """The words of a batch of texts, with document and sentence of each. Words end at any white space."""
 
     def __init__(self, texts: pa.Array) -> None:
         low = pc.utf8_lower(texts)
@@ -142,8 +157,8 @@ class Words:
         if pc.any(spaced).as_py():  # letters set apart are read together as well
             joined = [t + " . " + " ".join(re.sub(r"[\s.\-_*]", "", m) for m in _spaced.findall(t)) for t in low.filter(spaced).to_pylist()]
             low = pc.replace_with_mask(low, spaced, pa.array(joined, low.type))
-        for a, b in (("\n", " . "), ("\t", " "), ("\r", " ")):
-            low = pc.replace_substring(low, pattern=a, replacement=b)
+        low = pc.replace_substring(low, pattern="\n", replacement=" . ")
+        low = pc.replace_substring_regex(low, pattern=r"[\t\r\v\f\x1c-\x1f\x{85}\pZ]", replacement=" ")
         lists = pc.split_pattern(low, " ")
         coded = lists.flatten().dictionary_encode()
         starts = np.asarray(lists.offsets, np.int64)
@@ -154,17 +169,14 @@ class Words:
         self.sentence = np.cumsum(np.concatenate([[0], ends[:-1]])) + self.document if len(ends) else np.zeros(0, np.int64)
         self.words = [w.encode() for w in strings(pc.utf8_trim(coded.dictionary, characters=PUNCTUATION))]
 
-    def features(self, landmarks: Landmarks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Document, sentence and pooled landmark values of each sentence that has a word like some landmark."""
-        hits, values = landmarks(self.words)
+    def hits(self, landmarks: Landmarks) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Document, sentence and value row of each word that is like some landmark, and the rows."""
+        own, values = landmarks(self.words)
         place = np.full(len(self.words), -1)
-        place[hits] = np.arange(len(hits))
-        at = np.flatnonzero(place[self.codes] >= 0)
-        if not len(at):
-            return at, at, np.zeros((0, len(landmarks.strings)), np.float32)
-        sentence = self.sentence[at]
-        first = np.concatenate([[0], np.flatnonzero(np.diff(sentence)) + 1])
-        return self.document[at][first], sentence[first], np.maximum.reduceat(values[place[self.codes[at]]], first, axis=0)
+        place[own] = np.arange(len(own))
+        row = place[self.codes]
+        at = np.flatnonzero(row >= 0)
+        return self.document[at], self.sentence[at], row[at], values
 
 
 def support_vector_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, steps: int = 40) -> np.ndarray:
@@ -191,7 +203,7 @@ def logistic(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope (not negative) and offset of P(y = 1 | f), fitted by Newton steps on smoothed targets."""
     n1, n0 = y.sum(), (1 - y).sum()
     t = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    c = np.where(y == 1, 0.5 / n1, 0.5 / n0)
+    c = np.full(len(y), 1 / len(y))
     a, b = 1.0, 0.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * f + b, -30, 30)))
@@ -204,18 +216,17 @@ def logistic(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def _starts(words: set[bytes]) -> set[bytes]:
-    """Word starts of 4 to 9 bytes, and whole words of 4 to 12."""
-    return {START + w[:k] for w in words for k in range(4, min(len(w), 9) + 1)} | {START + w + END for w in words if 4 <= len(w) <= 12}
+    """Word starts of 4 to 9 bytes, and whole words of 3 to 14."""
+    return {START + w[:k] for w in words for k in range(4, min(len(w), 9) + 1)} | {START + w + END for w in words if 3 <= len(w) <= 14}
 
 
-def choose_landmarks(docs: list[set[bytes]], toxic: np.ndarray, most: int) -> list[bytes]:
+def choose_landmarks(docs: list[set[bytes]], toxic: np.ndarray, most: int, need: int = 6) -> list[bytes]:
     """Word starts and whole words that mark toxic documents, none the start of another.
 
-    One is of use if one toxic document in fifty (three at least) has it, copies of each other not
-    counted, and as good as no clean one. Counts of hashes go first, so only strings that can be of use are held.
+    One is of use if ``need`` toxic documents have it, copies of each other not counted, and hardly a clean one (a
+    fiftieth of its share among the toxic). Counts of hashes go first, so only strings that can be of use are held.
     """
     positive = int(toxic.sum())
-    need = max(3, int(0.02 * positive))
     slots = np.zeros(1 << 22, np.int32)
     for i in np.flatnonzero(toxic):
         own = np.fromiter({zlib.crc32(s) & 0x3FFFFF for s in _starts(docs[i])}, np.int64)
@@ -230,12 +241,17 @@ def choose_landmarks(docs: list[set[bytes]], toxic: np.ndarray, most: int) -> li
     for i in np.flatnonzero(toxic == 0):
         clean.update(s for s in _starts(docs[i]) if s in held)
     scale = positive / max(1, len(docs) - positive)
-    able = sorted((s for s, ids in held.items() if clean[s] * scale <= 0.002 * len(ids)), key=lambda s: (-len(held[s]) * (1 + 0.05 * len(s)), s))
+    able = sorted((s for s, ids in held.items() if clean[s] * scale <= 0.02 * len(ids)), key=lambda s: (-len(held[s]) * (1 + 0.05 * len(s)), s))
     chosen: list[bytes] = []
+    told: set[int] = set()  # documents that a landmark explains
     for s in able:
         stem = s.rstrip(END)
-        if len(chosen) < most and not any(stem.startswith(x.rstrip(END)) or x.rstrip(END).startswith(stem) for x in chosen) and _differ(docs, held[s], need):
+        if len(chosen) >= most or any(stem.startswith(x.rstrip(END)) or x.rstrip(END).startswith(stem) for x in chosen):
+            continue
+        # what few documents have, all of which another landmark explains, is chance
+        if (len(held[s]) >= 0.05 * positive or len(set(held[s]) - told) >= need) and _differ(docs, held[s], need):
             chosen.append(s)
+            told.update(held[s])
     return chosen
 
 
@@ -251,6 +267,27 @@ def _differ(docs: list[set[bytes]], ids: list[int], need: int) -> bool:
     return False
 
 
+def clean_landmarks(words: list[bytes], values: np.ndarray, clean: np.ndarray, most: int) -> list[bytes]:
+    """The clean words that come closest to toxic landmarks, at most two for each of these."""
+    taken: Counter = Counter()
+    out: list[bytes] = []
+    top, which = values.max(axis=1), values.argmax(axis=1)
+    for i in sorted(np.flatnonzero(clean & (top > 0.35)).tolist(), key=lambda i: (-top[i], words[i])):
+        if taken[which[i]] < 2 and len(out) < most and len(words[i]) <= WINDOW - 2:
+            taken[which[i]] += 1
+            out.append(START + words[i] + END)
+    return out
+
+
+def disguises(word: bytes, rng: random.Random) -> list[bytes]:
+    """Copies of a word with characters inserted, doubled or set apart."""
+    out = [bytes([word[0]]) + b"".join(sign + word[i : i + 1] for i in range(1, len(word))) for sign in (b".", b"-", b"*")]
+    for at in range(1, len(word)):
+        out += [word[:at] + sign + word[at:] for sign in (b"*", b"-", bytes([rng.randrange(97, 123)]), word[at - 1 : at])]
+        out.append(word[:at] + rng.choice((b"**", b"--", b"..", b"xx")) + word[at:])
+    return out
+
+
 class Model:
     """A trained scorer."""
 
@@ -263,58 +300,88 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * best + self.offset, -700, 700)))
 
     def decisions(self, texts: pa.Array) -> np.ndarray:
+        """The machine's value of each text's most toxic place."""
         if self.landmarks is None:
             return np.zeros(len(texts))
         best = np.full(len(texts), self.weights[-1])
-        document, _, values = Words(texts).features(self.landmarks)
-        np.maximum.at(best, document, values @ (self.landmarks.whiten @ self.weights[:-1]) + self.weights[-1])
+        document, _, row, values = Words(texts).hits(self.landmarks)
+        np.maximum.at(best, document, (values @ (self.landmarks.whiten @ self.weights[:-1]) + self.weights[-1])[row])
         return best
 
+    def sentences(self, text: str) -> list[float]:
+        """Scores of a text's sentences, in order."""
+        own = Words(pa.array([text], pa.large_string()))
+        best = np.full(int(own.sentence[-1]) + 1, -np.inf if self.landmarks is None else self.weights[-1])
+        if self.landmarks is not None:
+            _, sentence, row, values = own.hits(self.landmarks)
+            np.maximum.at(best, sentence, (values @ (self.landmarks.whiten @ self.weights[:-1]) + self.weights[-1])[row])
+        return (1 / (1 + np.exp(-np.clip(self.slope * best + self.offset, -700, 700)))).tolist()
 
-def train(texts: list[str], toxic: np.ndarray, most: int = 48, rounds: int = 3, seed: int = 7) -> Model:
-    """Train on labelled documents held in memory."""
+
+def constant(toxic: np.ndarray) -> Model:
+    """A model that gives every text the share of toxic labels."""
+    share = float(toxic.mean()) if len(toxic) else 0.0
+    return Model(None, None, 1.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
+
+
+def train(texts: list[str], toxic: np.ndarray, most: int = 40, rounds: int = 3, seed: int = 7) -> Model:
+    """Train on labelled documents held in memory.
+
+    All sentences of a clean document are clean, and so is every place in them. Of a toxic document those
+    places are toxic that the machine of the round before finds so, or else its most toxic one.
+    """
     if not 0 < toxic.sum() < len(toxic):
-        share = float(toxic.mean()) if len(toxic) else 0.0
-        return Model(None, None, 1.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
-    chunks = [pa.array(texts[i : i + 256], pa.large_string()) for i in range(0, len(texts), 256)]
-    held: list[set[bytes]] = []
-    for chunk in chunks:
+        return constant(toxic)
+    place: dict[bytes, int] = {}
+    docs: list[set[bytes]] = []
+    for i in range(0, len(texts), 256):
+        chunk = pa.array(texts[i : i + 256], pa.large_string())
         words, own = Words(chunk), [set() for _ in chunk]
         for d, c in zip(words.document.tolist(), words.codes.tolist(), strict=True):
             own[d].add(words.words[c])
-        held += own
-    chosen = choose_landmarks(held, toxic, most)
-    del held
+        docs += own
+    chosen = choose_landmarks(docs, toxic, most)
     if not chosen:  # nothing tells the classes apart
-        share = float(toxic.mean())
-        return Model(None, None, 1.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
-    landmarks = Landmarks(chosen)
-    found = [Words(chunk).features(landmarks) for chunk in chunks]
-    document = np.concatenate([d + 256 * i for i, (d, *_) in enumerate(found)])
-    values = np.concatenate([v for *_, v in found])
-    rng = random.Random(seed)
-    padded = []
-    for s in chosen:
-        w = s.removeprefix(START).removesuffix(END)
-        for sign in (b"*", b".", b"-", b"x", w[-1:]):
-            at = rng.randrange(1, len(w))
-            padded += [w[:at] + sign + w[at:], w[:at] + sign * 2 + w[at:]]
-    hits, extra = landmarks(padded)
-    label = toxic[document]
+        return constant(toxic)
+    vocabulary = sorted(set().union(*docs))
+    marks = Landmarks(chosen)
+    parts = [(lo + hits, values) for lo in range(0, len(vocabulary), 50_000) for hits, values in [marks(vocabulary[lo : lo + 50_000])]]
+    near = [vocabulary[i] for hits, _ in parts for i in hits.tolist()]
+    place = {w: i for i, w in enumerate(near)}
+    values = np.concatenate([v for _, v in parts])
+    del parts, vocabulary
+    own = [np.array(sorted(place[w] for w in d if w in place), np.int64) for d in docs]
+    del docs
+    clean = np.zeros(len(near), bool)
+    for i in np.flatnonzero(toxic == 0):
+        clean[own[i]] = True
+    landmarks = Landmarks(chosen + clean_landmarks(near, values, clean, len(chosen)))
+    hits, rows = landmarks(near, 0.0)
     strong = values.max(axis=1)
+    values = np.zeros((len(near), len(landmarks.strings)), np.float32)
+    values[hits] = rows
+    rng = random.Random(seed)
+    extra_words = [d for s in chosen for d in disguises(s.removeprefix(START).removesuffix(END), rng)]
+    _, extra = landmarks([w for w in extra_words if w not in place or not clean[place[w]]])
+    negative = np.flatnonzero(clean & (strong > 0.3))
     weights = None
     for _ in range(rounds):
-        rank = strong if weights is None else values @ (landmarks.whiten @ weights[:-1])
-        top = np.full(len(texts), -np.inf)
-        np.maximum.at(top, document, rank)
-        positive = (label == 1) & (rank >= np.minimum(top[document], 0.9 if weights is None else 1.0))
-        x = np.vstack([values[(label == 0) | positive], extra, np.zeros((1, values.shape[1]))]) @ landmarks.whiten
-        y = np.concatenate([np.where(label[(label == 0) | positive] == 1, 1, -1), np.ones(len(extra)), [-1]])
-        n1, n0 = max(1, positive.sum()), max(1, ((label == 0) & (strong > 0.4)).sum())  # of the clean ones, those that come close
-        c = np.concatenate([np.where(y[: -1 - len(extra)] == 1, 1 / n1, 1 / n0), np.full(len(extra), 0.5 / max(1, len(extra))), [1.0]]) * 100
+        rank = strong if weights is None else values @ (landmarks.whiten @ weights[:-1]) + weights[-1]
+        votes = np.zeros(len(near))
+        for i in np.flatnonzero(toxic):
+            able = own[i][~clean[own[i]]]
+            if len(able):
+                votes[able[rank[able] >= min(rank[able].max(), 0.9)]] += 1
+        positive = np.flatnonzero(votes)
+        x = np.vstack([values[negative], values[positive], extra, np.zeros((1, values.shape[1]))]) @ landmarks.whiten
+        y = np.concatenate([-np.ones(len(negative)), np.ones(len(positive) + len(extra)), [-1]])
+        c = 100 * np.concatenate([np.full(len(negative), 3 / max(1, len(negative))), votes[positive] / max(1, votes.sum()), np.full(len(extra), 1 / max(1, len(extra))), [1.0]])
         weights = support_vector_machine(x, y, c)
     model = Model(landmarks, weights, 1.0, 0.0)
-    model.slope, model.offset = logistic(np.concatenate([model.decisions(chunk) for chunk in chunks]), toxic)
+    decide = lambda v: v @ (landmarks.whiten @ weights[:-1]) + weights[-1]
+    f = decide(values)
+    top = np.array([f[o].max(initial=weights[-1]) for o in own])
+    model.slope, model.offset = logistic(np.concatenate([top, decide(extra)]), np.concatenate([toxic, np.ones(len(extra), np.int64)]))
     return model
 
 
@@ -328,7 +395,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1000, clean_ratio:
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("is_toxic"))
     parts = [known.where(F.col("is_toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class * (1 if c else clean_ratio)) for c in (0, 1)]
     ids = parts[0].unionByName(parts[1])
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where("text IS NOT NULL").orderBy("doc_id", F.xxhash64("text")).toArrow()
+    # one row of each chosen id, so what the driver gets is bounded by the parameters
+    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(ids), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min_by(F.struct("text", "is_toxic"), F.xxhash64("text")).alias("row")).select("doc_id", "row.*").orderBy("doc_id").toArrow()
     return train(rows.column("text").to_pylist(), rows.column("is_toxic").to_numpy().astype(np.int64))
 
 
