@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import ctypes
+import os
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: glibc's call, where there is one.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
+
 #: Bytes of text handled at once inside a task.
 BATCH_BYTES = 6 << 20
 
@@ -91,7 +97,7 @@ class SegmentIds:
     """Ids of segments, kept per worker in two generations of at most ``most`` segments: what is used goes
     over to the younger one, and the older one is forgotten when the younger is full."""
 
-    def __init__(self, encode, most: int = 250_000, longest: int = 48) -> None:
+    def __init__(self, encode, most: int = 200_000, longest: int = 48) -> None:
         self.encode, self.most, self.longest = encode, most, longest
         self.old, self.young = self._empty(), self._empty()
 
@@ -137,6 +143,25 @@ class SegmentIds:
         return spread(np.concatenate([np.zeros(0, np.uint32), *parts]), at[codes], n), n
 
 
+def release() -> None:
+    """Give memory that is free inside this process back to the system: workers live on between tasks, side by side."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for what is written inside: texts may be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def spread(flat: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
     """flat[at[i] : at[i] + n[i]] of every i, one after the other."""
     ends = np.cumsum(n)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tracelink.llm.common import SegmentIds, Segments, filesystem, hash_sample, sized, strings, texts_of, unique_name
+from tracelink.llm.common import SegmentIds, Segments, filesystem, hash_sample, release, sized, small_batches, strings, texts_of, unique_name
 from tracelink.session import remove, work_path
 
 MAGIC = b"TLSHARD1"
@@ -180,6 +180,8 @@ def write_shards(
             for part in sized(batch, "text"):
                 ids = encode_texts(texts_of(part, "text"), path, end_id)
                 yield pa.record_batch([part.column("doc_id").cast(pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([packer.compress(x.astype(kind).tobytes()) for x in ids], pa.binary())], names=["doc_id", "n_tokens", "frame"])
+                del ids
+                release()
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, out, ids, ends, counts, at = unique_name("shard", ".tls"), None, [], [], [], HEAD
@@ -209,7 +211,8 @@ def write_shards(
         yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("shard", pa.int64()), ("file", pa.string()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())]))
 
     staged = work_path(spark, "frames")
-    docs.select("doc_id", "text").mapInArrow(frames, "doc_id long, n_tokens long, frame binary").write.option("compression", "none").parquet(staged)
+    with small_batches(spark):
+        docs.select("doc_id", "text").mapInArrow(frames, "doc_id long, n_tokens long, frame binary").write.option("compression", "none").parquet(staged)
     table = spark.read.parquet(staged)
     total = table.select(F.sum(F.length("frame"))).first()[0] or 0
     parts = max(spark.sparkContext.defaultParallelism, -(-total // shard_bytes))
