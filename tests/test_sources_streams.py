@@ -47,8 +47,8 @@ def test_lexicon_is_seeded_once(spark):
     name = "lexicon_for_test"
     spark.sql(f"DROP TABLE IF EXISTS {name}")
     try:
-        assert s.ensure_lexicon(spark, name, [("a", "x")]).count() == 1
-        assert s.ensure_lexicon(spark, name, [("b", "y"), ("c", "y")]).count() == 1
+        assert s.ensure_lexicon(spark, name, spark.createDataFrame([("a", "x")], "keyword string, class string")).count() == 1
+        assert s.ensure_lexicon(spark, name, spark.createDataFrame([("b", "y"), ("c", "y")], "keyword string, class string")).count() == 1
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 
@@ -70,9 +70,9 @@ def test_listing_and_json(spark):
 def test_stream_linking_equals_batch(spark, tmp_path):
     rows = [[(1, "a", "x"), (2, "a", "y")], [(3, "a", "x"), (3, "a", "y"), (4, "a", "z")]]
     schema = "record_id long, attribute string, value string"
-    for i, part in enumerate(rows):
+    for part in rows:
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         v.link_stream(v.stream_table(spark, f"{tmp_path}/in", schema), f"{tmp_path}/m", f"{tmp_path}/i", f"{tmp_path}/c")
-        got = {x.record_id: x.cluster_id for x in spark.read.parquet(f"{tmp_path}/m/v{i}").collect()}
+        got = {x.record_id: x.cluster_id for x in v.read_versions(spark, f"{tmp_path}/m").collect()}
     whole = k.link_best_match(spark.createDataFrame(sum(rows, []), schema))
     assert got == {x.record_id: x.cluster_id for x in whole.collect()}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelink.operators.joins import cluster_links
 from tracelink.session import shared_dir, written
 
 
@@ -83,18 +84,50 @@ def expand_rings(seeds: DataFrame, links: DataFrame, rings: int, cap: int | None
     return seen
 
 
-def link_reasons(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(src, dst, reasons): links between shown nodes with all shared values, in order, comma-joined."""
-    own = links.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
-    return own.groupBy("src", "dst").agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
+def expand_rings_by_values(seeds: DataFrame, values: DataFrame, rings: int, cap: int | None = None) -> DataFrame:
+    """``expand_rings`` over clusters that share a value, through ``values`` (cluster_id, attribute, value): a step goes to the new
+    nodes' values and from these to their clusters, so it costs rows, not links, however many clusters share a value."""
+    shared_dir(seeds.sparkSession)
+    own = values.where("value IS NOT NULL").select(F.col("cluster_id").alias("node"), "attribute", "value").distinct()
+    seen = seeds.select("node").distinct().withColumn("ring", F.lit(0)).checkpoint()
+    used = None
+    for ring in range(1, rings):
+        n = seen.count()
+        if cap is not None and n >= cap:
+            break
+        met = own.join(seen.where(F.col("ring") == ring - 1).select("node"), "node", "left_semi").select("attribute", "value").distinct()
+        if used is not None:  # what an earlier ring has led to is seen
+            met = met.join(used, ["attribute", "value"], "left_anti")
+        met = met.checkpoint()
+        used = met if used is None else used.unionByName(met)
+        new = own.join(met, ["attribute", "value"], "left_semi").select("node").distinct().join(seen.select("node"), "node", "left_anti")
+        if cap is not None:
+            new = new.orderBy("node").limit(cap - n)
+        grown = seen.unionByName(new.withColumn("ring", F.lit(ring))).checkpoint()
+        if grown.count() == n:
+            break
+        seen = grown
+    return seen
+
 
+def _among(nodes: DataFrame, values: DataFrame) -> DataFrame:
+    """(src, dst, reason): links, the other end the smaller, between given nodes through equal values."""
+    own = values.select("cluster_id", "attribute", "value").distinct().join(nodes.select(F.col("node").alias("cluster_id")), "cluster_id", "left_semi")
+    return cluster_links(own).select(F.col("cluster_id").alias("src"), F.col("other_id").alias("dst"), F.col("value").alias("reason"))
 
-def search_graph(hits: DataFrame, members: DataFrame, links: DataFrame, max_nodes: int = 400, max_links: int = 10) -> tuple[DataFrame, DataFrame]:
+
+def link_reasons(nodes: DataFrame, values: DataFrame) -> DataFrame:
+    """(src, dst, reasons): links between shown nodes with all shared values, in order, comma-joined. The values of shown nodes
+    alone are joined, so links are bounded by the nodes shown."""
+    return _among(nodes, values).groupBy("src", "dst").agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
+
+
+def search_graph(hits: DataFrame, members: DataFrame, values: DataFrame, max_nodes: int = 400, max_links: int = 10) -> tuple[DataFrame, DataFrame]:
     """Nodes (node, matches) and edges (src, dst) of a search: the clusters of its hits - the ``max_nodes`` with most
-    matches - and at most ``max_links`` links of each, smallest ids first."""
+    matches - and at most ``max_links`` links of each through shared values, smallest ids first. Only the nodes' values are joined."""
     nodes = members.join(hits.select("record_id").distinct(), "record_id").groupBy(F.col("cluster_id").alias("node")).agg(F.count_distinct("record_id").alias("matches")).orderBy(F.desc("matches"), "node").limit(max_nodes)
-    pairs = links.select("src", "dst").distinct().join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
     rank = F.row_number().over(Window.partitionBy("src").orderBy("dst"))
+    pairs = _among(nodes, values).select("src", "dst").distinct()
     return nodes, pairs.withColumn("r", rank).where(F.col("r") <= max_links).drop("r")
 
 
@@ -116,23 +149,27 @@ def geo_kmeans(df: DataFrame, k: int = 100, max_rounds: int = 100) -> DataFrame:
         if now == centres:
             break
         centres = now
+    else:
+        raise RuntimeError(f"centres still move after {max_rounds} rounds")
     return df.sparkSession.createDataFrame([(float(a), float(b), int(n)) for a, b, n in moved], "lat double, lon double, count long")
 
 
 def communities(edges: DataFrame, max_rounds: int = 20) -> DataFrame:
-    """(node, community) by label propagation on (src, dst, weight): in each round a node takes the label with the most
-    weight among itself and its neighbours, ties to the smallest; stops when nothing changes."""
+    """(node, community, settled) by label propagation on (src, dst, weight): in each round a node takes the label with the most
+    weight among itself and its neighbours, ties to the smallest. It ends when nothing changes or, as labels may change for ever,
+    after ``max_rounds`` rounds; ``settled`` is false where the last round still changed the label. Links of a node to itself
+    and links with a null end are left out, repeated links add up."""
     shared_dir(edges.sparkSession)
-    both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).where("src <> dst")
-    both = both.groupBy("src", "dst").agg(F.sum("weight").alias("weight")).checkpoint()
-    labels = both.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node")).checkpoint()
+    links = edges.where("src <> dst")
+    both = links.select("src", "dst", "weight").unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    both = both.groupBy("src", "dst").agg(F.sum("weight").cast("double").alias("weight")).checkpoint()
+    labels = both.select(F.col("src").alias("node")).distinct().select("node", F.col("node").alias("community"), F.lit(False).alias("settled")).checkpoint()
     for _ in range(max_rounds):
-        votes = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy("src", "community").agg(F.sum("weight").alias("w"))
-        votes = votes.unionByName(labels.select(F.col("node").alias("src"), "community", F.lit(0.5).cast(votes.schema["w"].dataType).alias("w"))).groupBy("src", "community").agg(F.sum("w").alias("w"))
-        new = votes.groupBy(F.col("src").alias("node")).agg(F.min_by("community", F.struct(-F.col("w"), F.col("community"))).alias("community")).checkpoint()
-        same = new.join(labels.withColumnRenamed("community", "before"), "node").where("community <> before").isEmpty()
-        labels = new
-        if same:
+        votes = both.join(labels.select(F.col("node").alias("dst"), "community"), "dst").groupBy("src", "community").agg(F.sum("weight").alias("w"))
+        votes = votes.unionByName(labels.select(F.col("node").alias("src"), "community", F.lit(0.5).alias("w"))).groupBy("src", "community").agg(F.sum("w").alias("w"))
+        best = votes.groupBy(F.col("src").alias("node")).agg(F.min_by("community", F.struct(-F.col("w"), F.col("community"))).alias("community"))
+        labels = best.join(labels.select("node", F.col("community").alias("before")), "node").select("node", "community", (F.col("community") == F.col("before")).alias("settled")).checkpoint()
+        if labels.where("NOT settled").isEmpty():
             break
     return labels
 

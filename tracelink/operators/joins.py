@@ -111,11 +111,12 @@ def link_by_criteria(members: DataFrame, records: DataFrame, criteria: list[tupl
     return reduce(DataFrame.unionByName, parts)
 
 
-def expand_existing(shown: DataFrame, links: DataFrame) -> DataFrame:
-    """Links between shown clusters and the others: (cluster_id, new_id, attribute, value)."""
-    both = links.select(F.col("cluster_id"), F.col("other_id").alias("new_id"), "attribute", "value").unionByName(links.select(F.col("other_id").alias("cluster_id"), F.col("cluster_id").alias("new_id"), "attribute", "value"))
-    own = shown.select("cluster_id")
-    return both.join(own, "cluster_id", "left_semi").join(own.withColumnRenamed("cluster_id", "new_id"), "new_id", "left_anti").select("cluster_id", "new_id", "attribute", "value")
+def expand_existing(shown: DataFrame, values: DataFrame) -> DataFrame:
+    """(cluster_id, new_id, attribute, value): links from shown clusters to the others through equal values. The two sides
+    are told apart before they are joined, so no link inside either is formed. Nulls link nothing; repeated rows count once."""
+    own, known = values.select("cluster_id", "attribute", "value").distinct(), shown.select("cluster_id").distinct()
+    new = own.join(known, "cluster_id", "left_anti").withColumnRenamed("cluster_id", "new_id")
+    return own.join(known, "cluster_id", "left_semi").join(new, ["attribute", "value"]).select("cluster_id", "new_id", "attribute", "value")
 
 
 def similar_pairs(df: DataFrame, column: str, block: str, max_distance: float = 0.2) -> DataFrame:

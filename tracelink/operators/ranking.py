@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PROFILE_ORDER = [["desc", "selected"], ["desc_nulls_last", "bar"], ["desc_nulls_last", "largest"], ["asc", "cluster_id"]]
+from tracelink.session import written
 
 
 def top_places(volume: DataFrame, by: str = "count", n: int = 100) -> DataFrame:
@@ -26,23 +26,36 @@ def movement_timeline(df: DataFrame, place: str = "place", ts: str = "ts", key:
     return df.withColumn("step", F.row_number().over(own.orderBy(F.asc_nulls_last(ts), key))).join(first, place).orderBy(F.asc_nulls_last("first_ts"), place, "step")
 
 
+def profile_order(totals: DataFrame) -> list[Column]:
+    """Selected first, then by the total without ``none``, then by the largest bar; nulls last, ties by cluster."""
+    return [F.desc("selected"), (F.col("total") - F.col("none")).desc_nulls_last(), F.desc_nulls_last("largest"), F.asc("cluster_id")]
+
+
 def order_profiles(totals: DataFrame) -> DataFrame:
-    """Profiles in order: selected first, then by the total without ``none``, then by the largest bar."""
-    own = totals.withColumn("bar", F.col("total") - F.col("none"))
-    return own.orderBy(*[getattr(F, f)(c) for f, c in PROFILE_ORDER])
+    """Profiles in ``profile_order``."""
+    return totals.orderBy(*profile_order(totals))
 
 
-def order_records(df: DataFrame, column: str, desc: bool = True, key: str = "record_id") -> DataFrame:
-    """Records by a column, empties last; a multi-valued column by its number of values."""
+def record_order(df: DataFrame, column: str, desc: bool = True, key: str = "record_id") -> list[Column]:
+    """By a column, empties last; a multi-valued column by its number of values; ties by ``key``."""
     kind = dict(df.dtypes)[column]
     value = F.size(column) if kind.startswith("array") else F.nullif(F.col(column), F.lit("")) if kind == "string" else F.col(column)
-    return df.orderBy(value.desc_nulls_last() if desc else value.asc_nulls_last(), key)
+    return [value.desc_nulls_last() if desc else value.asc_nulls_last(), F.asc(key)]
 
 
-def numbered(page: DataFrame, order: list, key: str = "cluster_id") -> DataFrame:
-    """(key, position) of a page of rows, whose size the caller has limited."""
-    columns = [getattr(F, c[0])(c[1]) if isinstance(c, list) else c for c in order]
-    return page.select(key, F.row_number().over(Window.orderBy(*columns)).alias("position"))
+def order_records(df: DataFrame, column: str, desc: bool = True, key: str = "record_id") -> DataFrame:
+    """Records in ``record_order``."""
+    return df.orderBy(*record_order(df, column, desc, key))
+
+
+def numbered(df: DataFrame, order: list[Column], key: str = "cluster_id") -> DataFrame:
+    """(key, position from 1) of every row in an order. Rows are sorted in ranges, and a range starts where the ranges before
+    it end: no task sees them all."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).select(key, F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
+    rows = written(ranged, "ranges")
+    sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return rows.join(before, "part").select(key, (F.col("before") + F.col("at") + 1).cast("int").alias("position"))
 
 
 def sample_members(members: DataFrame, n: int = 100) -> DataFrame:

@@ -158,14 +158,14 @@ def c9(spark, sf):
     return table(spark, sf, "pages").select("page_id", fx.strip_html(F.col("html")).alias("t"))
 
 
-@query("c10_split_values", "SELECT doc_id, unnest([v FOR v IN [trim(x) FOR x IN string_split(lower(regexp_replace(text, '<[^>]*>', '', 'g')), ',')] IF length(v) >= 4 AND NOT contains(v, 'the ')]) AS v FROM documents WHERE length(text) < 2000")
+@query("c10_split_values", "SELECT doc_id, unnest([v FOR v IN [trim(x) FOR x IN string_split(lower(regexp_replace(text, '<[^>]*>', '', 'g')), ',')] IF length(v) >= 4 AND NOT contains(v, 'the ')]) AS v FROM documents")
 def c10(spark, sf):
-    return table(spark, sf, "documents").where("length(text) < 2000").select("doc_id", F.explode(fx.split_values(F.col("text"), 4, ("the ",))).alias("v"))
+    return table(spark, sf, "documents").select("doc_id", F.explode(fx.split_values(F.col("text"), 4, ("the ",))).alias("v"))
 
 
-@query("c11_clean_text", "SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '<[^>]*>', ' ', 'g'), '&[a-z0-9#]+;', ' ', 'g'), '[0-9]+ (?:views|posts)', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS t FROM documents WHERE lang = 'en'")
+@query("c11_clean_text", "SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '<[^>]*>', ' ', 'g'), '&[a-z0-9#]+;', ' ', 'g'), '[0-9]+ (?:views|posts)', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS t FROM documents")
 def c11(spark, sf):
-    return table(spark, sf, "documents").where("lang = 'en'").select("doc_id", fx.clean_text(F.col("text")).alias("t"))
+    return table(spark, sf, "documents").select("doc_id", fx.clean_text(F.col("text")).alias("t"))
 
 
 @query("c12_url_subdomain", "SELECT page_id, nullif(regexp_extract(url, '//([^./]+)\\.', 1), '') AS site FROM pages")

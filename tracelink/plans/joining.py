@@ -110,12 +110,12 @@ def d13(spark, sf):
     return j.attribute_links(idents(spark, sf), directed=False)
 
 
-@query("d14_cluster_links", sql("members idents cluster_values", ", often AS (SELECT attribute, value FROM cluster_values GROUP BY ALL HAVING count(*) > 20) SELECT a.cluster_id, b.cluster_id AS other_id, a.attribute, a.value FROM cluster_values a JOIN cluster_values b ON a.attribute = b.attribute AND a.value = b.value AND b.cluster_id < a.cluster_id WHERE (a.attribute, a.value) NOT IN (SELECT (attribute, value) FROM often)"))
+@query("d14_cluster_links", sql("members idents cluster_values", "SELECT a.cluster_id, b.cluster_id AS other_id, a.attribute, a.value FROM cluster_values a JOIN cluster_values b ON a.attribute = b.attribute AND a.value = b.value AND b.cluster_id < a.cluster_id"))
 def d14(spark, sf):
-    return j.cluster_links(cluster_values(spark, sf), 20)
+    return j.cluster_links(cluster_values(spark, sf))
 
 
-_LONG = """, l AS (SELECT m.cluster_id, attribute, value FROM members m JOIN (SELECT l_orderkey AS record_id, l_partkey AS part, l_suppkey AS supplier FROM lineitem WHERE l_quantity >= 49) USING (record_id), LATERAL (VALUES ('part', CAST(part AS VARCHAR)), ('supplier', CAST(supplier AS VARCHAR))) AS e(attribute, value)),
+_LONG = """, l AS (SELECT m.cluster_id, attribute, value FROM members m JOIN (SELECT l_orderkey AS record_id, l_partkey AS part, l_suppkey AS supplier FROM lineitem) USING (record_id), LATERAL (VALUES ('part', CAST(part AS VARCHAR)), ('supplier', CAST(supplier AS VARCHAR))) AS e(attribute, value)),
 k AS (SELECT * FROM l WHERE (attribute, value) NOT IN (SELECT (attribute, value) FROM l GROUP BY attribute, value HAVING count(*) > 40)), c AS (SELECT cluster_id, attribute, value, count(*) AS n FROM k GROUP BY ALL),
 s AS (SELECT a.cluster_id, b.cluster_id AS other_id, a.attribute, CAST(sum(least(a.n, b.n)) AS BIGINT) AS shared FROM c a JOIN c b ON a.attribute = b.attribute AND a.value = b.value AND b.cluster_id < a.cluster_id GROUP BY ALL)
 SELECT cluster_id, other_id, 'one' AS criterion, 0.25 AS weight, shared FROM s WHERE attribute = 'part' UNION ALL SELECT cluster_id, other_id, 'both', 0.75, CAST(sum(shared) AS BIGINT) FROM s GROUP BY cluster_id, other_id HAVING count(*) = 2"""
@@ -123,14 +123,14 @@ SELECT cluster_id, other_id, 'one' AS criterion, 0.25 AS weight, shared FROM s W
 
 @query("d15_link_by_criteria", f"SELECT cluster_id, other_id, criterion, CAST(weight AS DOUBLE) AS weight, shared FROM ({sql('members', _LONG)})")
 def d15(spark, sf):
-    rows = table(spark, sf, "lineitem").where("l_quantity >= 49").select(F.col("l_orderkey").alias("record_id"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"))
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("record_id"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"))
     return j.link_by_criteria(members(spark, sf), rows, [("one", 1, ["part"]), ("both", 3, ["part", "supplier"])], 40)
 
 
-@query("d16_expand_existing", sql("members idents cluster_values", ", links AS (SELECT a.cluster_id, b.cluster_id AS other_id, a.attribute, a.value FROM cluster_values a JOIN cluster_values b ON a.attribute = b.attribute AND a.value = b.value AND b.cluster_id <> a.cluster_id), shown AS (SELECT c_custkey AS cluster_id FROM customer WHERE c_custkey % 40 = 1) SELECT cluster_id, other_id AS new_id, attribute, value FROM links WHERE cluster_id IN (SELECT cluster_id FROM shown) AND other_id NOT IN (SELECT cluster_id FROM shown)"))
+@query("d16_expand_existing", sql("members idents cluster_values", ", shown AS (SELECT c_custkey AS cluster_id FROM customer WHERE c_acctbal > 9000) SELECT a.cluster_id, b.cluster_id AS new_id, a.attribute, a.value FROM cluster_values a JOIN cluster_values b USING (attribute, value) WHERE a.cluster_id IN (SELECT cluster_id FROM shown) AND b.cluster_id NOT IN (SELECT cluster_id FROM shown)"))
 def d16(spark, sf):
-    shown = table(spark, sf, "customer").where("c_custkey % 40 = 1").select(F.col("c_custkey").alias("cluster_id"))
-    return j.expand_existing(shown, j.cluster_links(cluster_values(spark, sf)))
+    shown = table(spark, sf, "customer").where("c_acctbal > 9000").select(F.col("c_custkey").alias("cluster_id"))
+    return j.expand_existing(shown, cluster_values(spark, sf))
 
 
 @query("d17_similar_pairs", "WITH t AS (SELECT DISTINCT p_brand AS block, p_name AS text FROM part) SELECT a.block, a.text AS a, b.text AS b, levenshtein(a.text, b.text) / CAST(greatest(length(a.text), length(b.text)) AS DOUBLE) AS distance FROM t a JOIN t b ON a.block = b.block AND a.text < b.text WHERE levenshtein(a.text, b.text) / CAST(greatest(length(a.text), length(b.text)) AS DOUBLE) < 0.4")
@@ -155,10 +155,10 @@ def d19(spark, sf):
     return j.resolve_locations(c.join(n, c.c_nationkey == n.n_nationkey), places(spark, sf), "c_custkey", [F.when(k % 4 == 0, F.col("c_mktsegment")), F.when(k % 2 == 0, F.col("n_name")), F.lit("kenya")])
 
 
-@query("d20_clusters_for_fingerprint", sql("members", "SELECT DISTINCT cluster_id FROM members JOIN lineitem ON l_orderkey = record_id JOIN part ON l_partkey = p_partkey WHERE p_brand IN (SELECT p_brand FROM part WHERE p_size = 9) AND l_quantity >= 49"))
+@query("d20_clusters_for_fingerprint", sql("members", "SELECT DISTINCT cluster_id FROM members JOIN lineitem ON l_orderkey = record_id JOIN part ON l_partkey = p_partkey WHERE p_brand IN (SELECT p_brand FROM part WHERE p_size = 9)"))
 def d20(spark, sf):
     bins = table(spark, sf, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_size").alias("hash"), F.col("p_brand").alias("bin"))
-    own = table(spark, sf, "lineitem").where("l_quantity >= 49").select(F.col("l_partkey").alias("item_id"), F.col("l_orderkey").alias("record_id"))
+    own = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("item_id"), F.col("l_orderkey").alias("record_id"))
     return j.clusters_for_fingerprint(bins, own, members(spark, sf), 9)
 
 

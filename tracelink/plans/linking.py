@@ -25,32 +25,36 @@ def query(name, oracle=None):
     return add
 
 
-#: Components of the sparse identifiers: the smallest record reachable over shared values.
-_COMPONENTS = ", pairs AS (SELECT a.record_id AS a, b.record_id AS b FROM idents a JOIN idents b USING (value)), reach AS (SELECT record_id AS a, record_id AS b FROM idents UNION SELECT reach.a, pairs.b FROM reach JOIN pairs ON reach.b = pairs.a), comp AS (SELECT a AS record_id, min(b) AS component FROM reach GROUP BY 1) "
+def _rounds(rows: str, rounds: int = 14) -> str:
+    """CTEs up to ``comp`` (record_id, component) over ``rows`` (record_id, key): the smallest record of a key is passed on, a fixed
+    number of times that is more than the given tables need."""
+    out = [f"k AS MATERIALIZED ({rows})", "r0 AS MATERIALIZED (SELECT DISTINCT record_id, record_id AS label FROM k)"]
+    for n in range(rounds):
+        out.append(f"v{n} AS MATERIALIZED (SELECT key, min(label) AS m FROM k JOIN r{n} USING (record_id) GROUP BY 1)")
+        out.append(f"r{n + 1} AS MATERIALIZED (SELECT record_id, min(m) AS label FROM k JOIN v{n} USING (key) GROUP BY 1)")
+    return ", " + ", ".join(out) + f", comp AS (SELECT record_id, label AS component FROM r{rounds}) "
 
 
-def components(spark, sf):
-    return k.record_components(idents(spark, sf))
+_COMPONENTS = _rounds("SELECT record_id, value AS key FROM idents")
 
 
-def linked(spark, sf):
-    """Links between clusters (src, dst, reason)."""
-    return j.cluster_links(cluster_values(spark, sf)).select(F.col("cluster_id").alias("src"), F.col("other_id").alias("dst"), F.col("value").alias("reason"))
+def components(spark, sf):
+    return k.record_components(idents(spark, sf))
 
 
-@query("linked_activity", sql("idents", _COMPONENTS + "SELECT component, CAST(o_orderdate AS DATE) AS day, count(*) AS count FROM comp JOIN orders ON o_orderkey = record_id GROUP BY 1, 2", recursive=True))
+@query("linked_activity", sql("idents", _COMPONENTS + "SELECT component, CAST(o_orderdate AS DATE) AS day, count(*) AS count FROM comp JOIN orders ON o_orderkey = record_id GROUP BY 1, 2"))
 def linked_activity(spark, sf):
     """Who is linked by a shared identifier, and when were they active."""
     own = components(spark, sf).join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("record_id"), "o_orderdate"), "record_id")
     return a.count_of(own, "component", F.to_date("o_orderdate").alias("day"))
 
 
-@query("h8_connected_components", sql("idents", _COMPONENTS + "SELECT record_id, component FROM comp", recursive=True))
+@query("h8_connected_components", sql("idents", _COMPONENTS + "SELECT record_id, component FROM comp"))
 def h8(spark, sf):
     return components(spark, sf)
 
 
-@query("h8_component_sizes", sql("idents", _COMPONENTS + "SELECT size, count(*) AS components FROM (SELECT count(*) AS size FROM comp GROUP BY component) GROUP BY 1", recursive=True))
+@query("h8_component_sizes", sql("idents", _COMPONENTS + "SELECT size, count(*) AS components FROM (SELECT count(*) AS size FROM comp GROUP BY component) GROUP BY 1"))
 def h8b(spark, sf):
     return g.component_sizes(components(spark, sf))
 
@@ -61,7 +65,7 @@ def h1(spark, sf):
 
 
 def _two(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_quantity >= 49")
+    li = table(spark, sf, "lineitem")
     part = li.select(F.col("l_orderkey").alias("record_id"), F.lit("part").alias("attribute"), F.lpad(F.col("l_partkey").cast("string"), 6, "0").alias("value"))
     line = li.select(F.col("l_orderkey").alias("record_id"), F.lit("line").alias("attribute"), F.concat_ws("-", F.col("l_suppkey").cast("string"), F.col("l_linenumber").cast("string"), F.date_format("l_shipdate", "yyyyMM")).alias("value"))
     return part.unionByName(line).distinct()
@@ -90,11 +94,10 @@ def h5(spark, sf):
     return k.group_by_first_place(s.join(n, s.s_nationkey == n.n_nationkey).select(F.col("s_suppkey").alias("record_id"), F.concat("n_name", F.lit(", else")).alias("where")), "where")
 
 
-@query("h6_link_by_rules", sql("records", ", t AS (SELECT DISTINCT record_id, cluster_id, source, status, l_partkey AS part FROM records JOIN lineitem ON l_orderkey = record_id WHERE l_quantity >= 49), e AS (SELECT a.record_id AS a, b.record_id AS b FROM t a JOIN t b ON a.part = b.part AND a.part % 10 <> 3 AND lower(a.source) = lower(b.source) UNION SELECT a.record_id, b.record_id FROM t a JOIN t b USING (cluster_id, status)), reach AS (SELECT record_id AS a, record_id AS b FROM t UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a) SELECT min(b) AS cluster_id, a AS record_id FROM reach GROUP BY a", recursive=True))
+@query("h6_link_by_rules", sql("records", ", t AS (SELECT DISTINCT record_id, cluster_id, source, status, l_partkey AS part FROM records JOIN lineitem ON l_orderkey = record_id)" + _rounds("SELECT record_id, concat_ws('|', 'p', part, lower(source)) AS key FROM t WHERE part % 10 <> 3 UNION SELECT record_id, concat_ws('|', 'c', cluster_id, status) FROM t") + "SELECT component AS cluster_id, record_id FROM comp"))
 def h6(spark, sf):
-    own = records(spark, sf).join(table(spark, sf, "lineitem").where("l_quantity >= 49").select(F.col("l_orderkey").alias("record_id"), F.col("l_partkey").alias("part")), "record_id")
-    sources = own.select(F.lower("source").alias("s")).distinct()
-    skip = own.where("part % 10 = 3").select("part").distinct().join(sources).select(F.concat_ws("|", F.col("part").cast("string"), "s").alias("value"))
+    own = records(spark, sf).join(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("record_id"), F.col("l_partkey").alias("part")), "record_id")
+    skip = own.where("part % 10 = 3").select(F.concat_ws("|", F.col("part").cast("string"), F.lower("source")).alias("value")).distinct()
     return k.link_by_rules(own, {"part": [F.col("part"), F.col("source")], "customer": [F.col("cluster_id"), F.col("status")]}, {"part": skip})
 
 
@@ -104,53 +107,70 @@ def h7(spark, sf):
     return k.precluster(own.where("source = '1-URGENT'").select("record_id", "cluster_id"), own.where("status = 'F'").select("record_id", F.col("place").alias("cluster_id")), own.where("price > 200000").select("record_id", F.lit(7).alias("cluster_id")))
 
 
-_LINKS = ", links AS (SELECT DISTINCT a.cluster_id AS src, b.cluster_id AS dst FROM cluster_values a JOIN cluster_values b USING (attribute, value) WHERE a.cluster_id <> b.cluster_id)"
+def _steps(rings: int) -> str:
+    """CTE ``rings`` (node, ring) of ``rings`` - 1 steps from ``n0`` over shared values."""
+    out = []
+    for n in range(1, rings):
+        out.append(f"n{n} AS MATERIALIZED (SELECT DISTINCT cluster_id AS node FROM cluster_values WHERE (attribute, value) IN (SELECT (attribute, value) FROM cluster_values WHERE cluster_id IN (SELECT node FROM n{n - 1})))")
+    return ", " + ", ".join(out) + ", rings AS (SELECT node, min(ring) AS ring FROM (" + " UNION ALL ".join(f"SELECT node, {n} AS ring FROM n{n}" for n in range(rings)) + ") GROUP BY 1)"
+
+
+_SEEDS = ", n0 AS (SELECT c_custkey AS node FROM customer WHERE c_custkey <= 3)"
 
 
-@query("h9_expand_rings", sql("members idents cluster_values", _LINKS + ", rings AS (SELECT c_custkey AS node, 0 AS ring FROM customer WHERE c_custkey <= 3 UNION SELECT dst, ring + 1 FROM rings JOIN links ON src = node WHERE ring < 2) SELECT node, min(ring) AS ring FROM rings GROUP BY 1", recursive=True))
+def _seeds(spark, sf):
+    return table(spark, sf, "customer").where("c_custkey <= 3").select(F.col("c_custkey").alias("node"))
+
+
+@query("h9_expand_rings", sql("members idents cluster_values", _SEEDS + _steps(3) + " SELECT node, ring FROM rings"))
 def h9(spark, sf):
-    seeds = table(spark, sf, "customer").where("c_custkey <= 3").select(F.col("c_custkey").alias("node"))
-    return g.expand_rings(seeds, linked(spark, sf), 3)
+    return g.expand_rings_by_values(_seeds(spark, sf), cluster_values(spark, sf), 3)
 
 
-@query("h9_link_reasons", sql("members idents cluster_values", ", l AS (SELECT a.cluster_id AS src, b.cluster_id AS dst, value FROM cluster_values a JOIN cluster_values b USING (attribute, value) WHERE b.cluster_id < a.cluster_id AND a.cluster_id % 4 = 0 AND b.cluster_id % 4 = 0) SELECT src, dst, string_agg(DISTINCT value, ',' ORDER BY value) AS reasons FROM l GROUP BY 1, 2"))
+@query("h9_link_reasons", sql("members idents cluster_values", _SEEDS + _steps(2) + ", shown AS MATERIALIZED (SELECT node FROM rings ORDER BY ring, node LIMIT 300), l AS (SELECT a.cluster_id AS src, b.cluster_id AS dst, value FROM cluster_values a JOIN cluster_values b USING (attribute, value) WHERE b.cluster_id < a.cluster_id AND a.cluster_id IN (SELECT node FROM shown) AND b.cluster_id IN (SELECT node FROM shown)) SELECT src, dst, string_agg(DISTINCT value, ',' ORDER BY value) AS reasons FROM l GROUP BY 1, 2"))
 def h9b(spark, sf):
-    shown = table(spark, sf, "customer").where("c_custkey % 4 = 0").select(F.col("c_custkey").alias("node"))
-    return g.link_reasons(shown, linked(spark, sf))
+    shown = g.expand_rings_by_values(_seeds(spark, sf), cluster_values(spark, sf), 2, cap=300)
+    return g.link_reasons(shown, cluster_values(spark, sf))
+
 
+_VALUES = ", cluster_values AS (SELECT value AS cluster_id, 'record' AS attribute, record_id AS value FROM idents)"
 
-@query("h10_expand_attribute_rings", sql("idents", ", links AS (SELECT DISTINCT a.value AS src, b.value AS dst FROM idents a JOIN idents b USING (record_id) WHERE a.value <> b.value), rings AS (SELECT DISTINCT value AS node, 0 AS ring FROM idents WHERE CAST(value AS BIGINT) % 97 = 5 UNION SELECT dst, ring + 1 FROM rings JOIN links ON src = node WHERE ring < 3) SELECT node, min(ring) AS ring FROM rings GROUP BY 1", recursive=True))
+
+@query("h10_expand_attribute_rings", sql("idents", _VALUES + ", n0 AS (SELECT CAST(p_partkey AS VARCHAR) AS node FROM part WHERE p_size = 9)" + _steps(3) + " SELECT node, ring FROM rings"))
 def h10(spark, sf):
-    pairs = j.attribute_links(idents(spark, sf), directed=False).select(F.col("val1").alias("src"), F.col("val2").alias("dst"))
-    return g.expand_rings(idents(spark, sf).where("CAST(value AS BIGINT) % 97 = 5").select(F.col("value").alias("node")), pairs, 4)
+    seeds = table(spark, sf, "part").where("p_size = 9").select(F.col("p_partkey").cast("string").alias("node"))
+    return g.expand_rings_by_values(seeds, idents(spark, sf).select(F.col("value").alias("cluster_id"), F.lit("record").alias("attribute"), F.col("record_id").alias("value")), 3)
 
 
 @query("h11_search_graph", sql("records members idents cluster_values", ", hits AS (SELECT record_id FROM records WHERE price > 150000), n AS (SELECT cluster_id AS node, count(DISTINCT record_id) AS matches FROM members JOIN hits USING (record_id) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 400), l AS (SELECT DISTINCT a.cluster_id AS src, b.cluster_id AS dst FROM cluster_values a JOIN cluster_values b USING (attribute, value) WHERE b.cluster_id < a.cluster_id AND a.cluster_id IN (SELECT node FROM n) AND b.cluster_id IN (SELECT node FROM n)) SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dst) AS r FROM l) WHERE r <= 10"))
 def h11(spark, sf):
     hits = records(spark, sf).where("price > 150000").select("record_id")
-    return g.search_graph(hits, members(spark, sf), linked(spark, sf))[1]
+    return g.search_graph(hits, members(spark, sf), cluster_values(spark, sf))[1]
 
 
 def _weighted(spark, sf):
-    p = table(spark, sf, "part").select(F.col("p_partkey").alias("record_id"), "p_brand", "p_name", "p_size", F.struct((F.col("p_size") - 25).cast("double").alias("lat"), (F.col("p_partkey") % 90).cast("double").alias("lon")).alias("at"))
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("record_id"), "p_brand", "p_name", "p_type", "p_size", F.struct((F.col("p_size") - 25).cast("double").alias("lat"), (F.col("p_partkey") % 90).cast("double").alias("lon")).alias("at"))
     return p
 
 
-@query("h12_link_weighted")
+_NEAR = "SELECT a.p_partkey AS src, b.p_partkey AS dst, levenshtein(a.p_name, b.p_name) / CAST(greatest(length(a.p_name), length(b.p_name)) AS DOUBLE) AS edit, CASE WHEN a.p_type = b.p_type THEN 0 ELSE 0.5 END AS exact, 12742.0 * asin(sqrt(least(1.0, pow(sin(radians(CAST(b.p_size - a.p_size AS DOUBLE)) / 2), 2) + cos(radians(a.p_size - 25.0)) * cos(radians(b.p_size - 25.0)) * pow(sin(radians(CAST(b.p_partkey % 90 - a.p_partkey % 90 AS DOUBLE)) / 2), 2)))) AS km FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey"
+
+
+@query("h12_link_weighted", f"WITH e AS MATERIALIZED (SELECT src, dst FROM ({_NEAR}) WHERE (2 * edit + exact + least(1.0, km / 500)) / 4 < 0.35)" + _rounds("SELECT src AS record_id, src || '-' || dst AS key FROM e UNION ALL SELECT dst, src || '-' || dst FROM e UNION ALL SELECT p_partkey, CAST(p_partkey AS VARCHAR) FROM part") + "SELECT component AS cluster_id, record_id FROM comp")
 def h12(spark, sf):
-    return k.link_weighted(_weighted(spark, sf), "p_brand", [("p_name", "edit", 2.0), ("p_size", "exact", 1.0), ("at", "geo", 1.0)], 0.35)
+    return k.link_weighted(_weighted(spark, sf), ["p_brand", "p_size"], [("p_name", "edit", 2.0), ("p_type", "exact", 1.0), ("at", "geo", 1.0)], 0.35)
 
 
-@query("h13_score_members", "WITH p AS (SELECT a.p_partkey AS src, b.p_partkey AS dst, a.p_brand, levenshtein(a.p_name, b.p_name) / CAST(greatest(length(a.p_name), length(b.p_name)) AS DOUBLE) AS d FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey), q AS (SELECT src, d FROM p WHERE d < 0.4 UNION ALL SELECT dst, d FROM p WHERE d < 0.4), m AS (SELECT src, avg(d) AS d FROM q GROUP BY 1) SELECT p_brand AS cluster_id, p_partkey AS record_id, round(1 - coalesce(d, 0), 6) AS score FROM part LEFT JOIN m ON src = p_partkey")
+@query("h13_score_members", f"WITH p AS (SELECT src, dst, edit AS d FROM ({_NEAR}) WHERE edit < 0.4), q AS (SELECT src, d FROM p UNION ALL SELECT dst, d FROM p), m AS (SELECT src, avg(d) AS d FROM q GROUP BY 1) SELECT p_brand AS cluster_id, p_partkey AS record_id, round(1 - coalesce(d, 0), 6) AS score FROM part LEFT JOIN m ON src = p_partkey")
 def h13(spark, sf):
-    pairs = k.weighted_pairs(_weighted(spark, sf), "p_brand", [("p_name", "edit", 1.0)], 0.4)
+    pairs = k.weighted_pairs(_weighted(spark, sf), ["p_brand", "p_size"], [("p_name", "edit", 1.0)], 0.4)
     return k.score_members(pairs, _weighted(spark, sf).select(F.col("p_brand").alias("cluster_id"), "record_id"))[0]
 
 
 @query("h14_geo_kmeans")
 def h14(spark, sf):
     points = table(spark, sf, "embeddings").select((F.col("embedding")[0] * 180).cast("double").alias("lat"), (F.col("embedding")[1] * 360).cast("double").alias("lon"))
-    return g.geo_kmeans(points, 16, 30)
+    return g.geo_kmeans(points, 16, 300)
 
 
 @query("h16_bin_fingerprints")
@@ -166,8 +186,9 @@ def h17(spark, sf):
 
 @query("h18_communities")
 def h18(spark, sf):
-    own = linked(spark, sf).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
-    return g.communities(own)
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("record_id"), F.col("l_partkey").alias("part"))
+    own = j.link_by_criteria(members(spark, sf), rows, [("part", 1, ["part"])], 40)
+    return g.communities(own.select(F.col("cluster_id").alias("src"), F.col("other_id").alias("dst"), F.col("shared").alias("weight")))
 
 
 @query("h19_cluster_values", sql("members idents cluster_values", "SELECT cluster_id, attribute, value, count FROM cluster_values"))
@@ -180,11 +201,10 @@ def h20(spark, sf):
     return g.attribute_ids(idents(spark, sf))
 
 
-@query("f3_order_nodes", sql("members idents cluster_values", _LINKS + ", rings AS (SELECT c_custkey AS node, 0 AS ring FROM customer WHERE c_custkey <= 3 UNION SELECT dst, ring + 1 FROM rings JOIN links ON src = node WHERE ring < 1), n AS (SELECT node AS id, min(ring) AS ring FROM rings GROUP BY 1), s AS (SELECT cluster_id, count(*) AS size FROM members GROUP BY 1) SELECT id, ring, coalesce(size, 0) AS size FROM n LEFT JOIN s ON cluster_id = id", recursive=True))
+@query("f3_order_nodes", sql("members idents cluster_values", _SEEDS + _steps(2) + ", s AS (SELECT cluster_id, count(*) AS size FROM members GROUP BY 1) SELECT node AS id, ring, coalesce(size, 0) AS size FROM rings LEFT JOIN s ON cluster_id = node"))
 def f3(spark, sf):
-    seeds = table(spark, sf, "customer").where("c_custkey <= 3").select(F.col("c_custkey").alias("node"))
     size = members(spark, sf).groupBy(F.col("cluster_id").alias("id")).agg(F.count(F.lit(1)).alias("size"))
-    nodes = g.expand_rings(seeds, linked(spark, sf), 2).withColumnRenamed("node", "id").join(size, "id", "left").na.fill(0, ["size"])
+    nodes = g.expand_rings_by_values(_seeds(spark, sf), cluster_values(spark, sf), 2).withColumnRenamed("node", "id").join(size, "id", "left").na.fill(0, ["size"])
     return r.order_nodes(nodes)
 
 

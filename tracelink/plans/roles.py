@@ -35,8 +35,8 @@ def members(spark, sf):
 
 
 def idents(spark, sf):
-    """Sparse identifiers: the parts of large order lines."""
-    return table(spark, sf, "lineitem").where("l_quantity >= 49").select(F.col("l_orderkey").alias("record_id"), F.lit("part").alias("attribute"), F.col("l_partkey").cast("string").alias("value")).distinct()
+    """Identifiers: the parts of all order lines."""
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("record_id"), F.lit("part").alias("attribute"), F.col("l_partkey").cast("string").alias("value")).distinct()
 
 
 def hrefs(spark, sf):
@@ -59,7 +59,7 @@ SQL = {
     "places": "places AS (SELECT n_nationkey AS place, n_name AS name, r_name AS state, CAST((n_nationkey * 7) % 180 - 90 AS DOUBLE) AS lat, CAST((n_nationkey * 29) % 360 - 180 AS DOUBLE) AS lon, CAST((n_nationkey * 37) % 11 * 1000 AS BIGINT) AS population FROM nation JOIN region ON n_regionkey = r_regionkey)",
     "records": "records AS (SELECT o_orderkey AS record_id, o_custkey AS cluster_id, o_orderdate AS ts, o_orderpriority AS source, n_name AS region, n_nationkey AS place, o_orderstatus AS status, o_totalprice AS price, c_mktsegment AS segment FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)",
     "members": "members AS (SELECT o_custkey AS cluster_id, o_orderkey AS record_id FROM orders)",
-    "idents": "idents AS (SELECT DISTINCT l_orderkey AS record_id, 'part' AS attribute, CAST(l_partkey AS VARCHAR) AS value FROM lineitem WHERE l_quantity >= 49)",
+    "idents": "idents AS (SELECT DISTINCT l_orderkey AS record_id, 'part' AS attribute, CAST(l_partkey AS VARCHAR) AS value FROM lineitem)",
     "hrefs": "hrefs AS (SELECT DISTINCT page_id AS record_id, 'href' AS attribute, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS value FROM pages)",
     "cluster_values": "cluster_values AS (SELECT cluster_id, attribute, value, count(*) AS count FROM members JOIN idents USING (record_id) GROUP BY ALL)",
     "tags": "tags AS (SELECT event_id AS record_id, event_type AS tag, 'u' || CAST(user_id AS VARCHAR) AS \"user\" FROM events)",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,6 +81,31 @@ def a8(spark, sf):
     return s.clean_dimension(raw, T.StructType().add("id", "long").add("name", "string").add("size", "integer"))
 
 
+@query("a8_load_dimension", "SELECT CAST(c_custkey AS BIGINT) AS id, trim(c_name) AS name, CASE WHEN c_acctbal < 0 THEN 0 ELSE c_acctbal END AS balance FROM customer")
+def a8b(spark, sf):
+    at = work_path(spark, "dimension")
+    own = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.concat(F.lit(" "), "c_name").alias("name"), F.when(F.col("c_acctbal") < 0, "null").otherwise(F.col("c_acctbal").cast("string")).alias("balance"))
+    own.write.option("header", True).option("quoteAll", True).csv(at)
+    return s.load_dimension(spark, at, T.StructType().add("id", "long").add("name", "string").add("balance", "double"))
+
+
+@query("a10_datasets_with_sets", "SELECT * FROM (VALUES ('orders', 6, (SELECT count(*) FROM orders), 'one', (SELECT count(*) FROM orders)), ('orders', 6, (SELECT count(*) FROM orders), 'two', (SELECT count(*) FROM orders WHERE o_orderstatus = 'F')), ('customer', 5, (SELECT count(*) FROM customer), NULL, NULL)) AS t(dataset, columns, rows, set_id, members)")
+def a10(spark, sf):
+    at = work_path(spark, "sets")
+    u.save_cluster_set(members(spark, sf), at, "one", "p=1")
+    u.save_cluster_set(records(spark, sf).where("status = 'F'").select("cluster_id", "record_id"), at, "two", "p=2")
+    sets = spark.read.parquet(at).select(F.col("set_id").cast("string"), F.lit("orders").alias("dataset"))
+    return s.datasets_with_sets(spark, sf, ["orders", "customer"], sets)
+
+
+@query("c8_ensure_lexicon", "SELECT DISTINCT p_type AS keyword, p_brand AS class FROM part")
+def c8(spark, sf):
+    name = f"lexicon_{uuid.uuid4().hex}"
+    own = table(spark, sf, "part").select(F.col("p_type").alias("keyword"), F.col("p_brand").alias("class"))
+    s.ensure_lexicon(spark, name, own)
+    return s.ensure_lexicon(spark, name, own.limit(0))  # is there: stays as it is
+
+
 @query("a11_profiles_to_json")
 def a11(spark, sf):
     return s.profiles_to_json(a.profiles(members(spark, sf), records(spark, sf).drop("cluster_id"), ["source", "status"], ["cluster_id"], 5))
@@ -111,17 +138,32 @@ def j1(spark, sf):
 
 @query("j2_stream_linking")
 def j2(spark, sf):
-    at = work_path(spark, "idents")
+    """Three runs of the stream, each over the records that came since the one before."""
+    at, out, state, names = (work_path(spark, n) for n in ("idents", "members", "stream-state", "identifiers"))
     own = idents(spark, sf)
-    own.coalesce(1).write.parquet(at)
-    out = work_path(spark, "members")
-    v.link_stream(v.stream_table(spark, at, own.schema), out, work_path(spark, "identifiers"), work_path(spark, "stream-state"))
-    return spark.read.parquet(f"{out}/v0")
+    ends = own.agg(F.percentile_approx("record_id", [0.4, 0.7, 1.0])).first()[0]
+    for low, high in zip([None, *ends], ends, strict=False):
+        own.where(F.col("record_id") <= high).where(F.lit(True) if low is None else F.col("record_id") > low).write.mode("append").parquet(at)
+        v.link_stream(v.stream_table(spark, at, own.schema), out, names, state)
+    return v.read_versions(spark, out)
 
 
 @query("j3_stream_first_sights", "SELECT DISTINCT user_id, event_type FROM events")
 def j3(spark, sf):
-    at, schema = _events_folder(spark, sf, 1)
+    at, schema = _events_folder(spark, sf)
     out = work_path(spark, "stream-out")
     v.run_available(v.first_sights(v.stream_table(spark, at, schema), ["user_id", "event_type"], "ts", "60 days"), out, work_path(spark, "stream-state"), "append")
-    return spark.read.parquet(out).select("user_id", "event_type")
+    return spark.read.parquet(out).select("user_id", "event_type").distinct()
+
+
+@query("j3_stream_labels", "WITH e AS (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS a, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS b FROM events) SELECT event_id, CASE WHEN a = 1 THEN 'new to data' WHEN b = 1 THEN 'new to town' ELSE 'local' END AS label FROM e")
+def j3b(spark, sf):
+    at, schema = _events_folder(spark, sf)
+    found = []
+    for keys in (["user_id"], ["user_id", "event_type"]):
+        out = work_path(spark, "stream-out")
+        v.run_available(v.first_rows(v.stream_table(spark, at, schema), keys, "ts", "event_id"), out, work_path(spark, "stream-state"))
+        found.append(spark.read.parquet(out).select("first.event_id"))
+    label = F.when(F.col("data"), "new to data").when(F.col("town"), "new to town").otherwise("local")
+    own = table(spark, sf, "events").select("event_id")
+    return own.join(found[0].withColumn("data", F.lit(True)), "event_id", "left").join(found[1].withColumn("town", F.lit(True)), "event_id", "left").select("event_id", label.alias("label"))

@@ -202,9 +202,9 @@ def e19(spark, sf):
     return a.merge_timeseries(a.profiles(members(spark, sf), own_records(spark, sf), FACETS, ["cluster_id"]))
 
 
-@query("e20_related_locations", "WITH l AS (SELECT DISTINCT l_suppkey AS cluster_id, p_brand AS location FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 49) SELECT location, count(DISTINCT cluster_id) AS clusters FROM l WHERE location <> 'Brand#11' AND cluster_id IN (SELECT cluster_id FROM l WHERE location = 'Brand#11') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
+@query("e20_related_locations", "WITH l AS (SELECT DISTINCT l_suppkey AS cluster_id, p_brand AS location FROM lineitem JOIN part ON l_partkey = p_partkey) SELECT location, count(DISTINCT cluster_id) AS clusters FROM l WHERE location <> 'Brand#11' AND cluster_id IN (SELECT cluster_id FROM l WHERE location = 'Brand#11') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
 def e20(spark, sf):
-    li, p = table(spark, sf, "lineitem").where("l_quantity >= 49"), table(spark, sf, "part")
+    li, p = table(spark, sf, "lineitem"), table(spark, sf, "part")
     own = li.join(p, li.l_partkey == p.p_partkey).select(F.col("l_suppkey").alias("cluster_id"), F.col("p_brand").alias("location"))
     return a.related_locations(own, "Brand#11")
 
@@ -261,10 +261,10 @@ def f4(spark, sf):
     return r.movement_timeline(records(spark, sf)).select("place", "record_id", "step", "first_ts")
 
 
-@query("f5_order_profiles", sql("records", _FACET_SQL + ", t AS (SELECT cluster_id, CAST(sum(count) AS BIGINT) AS total, CAST(coalesce(sum(count) FILTER (value = 'none'), 0) AS BIGINT) AS none, max(count) FILTER (value <> 'none') AS largest FROM f WHERE facet = 'status' GROUP BY 1) SELECT cluster_id, CAST(row_number() OVER (ORDER BY cluster_id % 7 = 0 DESC, total - none DESC NULLS LAST, largest DESC NULLS LAST, cluster_id) AS INT) AS position FROM t ORDER BY position LIMIT 50"))
+@query("f5_order_profiles", sql("records", _FACET_SQL + ", t AS (SELECT cluster_id, CAST(sum(count) AS BIGINT) AS total, CAST(coalesce(sum(count) FILTER (value = 'none'), 0) AS BIGINT) AS none, max(count) FILTER (value <> 'none') AS largest FROM f WHERE facet = 'status' GROUP BY 1) SELECT cluster_id, CAST(row_number() OVER (ORDER BY cluster_id % 7 = 0 DESC, total - none DESC NULLS LAST, largest DESC NULLS LAST, cluster_id) AS INT) AS position FROM t"))
 def f5(spark, sf):
     own = a.facet_totals(own_facets(spark, sf)).where("facet = 'status'").withColumn("selected", F.col("cluster_id") % 7 == 0)
-    return r.numbered(r.order_profiles(own).limit(50), r.PROFILE_ORDER)
+    return r.numbered(own, r.profile_order(own))
 
 
 @query("f6_sample_members", sql("members", "SELECT cluster_id, record_id FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY record_id) AS r FROM members) WHERE r <= 2"))
@@ -277,10 +277,10 @@ def f7(spark, sf):
     return r.new_to_town(table(spark, sf, "events"), "user_id", "event_type", "ts", "event_id").select("event_id", "label")
 
 
-@query("f8_order_records", "SELECT page_id, CAST(row_number() OVER (ORDER BY n DESC, page_id) AS INT) AS position FROM (SELECT page_id, len(regexp_extract_all(html, 'href=\"')) AS n FROM pages) ORDER BY position LIMIT 20")
+@query("f8_order_records", "SELECT page_id, CAST(row_number() OVER (ORDER BY n DESC, page_id) AS INT) AS position FROM (SELECT page_id, len(regexp_extract_all(html, 'href=\"')) AS n FROM pages)")
 def f8(spark, sf):
     own = table(spark, sf, "pages").select("page_id", F.regexp_extract_all("html", F.lit('(href=")'), F.lit(1)).alias("links"))
-    return r.numbered(r.order_records(own, "links", True, "page_id").limit(20), [F.desc(F.size("links")), F.asc("page_id")], "page_id")
+    return r.numbered(own, r.record_order(own, "links", True, "page_id"), "page_id")
 
 
 @query("g1_union_links", sql("idents hrefs", "SELECT record_id, attribute, value FROM idents UNION ALL SELECT record_id, attribute, value FROM hrefs"))

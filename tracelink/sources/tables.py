@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -86,10 +88,10 @@ def clean_dimension(raw: DataFrame, schema: T.StructType) -> DataFrame:
     return raw.select(*out)
 
 
-def ensure_lexicon(spark: SparkSession, table: str, rows: list[tuple[str, str]]) -> DataFrame:
-    """The lexicon table (keyword, class), seeded with ``rows`` if there is none."""
+def ensure_lexicon(spark: SparkSession, table: str, rows: DataFrame) -> DataFrame:
+    """The lexicon table (keyword, class), seeded with the distinct ``rows`` if there is none. Rows without a keyword are left out."""
     if not spark.catalog.tableExists(table):
-        spark.createDataFrame(rows, "keyword string, class string").write.saveAsTable(table)
+        rows.select("keyword", "class").where("keyword IS NOT NULL").distinct().write.saveAsTable(table)
     return spark.table(table)
 
 
@@ -99,6 +101,14 @@ def describe_datasets(spark: SparkSession, root: str, names: list[str]) -> DataF
     return spark.createDataFrame(rows, "dataset string, column string, type string")
 
 
+def datasets_with_sets(spark: SparkSession, root: str, names: list[str], sets: DataFrame) -> DataFrame:
+    """(dataset, columns, rows, set_id, members) of the tables under a folder, a row per cluster set (set_id, dataset) of each, nulls where a dataset has none."""
+    size = lambda n: spark.read.parquet(f"{root}/{n}.parquet").agg(F.lit(n).alias("dataset"), F.count(F.lit(1)).alias("rows"))
+    columns = describe_datasets(spark, root, names).groupBy("dataset").agg(F.count(F.lit(1)).alias("columns"))
+    held = sets.groupBy("dataset", "set_id").agg(F.count(F.lit(1)).alias("members"))
+    return columns.join(reduce(DataFrame.unionByName, map(size, names)), "dataset").join(held, "dataset", "left").select("dataset", "columns", "rows", "set_id", "members")
+
+
 def profiles_to_json(profiles: DataFrame, key: str = "cluster_id") -> DataFrame:
     """(key, json): a profile's row as a JSON object, maps as objects."""
     return profiles.select(key, F.to_json(F.struct(*profiles.columns)).alias("json"))

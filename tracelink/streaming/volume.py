@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelink.operators.updates import link_incremental
+from tracelink.operators.updates import joined
 
 
 def stream_table(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -33,20 +33,32 @@ def first_sights(stream: DataFrame, keys: list[str], ts: str, late: str = "31 da
     return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).dropDuplicatesWithinWatermark(list(keys))
 
 
+def first_rows(stream: DataFrame, keys: list[str], ts: str, key: str) -> DataFrame:
+    """(keys, first): the earliest row (time, ``key``) of each key so far, as a running minimum; rows may come in any order."""
+    return stream.where(F.col(ts).isNotNull()).groupBy(*keys).agg(F.min(F.struct(F.col(ts).cast("timestamp").alias("ts"), key)).alias("first"))
+
+
+def _versions(spark: SparkSession, path: str, schema: str, before: int) -> DataFrame:
+    """What the batches before ``before`` wrote; a version is read only if its batch came before."""
+    return spark.read.schema(schema).parquet(*[f"{path}/v{i}" for i in range(before)]) if before else spark.createDataFrame([], schema)
+
+
 def link_stream(stream: DataFrame, members_path: str, identifiers_path: str, checkpoint: str) -> None:
-    """Incremental linking per micro-batch: new (record_id, attribute, value) rows join or open clusters. Each batch writes
-    new versions of the two tables beside the old ones; a repeated batch writes its version again."""
+    """Incremental linking per micro-batch: new (record_id, attribute, value) rows join or open clusters, ids of later batches being
+    larger. Each batch adds one version, its own rows alone, beside those of the batches before; a repeated batch
+    writes its version again. Rows of records that are linked already, or without a value, are left out."""
 
     def link(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        old_members, old_identifiers = (spark.read.parquet(f"{p}/v{number - 1}") if number else None for p in (members_path, identifiers_path))
-        rows = batch.select("record_id", "attribute", "value").distinct()
-        if number:
-            rows = rows.join(old_members.select("record_id"), "record_id", "left_anti")
-        else:
-            old_members = spark.createDataFrame([], "cluster_id long, record_id long")
-            old_identifiers = rows.limit(0)
-        link_incremental(rows, old_members, old_identifiers).write.mode("overwrite").parquet(f"{members_path}/v{number}")
-        old_identifiers.unionByName(rows).write.mode("overwrite").parquet(f"{identifiers_path}/v{number}")
+        members = _versions(spark, members_path, "cluster_id long, record_id long", number)
+        old = _versions(spark, identifiers_path, "record_id long, attribute string, value string", number)
+        rows = batch.select("record_id", "attribute", "value").distinct().join(members.select("record_id"), "record_id", "left_anti")
+        joined(rows, members, old).write.mode("overwrite").parquet(f"{members_path}/v{number}")
+        rows.write.mode("overwrite").parquet(f"{identifiers_path}/v{number}")
 
     stream.writeStream.foreachBatch(link).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def read_versions(spark: SparkSession, path: str) -> DataFrame:
+    """All versions under a path as one table."""
+    return spark.read.option("pathGlobFilter", "*.parquet").parquet(f"{path}/v*")
