@@ -17,14 +17,37 @@ def test_against_sql(spark, sf):
 
 
 def test_margins_meet_targets(spark):
+    """Expected kept tokens meet the targets of all margins, and so do the drawn ones, within the draw's own spread."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    p, goals = mixing.fitted(docs, 0.7, 0.7, 30, 12, None, mixing.TOPICS, None)
+    p = p.cache()
+    total = p.agg(F.sum("w")).first()[0]
+    tokens = p.agg(F.sum("tokens")).first()[0]
+    assert total == pytest.approx(0.7 * tokens, rel=1e-4) and p.where("p > 1 OR p < 0").count() == 0
+    rows = mixing.residuals(p, goals).collect()
+    assert {r.margin for r in rows} == {"mix_source", "mix_lang", "mix_topic"}
+    assert all(abs(r.expected - r.target) < 1e-4 * total for r in rows)
+    words = F.regexp_count("text", F.lit(mixing.WORD))
+    drawn = mixing.mix(docs).where("selected").withColumn("n", words)
+    for margin, column in (("mix_source", "source"), ("mix_lang", "lang"), ("mix_topic", "topic")):
+        got = {r[0]: r for r in drawn.groupBy(column).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("n2")).collect()}
+        for r in rows:
+            if r.margin == margin and r.target > 0:
+                own = got[r.value]
+                assert abs(own.n - r.target) < 5 * own.n2**0.5 + 1e-3 * total
+
+
+def test_given_targets_and_topics(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     lang = spark.createDataFrame([("en", 0.4), ("de", 0.2), ("fr", 0.2), ("es", 0.2)], "mix_lang string, target double")
-    p = mixing.probabilities(docs, keep=0.3, rounds=25, targets={"mix_lang": lang}).cache()
+    kinds = F.when(F.length("text") > 3000, "long").otherwise("short")
+    p = mixing.probabilities(docs, keep=0.1, targets={"mix_lang": lang}, topics=kinds).cache()
     total = p.agg(F.sum("w")).first()[0]
     for r in p.groupBy("mix_lang").agg(F.sum("w").alias("w")).collect():
-        assert r.w / total == pytest.approx({"en": 0.4}.get(r.mix_lang, 0.2), rel=1e-3)
-    tokens, kept = p.agg(F.sum("tokens"), F.sum(F.col("tokens") * F.col("p"))).first()
-    assert kept == pytest.approx(0.3 * tokens, rel=1e-6) and p.where("p > 1 OR p < 0").count() == 0
+        assert r.w / total == pytest.approx({"en": 0.4}.get(r.mix_lang, 0.2), rel=1e-2)
+    assert {r.mix_topic for r in p.collect()} == {"long", "short"}
+    got = mixing.mix(docs, keep=0.1, targets={"mix_lang": lang}, topics=kinds)
+    assert got.count() == docs.count() and {r[0] for r in got.select("topic").distinct().collect()} == {"long", "short"}
 
 
 def test_edge_cases(spark):
