@@ -13,7 +13,7 @@ as they stay where no probabilities meet all of them.
 The topic is a column that the caller passes, or else the first rule whose string the text contains.
 
 Every step is an aggregate or an equi join on cells: tokens are pre-aggregated map-side, margins are
-small or joined by key (see ``rake``), and the join back to the documents may be split where a cell is hot.
+small or joined by key (see ``rake`` and ``rake_few``), and the join back to the documents may be split where a cell is hot.
 
 Edge cases: a null source, language or topic counts as ``unknown``; a null or blank text has 0 tokens, and so
 does not move the weights; a cell with target 0 has probability 0; a document without tokens is kept with the mean rate
@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelink.session import shared_dir
@@ -37,7 +37,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SEED = "mix"
 #: A cell with this share of its tokens is kept whole; the rest is rounding.
 WHOLE = 1 - 1e-9
-#: Cells up to this number are raked in one partition and broadcast to the documents; more are shuffled.
+#: Cells up to this number are raked in one row and broadcast to the documents; more are shuffled.
 SMALL = 50_000
 
 
@@ -92,25 +92,38 @@ def stepped(full: Column, open_: Column) -> Column:
     return F.least(F.col("tokens").cast("double"), F.col("w") * factor)
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int, keep: float, few: bool) -> DataFrame:
-    """``cells`` with w, the expected kept tokens.
-
-    ``few`` cells, in one partition, are raked by windows, five rounds in one job. Of more cells the margins are aggregated
-    map-side and joined back, so that no task holds a whole margin.
-    """
+def rake_few(cells: DataFrame, targets: dict[str, DataFrame], rounds: int, keep: float) -> DataFrame:
+    """``rake`` for few cells: these are one row of arrays, and all rounds are one expression over it."""
+    own = cells
+    for m, t in targets.items():
+        own = own.join(t.withColumnRenamed("target", f"{m}_target"), m, "left")
+    row = own.agg(F.array_sort(F.collect_list(F.struct(*own.columns))).alias("c"))
+    row = row.selectExpr("c", "transform(c, x -> cast(x.tokens AS double)) AS t")
+    for m in targets:
+        row = row.selectExpr("*", f"array_distinct(transform(c, x -> x.{m})) AS {m}_values")
+        # the value of each cell by number, the cells of each value, and its target
+        row = row.selectExpr("*", f"transform(c, x -> cast(array_position({m}_values, x.{m}) - 1 AS int)) AS {m}_at", f"transform({m}_values, v -> filter(sequence(0, size(c) - 1), k -> c[k].{m} = v)) AS {m}_cells").drop(f"{m}_values")
+        row = row.selectExpr("*", f"transform({m}_cells, p -> coalesce(c[p[0]].{m}_target, 0D)) AS {m}_target")
+
+    def step(w: str, m: str) -> str:
+        whole = f"{w}[k] >= t[k] * {WHOLE!r}D"
+        factor = f"CASE WHEN a.o > 0 AND {m}_target[n] > a.f THEN ({m}_target[n] - a.f) / a.o WHEN a.f + a.o > 0 THEN {m}_target[n] / (a.f + a.o) ELSE 0D END"
+        sums = f"aggregate(p, named_struct('f', 0D, 'o', 0D), (a, k) -> named_struct('f', a.f + if({whole}, t[k], 0D), 'o', a.o + if({whole}, 0D, {w}[k])), a -> {factor})"
+        return f"transform(array(transform({m}_cells, (p, n) -> {sums})), s -> transform({w}, (x, k) -> least(t[k], x * s[{m}_at[k]])))[0]"
+
+    body, names = "", [f"w{n}" for n in range(len(targets))]
+    for w, m in reversed(list(zip(names, targets, strict=True))):  # each step's result is bound to a name before the next
+        body = step(w, m) if not body else f"transform(array({step(w, m)}), {names[names.index(w) + 1]} -> {body})[0]"
+    row = row.selectExpr("c", f"aggregate(sequence(1, {rounds}), transform(t, x -> x * {keep!r}D), ({names[0]}, r) -> {body}) AS w")
+    fields = ", ".join(f"'{c}', x.{c}" for c in cells.columns)
+    return row.selectExpr(f"inline(zip_with(c, w, (x, y) -> named_struct({fields}, 'w', y)))").checkpoint()
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int, keep: float) -> DataFrame:
+    """``cells`` with w, the expected kept tokens. Margins are aggregated map-side and joined back, so that no task holds a whole margin."""
     w = cells.withColumn("w", F.col("tokens").cast("double") * F.lit(keep))
     whole = F.col("w") >= F.col("tokens") * F.lit(WHOLE)
     full, open_ = F.sum(F.when(whole, F.col("tokens").cast("double")).otherwise(0.0)), F.sum(F.when(whole, 0.0).otherwise(F.col("w")))
-    if few:
-        for m, t in targets.items():
-            w = w.join(F.broadcast(t.withColumnRenamed("target", f"{m}_target")), m, "left")
-        for n in range(rounds):
-            for m in targets:
-                at = Window.partitionBy(m)
-                w = w.withColumns({"target": F.col(f"{m}_target"), "full": full.over(at), "open": open_.over(at)}).withColumn("w", stepped(F.col("full"), F.col("open"))).drop("target", "full", "open")
-            if n % 5 == 4 or n == rounds - 1:
-                w = w.checkpoint()
-        return w.select(*cells.columns, "w")
     for _ in range(rounds):
         for m, t in targets.items():
             now = w.groupBy(m).agg(full.alias("full"), open_.alias("open")).join(t, m, "left")
@@ -136,11 +149,11 @@ def fitted(docs: DataFrame, keep: float, temper: float, rounds: int, steps: int,
     cells = with_cells(docs, rules, topics).groupBy(*names).agg(F.sum(words).alias("tokens")).checkpoint()
     n, total = cells.agg(F.count(F.lit(1)), F.sum("tokens")).first()
     total = keep * float(total or 0)
-    if n <= SMALL:  # few cells rake fastest in one partition: no step needs a shuffle
+    if n <= SMALL:  # few cells lie in one partition
         cells = cells.coalesce(1).checkpoint()
     own = {m: (targets or {}).get(m) for m in names}
     goals = {m: reachable(cells, m, tempered(cells, m, temper) if t is None else t, total, steps) for m, t in own.items()}
-    w = rake(cells, goals, rounds, keep, n <= SMALL)
+    w = (rake_few if n <= SMALL else rake)(cells, goals, rounds, keep)
     return w.withColumn("p", F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(F.lit(keep))), goals
 
 
