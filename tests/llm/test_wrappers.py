@@ -48,8 +48,8 @@ def test_wrapper_accepts_its_pages():
         own = w.infer(map(shape, pages))
         for p in pages:
             items, texts = w.tree(p)
-            if w.walk(w.labelled(own), items, False, found := []):
-                assert found == list(range(len(texts)))
+            if w.walk(w.labelled(own), items, found := []):
+                assert [i for i, _ in found] == list(range(len(texts)))
             assert w.main_text(p, own).split("\n") == (texts or [""])
 
 
@@ -94,3 +94,29 @@ def test_two_templates_on_one_host(spark):
     rows = [(10 * u + 2 * i + k, url, page.format(i), want.format(i)) for u, url in enumerate(["http://mixed.example/x", None, "no-host"]) for i in range(3) for k, (page, want) in enumerate(kinds)]
     df = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
     assert {r.page_id: r.text for r in w.extract(df).collect()} == {i: want for i, _, _, want in rows}
+
+
+def test_constant_strings_are_template(spark):
+    """Neutral names all over: only the wrapper can tell the motto, the rights line and the links from the text."""
+    page = "<div class=a1><p>All the news of the valley</p></div><div class=a2><ul><li>Start<li>About us</ul></div><div class=b><h2>{0}</h2><p>Body of {0}.</p>{1}</div><div class=z>All rights reserved 2024</div>"
+    rows = [(i, "http://neutral.example/x", page.format(f"story {i}", "<p>more</p>" * (i % 3))) for i in range(6)]
+    rows += [(10 + i, "http://copies.example/x", page.format("one story", "")) for i in range(8)]  # nothing to compare with
+    rows += [(20 + i, "http://marked.example/x", f"<p>motto</p><article><p>Dear reader</p><p>text {i}</p></article>") for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in w.extract(df).collect()}
+    for i in range(6):
+        assert got[i] == "\n".join([f"story {i}", f"Body of story {i}."] + ["more"] * (i % 3))
+        assert got[20 + i] == f"Dear reader\ntext {i}"  # marked text stays, constant or not
+        alone = w.main_text(rows[i][2], None).split("\n")
+        assert alone[0] == "All the news of the valley" and alone[-1] == "All rights reserved 2024"
+    assert all(got[10 + i] == w.main_text(rows[6][2], None) for i in range(8))
+
+
+def test_deep_pages():
+    deep = "<div>" * 5000 + "text<nav>menu</nav><p>more" + "</div>" * 5000 + "<p>end"
+    assert w.main_text(deep, None) == "text\nmore\nend"
+    own = w.infer([shape(deep), shape("<div><p>x</p></div>")])
+    assert w.main_text(deep, own) == "text\nmore\nend"
+    assert w.main_text("<nav>" * 3000 + "a" + "</nav>" * 3000 + "b", None) == "b"
+    assert w.main_text("x" + "<div><article>" * 2000 + "a" + "</article></div>" * 2000 + "b", None) == "a"
+    assert w.main_text("<p>" + "<b>" * 5000 + "c", None) == "c"

@@ -12,10 +12,15 @@ distinct ones of a host are aligned - first in salted groups, then across groups
 part of all pages is neither shuffled whole nor held whole. Html itself is never shuffled unless the
 wrappers outgrow ``broadcast_bytes``.
 
-The slots of a wrapper are main text if no element around them is a menu, header, footer, sidebar, notice,
-advert, form, script or comment section, and, where the wrapper has an article or main element, if they
-lie in it. A page is walked along its host's wrapper and its blocks are taken from main slots; a page that
-the wrapper does not accept generalises it for itself first.
+Then the strings are aligned: each page is walked along its host's wrapper, and a string that the same slot holds on every page of
+the host (``least`` different pages or more) is a constant of the expression, template text and no main text; strings that
+differ leave a text slot. Strings inside an article or main element are text by their mark and are not compared, nor are those in
+elements that are dropped.
+
+What a page's text slots hold is its main text, if no element around them is a menu, header, footer, sidebar, notice,
+advert, form, script or comment section, and, where the page fills an article or main element, if they
+lie in it. A page that the wrapper does not accept generalises it for itself first. Elements nested deeper than ``DEPTH`` are
+not told apart from the one around them, unless they begin a dropped or a main part; their text stays.
 
 Edge cases: null or empty html has empty text; a null url or one without a host belongs to the host '';
 rows with the same page_id are pages of their own; unclosed and stray tags are repaired (a block
@@ -28,10 +33,13 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +61,7 @@ DROPPED_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo nav navbar navigation menu header footer sidebar aside breadcrumb breadcrumbs cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup share sharing social related recommended comment comments disqus respond replies widget toolbar pagination pager login banner".split()
 )
 MAIN = ("article", "main")
+DEPTH = 64
 
 
 @lru_cache(maxsize=65_536)
@@ -78,7 +87,8 @@ def tree(page: str) -> tuple[list, list[str]]:
     """The page's items - ["e", label, items] and ["t", number] - and its text blocks by number."""
     items: list = []
     texts: list[str] = []
-    stack: list[tuple[str, list]] = [("", items)]
+    # name, items, level, inside a dropped element, inside an article or main element
+    stack: list[tuple[str, list, int, bool, bool]] = [("", items, 0, False, False)]
     held: list[str] = []
 
     def flush() -> None:
@@ -112,7 +122,7 @@ def tree(page: str) -> tuple[list, list[str]]:
                 flush()
             continue
         if m["end"]:
-            if name in BLOCKS or any(n == name for n, _ in stack[1:]):
+            if name in BLOCKS or any(x[0] == name for x in stack):
                 close((name,))
             continue
         label, dropped = element(name, m["attrs"])
@@ -124,10 +134,15 @@ def tree(page: str) -> tuple[list, list[str]]:
             elif stack[-1][0] == "p":
                 close(("p",))
         flush()
-        own: list = []
-        stack[-1][1].append(["e", label, own])
+        _, around, level, out, inside = stack[-1]
+        if level < DEPTH or (dropped and not out) or (name in MAIN and not inside):
+            own: list = []
+            around.append(["e", label, own])
+            level += 1
+        else:
+            own = around
         if not m["attrs"].endswith("/") or name in BLOCKS:
-            stack.append((name, own))
+            stack.append((name, own, level, out or dropped, inside or name in MAIN))
     flush()
     return items, texts
 
@@ -251,16 +266,17 @@ def infer(structures: Iterator[list]) -> list:
     return out or []
 
 
-def labelled(items: list, inside: bool = False, dropped: bool = False) -> list:
-    """``items`` with slots ["t", in an article or main element, in a dropped element]."""
+def labelled(items: list, inside: bool = False, dropped: bool = False, numbers: Iterator[int] | None = None) -> list:
+    """``items`` with slots ["t", in an article or main element, in a dropped element, number]."""
+    numbers = count() if numbers is None else numbers
     out = []
     for x in items:
         if x[0] == "t":
-            out.append(["t", inside, dropped])
+            out.append(["t", inside, dropped, next(numbers)])
         elif x[0] == "e":
-            out.append(["e", x[1], labelled(x[2], inside or re.split(r"[.!]", x[1])[0] in MAIN, dropped or x[1].endswith("!"))])
+            out.append(["e", x[1], labelled(x[2], inside or re.split(r"[.!]", x[1])[0] in MAIN, dropped or x[1].endswith("!"), numbers)])
         else:
-            out.append([x[0], labelled(x[1], inside, dropped)])
+            out.append([x[0], labelled(x[1], inside, dropped, numbers)])
     return out
 
 
@@ -276,8 +292,8 @@ def flat(items: list) -> list[tuple[list, int]]:
     return out
 
 
-def walk(wrapper: list, items: list, main_only: bool, found: list[int]) -> bool:
-    """Take the numbers of the blocks in main slots; False if the wrapper does not accept the items."""
+def walk(wrapper: list, items: list, found: list[tuple[int, list]]) -> bool:
+    """Take each text block's number and slot; False if the wrapper does not accept the items."""
     places = flat(wrapper)
     at = 0
     for y in items:
@@ -290,23 +306,28 @@ def walk(wrapper: list, items: list, main_only: bool, found: list[int]) -> bool:
             return False
         slot = places[k][0]
         if y[0] == "t":
-            if not slot[2] and (slot[1] or not main_only):
-                found.append(y[1])
-        elif not walk(slot[2], y[2], main_only, found):
+            found.append((y[1], slot))
+        elif not walk(slot[2], y[2], found):
             return False
         at = k + 1
     return True
 
 
-def taken(marked: list, items: list) -> list[int] | None:
-    """The numbers of the page's blocks in main slots, or of all its blocks that are not dropped if it has none there;
-    None if the wrapper does not accept the page."""
-    found: list[int] = []
-    if not walk(marked, items, True, found):
+def place(slot: list, text: str) -> str:
+    """A string in a slot, as constants are named."""
+    return f"{slot[3]}:{xxhash.xxh64_hexdigest(text)}"
+
+
+def taken(marked: list, items: list, texts: list[str], constants: frozenset = frozenset()) -> list[int] | None:
+    """The numbers of the page's blocks in article or main slots, or, if it has none there, of all its blocks that are neither
+    dropped nor constants; None if the wrapper does not accept the page."""
+    found: list[tuple[int, list]] = []
+    if not walk(marked, items, found):
         return None
-    if not found:
-        walk(marked, items, False, found)
-    return found
+    kept = [(i, slot) for i, slot in found if not slot[2]]
+    if main := [i for i, slot in kept if slot[1]]:
+        return main
+    return [i for i, slot in kept if not constants or place(slot, texts[i]) not in constants]
 
 
 def main_text(page: str | None, wrapper: list | None) -> str:
@@ -314,7 +335,7 @@ def main_text(page: str | None, wrapper: list | None) -> str:
     items, texts = tree(page or "")
     own = fold(items)
     for candidate in ([] if wrapper is None else [wrapper, align(wrapper, own)]) + [own]:
-        found = taken(labelled(candidate), items)
+        found = taken(labelled(candidate), items, texts)
         if found is not None:
             return "\n".join(texts[i] for i in found)
     raise AssertionError("a page's own structure accepts it")
@@ -365,23 +386,57 @@ def wrappers(found: DataFrame, salts: int = 16) -> DataFrame:
     return step(step(found, F.pmod(F.xxhash64("wrapper"), F.lit(salts))), F.lit(0).cast("long"))
 
 
-def extract(pages: DataFrame, broadcast_bytes: int = 8 << 20) -> DataFrame:
+def with_wrapper(pages: DataFrame, own: DataFrame, small: bool) -> DataFrame:
+    """page_id, url and html of every page with its host and what ``own`` has of this."""
+    return pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).join(F.broadcast(own) if small else own, "host", "left")
+
+
+def constants(rows: DataFrame, least: int = 5) -> DataFrame:
+    """(host, constants): the strings, by slot, that stand outside article and main elements on every page of a host that its
+    wrapper accepts and that fills none of these, of hosts with ``least`` different pages. ``rows`` has host, html and wrapper; counts leave a task pre-aggregated."""
+    schema = pa.schema([("host", pa.string()), ("place", pa.string()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sized(batch, "html"):
+                seen: Counter = Counter()
+                for h, page, w in zip(*(part.column(c).to_pylist() for c in ("host", "html", "wrapper")), strict=True):
+                    items, texts = tree(page or "")
+                    found: list[tuple[int, list]] = []
+                    if not walk(_parsed(w)[1], items, found):
+                        continue
+                    if any(slot[1] and not slot[2] for _, slot in found):
+                        continue  # a page that fills an article or main element is told by these
+                    seen[h, "page:" + xxhash.xxh64_hexdigest(page or "")] += 1
+                    seen.update({(h, place(slot, texts[i])) for i, slot in found if not slot[2]})
+                yield pa.record_batch([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], schema=schema)
+
+    counts = rows.where("wrapper IS NOT NULL").select("host", "html", "wrapper").mapInArrow(run, "host string, place string, n long").groupBy("host", "place").agg(F.sum("n").alias("n"))
+    counts = written(counts, "strings")
+    page = F.col("place").startswith("page:")
+    totals = counts.where(page).groupBy("host").agg(F.count(F.lit(1)).alias("different"), F.sum("n").alias("pages")).where(F.col("different") >= least)
+    # what every page has is no more than one page's strings
+    return counts.where(~page).join(totals, "host").where("n = pages").groupBy("host").agg(F.collect_list("place").alias("constants"))
+
+
+def extract(pages: DataFrame, broadcast_bytes: int = 8 << 20, least: int = 5) -> DataFrame:
     """page_id, url and text (its main text) of every row of ``pages`` (page_id, url, html)."""
     own = written(wrappers(structures(pages)), "wrappers")
     small = (own.agg(F.sum(F.length("wrapper") + F.length("host"))).first()[0] or 0) <= broadcast_bytes
-    rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).join(F.broadcast(own) if small else own, "host", "left").select("page_id", "url", "html", "wrapper")
+    own = written(own.join(constants(with_wrapper(pages, own, small), least), "host", "left"), "wrappers-with-strings")
+    rows = with_wrapper(pages, own, small).select("page_id", "url", "html", "wrapper", "constants")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sized(batch, "html"):
                 out = []
-                for page, w in zip(part.column("html").to_pylist(), part.column("wrapper").to_pylist(), strict=True):
+                for page, w, fixed in zip(*(part.column(c).to_pylist() for c in ("html", "wrapper", "constants")), strict=True):
                     if w is None:
                         out.append(main_text(page, None))
                         continue
                     plain, marked = _parsed(w)
                     items, texts = tree(page or "")
-                    found = taken(marked, items)
+                    found = taken(marked, items, texts, frozenset(fixed or ()))
                     out.append(main_text(page, plain) if found is None else "\n".join(texts[i] for i in found))
                 yield pa.record_batch([part.column("page_id").cast(pa.int64()), part.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
