@@ -3,6 +3,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from tracelink.functions import text as fx
+from tracelink.operators import aggregate as ag
 from tracelink.operators import filters
 from tracelink.operators import linkage as k
 from tracelink.operators import ranking as r
@@ -76,3 +77,13 @@ def test_stream_linking_equals_batch(spark, tmp_path):
         got = {x.record_id: x.cluster_id for x in v.read_versions(spark, f"{tmp_path}/m").collect()}
     whole = k.link_best_match(spark.createDataFrame(sum(rows, []), schema))
     assert got == {x.record_id: x.cluster_id for x in whole.collect()}
+
+
+def test_sound_keys(spark):
+    rows = ["Knight, Philip", "Night Filip", "Schmidt", "Schmitt", "Robert Rupert", "", None, "Größe"]
+    df = spark.createDataFrame([(x,) for x in rows], "v string")
+    keys = {r.v: (r.m, r.p) for r in df.select("v", fx.sound_key(F.col("v")).alias("m"), fx.soundex_key(F.col("v")).alias("p")).collect()}
+    assert keys["Knight, Philip"][0] == keys["Night Filip"][0] and keys["Schmidt"][1] == keys["Schmitt"][1]
+    assert keys["Robert Rupert"][1] == "R163" and keys[""] == ("", "") and keys[None] == (None, None)
+    got = {r.value: r.refined for r in ag.refine_column(df, "v", "phonetic").collect()}
+    assert got["Schmitt"] == "Schmidt" and None not in got

@@ -86,14 +86,17 @@ def day_bucket(ts: Column, mode: str = "day") -> Column:
 
 
 def content_hash(c: Column) -> Column:
+    """Hexadecimal SHA-1 of a text's UTF-8 bytes; null for null, and a digest for an empty text."""
     return F.sha1(c.cast("binary"))
 
 
 def to_hex(c: Column) -> Column:
+    """Bytes, or a text's UTF-8 bytes, in lower-case hexadecimal; null for null, '' for ''."""
     return F.lower(F.hex(c))
 
 
 def from_hex(c: Column) -> Column:
+    """The bytes that hexadecimal digits stand for; null for null and for what is not hexadecimal."""
     return F.unhex(c)
 
 
@@ -127,3 +130,27 @@ def _starts(tokens: Column, term: str) -> Column:
 def tokens(c: Column) -> Column:
     """Lower-case words of a text."""
     return F.split(F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " ")), " ")
+
+
+#: Steps of a sound key, as (pattern, replacement) in order: silent starts, then letters and groups by sound, then repeats, then vowels.
+SOUNDS = (
+    ("\\b[kgp]n", "n"), ("\\bwr", "r"), ("\\bx", "s"), ("\\bwh", "w"), ("mb\\b", "m"),
+    ("sch", "sk"), ("tch", "x"), ("ch|sh", "x"), ("th", "0"), ("ph", "f"), ("gh", ""), ("dg", "j"), ("ck", "k"),
+    ("c[eiy]", "si"), ("g[eiy]", "ji"), ("[cq]", "k"), ("x", "x"), ("v", "f"), ("z", "s"),
+    *((f"{c}{c}+", c) for c in "bdfgjklmnprst"),
+    ("\\B[aeiouyhw]", ""),
+)
+
+
+def sound_key(c: Column) -> Column:
+    """The words of a text by sound, distinct and in order: spelling variants that are spoken alike share a key. Letters beyond a-z and digits part words."""
+    out = F.lower(c)
+    for pattern, replacement in (("[^a-z0-9]+", " "), *SOUNDS):
+        out = F.regexp_replace(out, pattern, replacement)
+    return F.array_join(F.array_sort(F.array_distinct(F.split(F.trim(out), " "))), " ")
+
+
+def soundex_key(c: Column) -> Column:
+    """The soundex codes of a text's words, distinct and in order."""
+    words = F.filter(F.split(F.regexp_replace(F.lower(c), "[^a-z]+", " "), " "), lambda w: w != "")
+    return F.array_join(F.array_sort(F.array_distinct(F.transform(words, F.soundex))), " ")

@@ -12,6 +12,7 @@ from tracelink.functions import text as fx
 
 
 def count_of(df: DataFrame, *keys, name: str = "count") -> DataFrame:
+    """Rows per key, nulls as a key of their own; no rows for an empty table."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 
 
@@ -97,6 +98,7 @@ def count_distribution(df: DataFrame, column: str) -> DataFrame:
 
 
 def top_values(df: DataFrame, column: str, n: int = 100) -> DataFrame:
+    """The ``n`` most frequent values with their count, null among them, ties in order of the value."""
     return count_of(df, column).orderBy(F.desc("count"), column).limit(n)
 
 
@@ -207,6 +209,7 @@ def tag_counts(tags: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def largest_id(df: DataFrame, key: str) -> DataFrame:
+    """The largest key, nulls aside (null for an empty table), and the number of rows."""
     return df.agg(F.max(key).alias("largest"), F.count(F.lit(1)).alias("rows"))
 
 
@@ -224,8 +227,10 @@ def count_containing(df: DataFrame, column: str, terms: list[str]) -> DataFrame:
 
 
 def refine_column(df: DataFrame, column: str, method: str = "fingerprint", n: int = 2) -> DataFrame:
-    """(value, key, refined): each spelling, its key, and the most frequent spelling with that key."""
-    key = fx.fingerprint_key(F.col("value")) if method == "fingerprint" else fx.ngram_key(F.col("value"), n)
+    """(value, key, refined): each spelling, its key by ``method`` (fingerprint, ngram, metaphone or phonetic), and the most frequent
+    spelling with that key, ties to the first in order. Nulls are left out."""
+    keys = {"fingerprint": fx.fingerprint_key, "ngram": lambda c: fx.ngram_key(c, n), "metaphone": fx.sound_key, "phonetic": fx.soundex_key}
+    key = keys[method](F.col("value"))
     counts = count_of(df.where(F.col(column).isNotNull()), F.col(column).alias("value")).withColumn("key", key)
     best = counts.groupBy("key").agg(F.min_by("value", F.struct(-F.col("count"), F.col("value"))).alias("refined"))
     return counts.join(best, "key").select("value", "key", "refined")

@@ -24,6 +24,7 @@ def predicate(df: DataFrame, column: str, op: str, value) -> Column:
 
 
 def conjunction(df: DataFrame, filters: list[tuple]) -> Column:
+    """All conditions together; true where there are none."""
     return reduce(lambda a, b: a & b, (predicate(df, *f) for f in filters), F.lit(True))
 
 
@@ -61,6 +62,7 @@ def select_with_enrichment(df: DataFrame, columns: list[str], extras: list[DataF
 
 
 def rows_for_ids(df: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """Rows whose key is among ``ids``; repeated rows stay, repeated ids count once, null keys match nothing."""
     return df.join(ids.select(key), key, "left_semi")
 
 
@@ -89,6 +91,7 @@ def lookup_identifiers(identifiers: DataFrame, values: DataFrame) -> DataFrame:
 
 
 def search_values(identifiers: DataFrame, kind: str, value: str, exact: bool = True) -> DataFrame:
+    """Identifier rows of a kind whose value is, or contains, a text, case counting; null values are left out, repeated rows stay."""
     own = identifiers.where(F.col("attribute") == kind)
     return own.where(F.col("value") == value) if exact else own.where(F.contains("value", F.lit(value)))
 

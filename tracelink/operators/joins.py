@@ -61,6 +61,7 @@ def with_demographics(places: DataFrame, measures: DataFrame, columns: list[str]
 
 
 def allow_features(features: DataFrame, allowed: DataFrame, column: str = "value") -> DataFrame:
+    """Features whose value is on the list; repeated rows stay, repeated list entries count once, nulls match nothing."""
     return features.join(allowed.select(column), column, "left_semi")
 
 

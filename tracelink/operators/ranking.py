@@ -78,14 +78,17 @@ def new_to_town(df: DataFrame, entity: str, place: str, ts: str, key: str) -> Da
 
 
 def union_links(a: DataFrame, b: DataFrame) -> DataFrame:
+    """All links of two tables, repeated ones kept."""
     return a.unionByName(b)
 
 
 def shared_records(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Records that two results have in common, once each; nulls count as equal."""
     return a.intersect(b)
 
 
 def exclude(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is not among ``ids``; repeated rows and rows with a null key stay."""
     return df.join(ids.select(key), key, "left_anti")
 
 
@@ -104,4 +107,5 @@ def merge_graphs(a: tuple[DataFrame, DataFrame], b: tuple[DataFrame, DataFrame],
 
 
 def all_tags(tags: DataFrame) -> DataFrame:
+    """Distinct tags, null as one of them if it occurs."""
     return tags.select("tag").distinct()

@@ -95,6 +95,23 @@ def c18b(spark, sf):
     return a.refine_column(table(spark, sf, "part").select(F.expr(_NAMES).alias("v")), "v", "ngram", 3)
 
 
+def _sound_sql(column: str) -> str:
+    out = f"regexp_replace(lower({column}), '[^a-z0-9]+', ' ', 'g')"
+    for pattern, replacement in fx.SOUNDS:
+        out = f"regexp_replace({out}, '{pattern}', '{replacement}', 'g')"
+    return f"array_to_string(list_sort(list_distinct(string_split(trim({out}), ' '))), ' ')"
+
+
+@query("c18_refine_metaphone", f"WITH c AS (SELECT v AS value, count(*) AS n, {_sound_sql('v')} AS key FROM (SELECT {_NAMES} AS v FROM part) GROUP BY v), b AS (SELECT key, arg_min(value, (-n, value)) AS refined FROM c GROUP BY 1) SELECT value, key, refined FROM c JOIN b USING (key)")
+def c18c(spark, sf):
+    return a.refine_column(table(spark, sf, "part").select(F.expr(_NAMES).alias("v")), "v", "metaphone")
+
+
+@query("c18_refine_phonetic")
+def c18d(spark, sf):
+    return a.refine_column(table(spark, sf, "part").select(F.expr(_NAMES).alias("v")), "v", "phonetic")
+
+
 @query("c19_minmax_scale", "SELECT c_custkey, round((c_acctbal - min(c_acctbal) OVER ()) / (max(c_acctbal) OVER () - min(c_acctbal) OVER ()), 6) AS scaled FROM customer")
 def c19(spark, sf):
     return a.minmax_scale(table(spark, sf, "customer"), "c_acctbal").select("c_custkey", "scaled")

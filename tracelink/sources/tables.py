@@ -68,6 +68,7 @@ def active_version(spark: SparkSession, root: str, name: str):
 
 
 def read_snapshot(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """The active version of a published table."""
     return spark.read.parquet(f"{root}/{name}/v{active_version(spark, root, name)['version']}")
 
 
