@@ -8,6 +8,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Paths made by ``work_path``.
+_made: list[str] = []
+
+
 def get_session(name: str = "tracelink", master: str | None = None, **conf: str) -> SparkSession:
     """A session with UTC time, adaptive execution and Arrow transfer."""
     builder = SparkSession.builder.appName(name)
@@ -43,15 +48,32 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path under the shared folder; ``clear_work`` removes it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def clear_work(spark: SparkSession) -> int:
+    """Delete the paths that this process made under the shared folder, once no result that reads them is needed any more; returns
+    how many. Results are read lazily from these tables, so only the caller knows when."""
+    gone = 0
+    while _made:
+        remove(spark, _made.pop())
+        gone += 1
+    return gone
 
 
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """``df`` written as Parquet under the shared folder and read again: lineage ends here."""
+    """``df`` written as Parquet under the shared folder and read again: lineage ends here, and so do the shuffle files of the write."""
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.options(**options).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
