@@ -24,8 +24,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents drawn by calibrated probabilities."""
-    return mixing.mix(docs).where("selected").select(docs.columns)
+    """The documents drawn by calibrated probabilities; all columns stay as they are, whatever their names."""
+    return mixing.drawn(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
