@@ -175,6 +175,12 @@ def mix(docs: DataFrame, keep: float = 0.7, temper: float = 0.7, rounds: int = 3
     return base.join(rates, names).withColumn("selected", draw(F.col("doc_id")) < F.col("probability")).withColumnRenamed("mix_topic", "topic").drop("mix_source", "mix_lang")
 
 
+def drawn(docs: DataFrame, **options) -> DataFrame:
+    """The selected rows of ``docs`` with exactly its columns; names that mixing adds may be among them."""
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "text", "source", "lang")
+    return mix(packed, **options).where("selected").select("row.*")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weight, probability and decision of every document."""
     out = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))

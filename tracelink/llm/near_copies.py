@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelink.llm.common import sized, texts_of
+from tracelink.llm.common import release, sized, texts_of
 from tracelink.operators.graph import connected_components
 from tracelink.session import written
 
@@ -82,6 +82,7 @@ def marked(docs: DataFrame, often: np.ndarray) -> DataFrame:
                         own = np.concatenate([own[~late], own[late]])
                     out.append(own[: prefix(len(own))])
                 yield pa.record_batch([part.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), lists(out)], names=["doc_id", "node", "n", "prefix"])
+                release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, n long, prefix array<long>")
 
@@ -94,6 +95,7 @@ def hashed(docs: DataFrame) -> DataFrame:
             for part in sized(batch, "text"):
                 sets = [shingles(x.as_py()) for x in texts_of(part, "text")]
                 yield pa.record_batch([pa.array([node(x) for x in sets], pa.int64()), lists(sets)], names=["node", "hashes"])
+                release()
 
     return docs.select("text").mapInArrow(run, "node long, hashes array<long>")
 
@@ -168,6 +170,7 @@ def first_of_each(docs: DataFrame) -> DataFrame:
         least = roots.groupBy("component").agg(F.min("doc_id").alias("doc_id"))
         return docs.join(least.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
     # an id repeats or is missing: rows can't be told apart by it
-    whole = with_node(docs).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text"), *docs.columns)
-    return whole.groupBy("component").agg(F.min_by(F.struct(*docs.columns), order).alias("row")).select("row.*")
+    packed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
+    whole = with_node(packed).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text"), "row")
+    return whole.groupBy("component").agg(F.min_by("row", order).alias("row")).select("row.*")

@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelink.llm.common import sized, strings, texts_of
+from tracelink.llm.common import release, sized, strings, texts_of
 
 #: Characters of a subsequence, weight of a skipped character, and places from one character to the next at most.
 ORDER, DECAY, REACH = 4, 0.8, 3
@@ -111,8 +111,8 @@ class Landmarks:
     def kernel(self, words: list[bytes]) -> np.ndarray:
         """Kernel of each word with each landmark."""
         out = np.zeros((len(words), len(self.strings)), np.float32)
-        for lo in range(0, len(words), 20_000):
-            flat, owner = self._stream(words[lo : lo + 20_000])
+        for lo in range(0, len(words), 4000):
+            flat, owner = self._stream(words[lo : lo + 4000])
             for word, key, weight in self._subsequences(flat, owner):
                 row = self.row[key]
                 some = np.flatnonzero(row >= 0)
@@ -410,6 +410,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for part in sized(batch, "text"):
                 s = shared.value.scores(texts_of(part, "text"))
                 yield pa.record_batch([part.column("doc_id").cast(pa.int64()), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
+                release()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
 
@@ -422,6 +423,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for part in sized(batch, "text"):
                 yield part.filter(pa.array(shared.value.scores(texts_of(part, "text")) < 0.5))
+                release()
 
     return docs.mapInArrow(run, docs.schema)
 
