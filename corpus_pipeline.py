@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelink.llm import bpe, mixing, near_copies, toxicity
+from tracelink.llm import bpe, mixing, simhash, toxicity
 from tracelink.session import written
 
 
@@ -19,8 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies (five-word Jaccard of 0.8 or more): that with the smallest doc_id."""
-    return near_copies.first_of_each(docs)
+    """One document of each component of SimHash neighbours (five-word shingles, 6 bits or fewer): that with the smallest doc_id."""
+    return simhash.first_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
