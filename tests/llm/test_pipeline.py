@@ -4,7 +4,7 @@ import numpy as np
 import public_tokenizers
 
 import corpus_pipeline
-from tracelink.llm import bpe, mixing, toxicity
+from tracelink.llm import bpe, mixing, simhash, toxicity
 
 
 def test_stages(spark):
@@ -19,9 +19,8 @@ def test_stages(spark):
 
     single = corpus_pipeline.drop_near_copies(spark, clean, sf).cache()
     ids = sorted(r.doc_id for r in clean.collect())
-    words = [rows[i].text.lower().split() for i in ids]
-    sets = [{" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in words]
-    near = np.array([[a == b or (bool(a) and bool(b) and 5 * len(a & b) >= 4 * len(a | b)) for b in sets] for a in sets])
+    fps = np.array([simhash.fingerprint(rows[i].text.encode(), 5) for i in ids], np.uint64)
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 6
     own, todo = np.arange(len(ids)), True
     while todo:
         new = np.where(near, own[None, :], len(ids)).min(axis=1)

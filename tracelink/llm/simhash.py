@@ -182,14 +182,14 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, count: i
     return marked.join(own, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def first_of_each(docs: DataFrame, **options) -> DataFrame:
-    """One row of each component, all columns kept: of the rows with the component's smallest doc_id (null, if
-    none has one) that with the smallest hash of its text. For tables whose doc_ids repeat or are missing."""
-    marked = written(fingerprints(docs), "fingerprinted", compression="zstd")
-    own = components(marked.select("doc_id", "fp"), **options)
+def first_of_each(docs: DataFrame, width: int = 5, distance: int = 6, count: int = 4) -> DataFrame:
+    """One row of each component, all columns kept whatever their names: of the rows with the component's smallest doc_id (null, if
+    none has one) that with the smallest hash of its text. For tables whose doc_ids repeat or are missing as well."""
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    marked = written(fingerprints(packed, width), "fingerprinted", compression="zstd")
+    own = components(marked.select("doc_id", "fp"), distance, count)
     rows = marked.join(own, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = rows.groupBy("root").agg(F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64("text"), *docs.columns)).alias("row"))
-    return first.select("row.*")
+    return rows.groupBy("root").agg(F.min_by("row", F.struct(F.xxhash64("text"), "row")).alias("row")).select("row.*")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
