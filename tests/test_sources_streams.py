@@ -87,3 +87,15 @@ def test_sound_keys(spark):
     assert keys["Robert Rupert"][1] == "R163" and keys[""] == ("", "") and keys[None] == (None, None)
     got = {r.value: r.refined for r in ag.refine_column(df, "v", "phonetic").collect()}
     assert got["Schmitt"] == "Schmidt" and None not in got
+
+
+def test_written_tables_and_their_removal(spark):
+    from tracelink import session
+
+    before = spark.conf.get(session._CLEANUP, None)
+    out = session.written(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count(), "for-test")
+    assert out.count() == 7 and spark.conf.get(session._CLEANUP, None) == before
+    path = out.inputFiles()[0]
+    assert session.clear_work(spark) > 0 and session.clear_work(spark) == 0
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    assert not files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(files)
