@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import pickle
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -56,6 +57,23 @@ def unique_name(prefix: str, suffix: str) -> str:
     return f"{prefix}-{uuid.uuid4().hex}{suffix}"
 
 
+def save(directory: str, kind: str, value) -> str:
+    """Store a value in a file of its own under ``directory``, a folder that all executors share; returns the file's name."""
+    store, to = filesystem(directory)
+    store.create_dir(to, recursive=True)
+    name = unique_name(kind, ".bin")
+    with store.open_output_stream(f"{to}/{name}", compression=None) as out:
+        out.write(pickle.dumps(value, protocol=5))
+    return name
+
+
+def load(directory: str, name: str):
+    """The value of a file that ``save`` wrote in this job."""
+    store, to = filesystem(directory)
+    with store.open_input_stream(f"{to}/{name}", compression=None) as f:
+        return pickle.loads(f.read())
+
+
 class Segments:
     """Cuts texts where no token can cross, so that equal segments are encoded once per worker.
 
