@@ -39,6 +39,33 @@ def texts_of(batch: pa.RecordBatch, column: str) -> pa.Array:
     return pc.fill_null(batch.column(column).cast(pa.large_string()), "")
 
 
+#: Each byte as it is, but A-Z as a-z.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def words(texts: pa.Array, apart: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """All words of some large-string texts, A-Z lower-cased, as one binary array, and the place of each text's first word (plus the end).
+    Words are the longest runs of bytes that ``apart`` (256 booleans) does not mark; no byte of a longer UTF-8 character may be marked."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    held = texts.buffers()[2] if len(texts) else None
+    data = np.frombuffer(held, np.uint8)[offsets[0] : offsets[-1]] if held is not None else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0]
+    inside = ~apart[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    heads = offsets[:-1][offsets[:-1] < offsets[1:]]
+    first[heads] = inside[heads]  # a word does not go on in the next text
+    starts = np.flatnonzero(first)
+    before = np.cumsum(inside, dtype=np.int32 if len(data) < 1 << 31 else np.int64) if len(data) else np.zeros(0, np.int32)
+    kept = LOWER[data[inside]]
+    if len(kept) >= 1 << 31:
+        raise ValueError("texts of 2 GiB or more in one batch")
+    ends = np.empty(len(starts) + 1, np.int32)
+    ends[:-1], ends[-1] = before[starts] - 1, len(kept)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(kept)]), np.searchsorted(starts, offsets)
+
+
 def hash_sample(df: DataFrame, key: str, size: int) -> DataFrame:
     """Rows of ``size`` ids with the smallest hashes, at most ``4 * size`` rows: the ids are chosen from the key column alone,
     each task keeping its ``size`` smallest, so only the chosen rows' other columns are read."""
