@@ -66,8 +66,12 @@ def clear_work(spark: SparkSession) -> int:
 
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """``df`` written as Parquet under the shared folder and read again: lineage ends here, and so do the shuffle files of the write."""
+    return written_to(df, work_path(df.sparkSession, name), **options)
+
+
+def written_to(df: DataFrame, path: str, **options: str) -> DataFrame:
+    """``written`` at a given path, for tables that are removed before the session ends."""
     spark = df.sparkSession
-    path = work_path(spark, name)
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
