@@ -43,3 +43,9 @@ def test_equals_sql(spark, con, name):
 
 def test_names():
     assert set(SQL) <= set(QUERIES)
+
+
+@pytest.mark.parametrize("name, branch, values", [("b8_search_place", None, None), ("d5_clusters_at", None, None), ("d6_attributes_at", None, None), ("d15_link_by_criteria", "criterion", {"one", "both"}), ("d19_resolve_locations", "step", {0, 1, 2})])
+def test_no_branch_is_empty(con, name, branch, values):
+    found = con.execute(f"SELECT DISTINCT {branch or 1} FROM ({SQL[name]})").fetchall()
+    assert {r[0] for r in found} == (values or {1})

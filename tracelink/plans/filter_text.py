@@ -59,9 +59,9 @@ def b8a(spark, sf):
     return f.search(records(spark, sf), idents(spark, sf), places(spark, sf), "(1)-7")
 
 
-@query("b8_search_place", sql("records", "SELECT record_id FROM records WHERE contains(lower(region), 'france')"))
+@query("b8_search_place", sql("records", "SELECT record_id FROM records WHERE contains(lower(region), 'nation_2')"))
 def b8b(spark, sf):
-    return f.search(records(spark, sf).withColumn("text", F.lit("")), idents(spark, sf), places(spark, sf), "France")
+    return f.search(records(spark, sf).withColumn("text", F.lit("")), idents(spark, sf), places(spark, sf), "Nation_2")
 
 
 _WORDS = "string_split(trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g')), ' ')"

@@ -56,17 +56,17 @@ def d4(spark, sf):
     return j.with_source(table(spark, sf, "customer"), sources, "c_nationkey").select("c_custkey", "c_nationkey", "source_name")
 
 
-@query("d5_clusters_at", sql("records members", PROFILES + ", loc AS (SELECT region AS location, cluster_id, count(*) AS matches FROM records GROUP BY 1, 2) SELECT location, cluster_id, matches, record_count FROM loc JOIN profiles USING (cluster_id) WHERE location = 'CHINA'"))
+@query("d5_clusters_at", sql("records members", PROFILES + ", loc AS (SELECT region AS location, cluster_id, count(*) AS matches FROM records GROUP BY 1, 2) SELECT location, cluster_id, matches, record_count FROM loc JOIN profiles USING (cluster_id) WHERE location = 'NATION_3'"))
 def d5(spark, sf):
     located = records(spark, sf).groupBy(F.col("region").alias("location"), "cluster_id").agg(F.count(F.lit(1)).alias("matches"))
-    return j.profiles_at(located, customer_profiles(spark, sf), "CHINA").select("location", "cluster_id", "matches", "record_count")
+    return j.profiles_at(located, customer_profiles(spark, sf), "NATION_3").select("location", "cluster_id", "matches", "record_count")
 
 
-@query("d6_attributes_at", sql("records idents", ", p AS (SELECT value, count(*) AS record_count FROM idents GROUP BY 1), loc AS (SELECT region AS location, value, count(*) AS matches FROM records JOIN idents USING (record_id) GROUP BY 1, 2) SELECT location, value, matches, record_count FROM loc JOIN p USING (value) WHERE location = 'CHINA'"))
+@query("d6_attributes_at", sql("records idents", ", p AS (SELECT value, count(*) AS record_count FROM idents GROUP BY 1), loc AS (SELECT region AS location, value, count(*) AS matches FROM records JOIN idents USING (record_id) GROUP BY 1, 2) SELECT location, value, matches, record_count FROM loc JOIN p USING (value) WHERE location = 'NATION_3'"))
 def d6(spark, sf):
     own = idents(spark, sf)
     located = records(spark, sf).join(own, "record_id").groupBy(F.col("region").alias("location"), "value").agg(F.count(F.lit(1)).alias("matches"))
-    return j.profiles_at(located, own.groupBy("value").agg(F.count(F.lit(1)).alias("record_count")), "CHINA", "value").select("location", "value", "matches", "record_count")
+    return j.profiles_at(located, own.groupBy("value").agg(F.count(F.lit(1)).alias("record_count")), "NATION_3", "value").select("location", "value", "matches", "record_count")
 
 
 @query("d7_with_scores", sql("members", PROFILES + "SELECT cluster_id, record_count, round(c_acctbal / 7, 2) AS score FROM profiles LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON c_custkey = cluster_id"))
@@ -115,7 +115,7 @@ def d14(spark, sf):
     return j.cluster_links(cluster_values(spark, sf))
 
 
-_LONG = """, l AS (SELECT m.cluster_id, attribute, value FROM members m JOIN (SELECT l_orderkey AS record_id, l_partkey AS part, l_suppkey AS supplier FROM lineitem) USING (record_id), LATERAL (VALUES ('part', CAST(part AS VARCHAR)), ('supplier', CAST(supplier AS VARCHAR))) AS e(attribute, value)),
+_LONG = """, l AS (SELECT m.cluster_id, attribute, value FROM members m JOIN (SELECT l_orderkey AS record_id, l_partkey AS part, l_partkey || '-' || CAST(l_quantity AS INT) AS lot FROM lineitem) USING (record_id), LATERAL (VALUES ('part', CAST(part AS VARCHAR)), ('lot', lot)) AS e(attribute, value)),
 k AS (SELECT * FROM l WHERE (attribute, value) NOT IN (SELECT (attribute, value) FROM l GROUP BY attribute, value HAVING count(*) > 40)), c AS (SELECT cluster_id, attribute, value, count(*) AS n FROM k GROUP BY ALL),
 s AS (SELECT a.cluster_id, b.cluster_id AS other_id, a.attribute, CAST(sum(least(a.n, b.n)) AS BIGINT) AS shared FROM c a JOIN c b ON a.attribute = b.attribute AND a.value = b.value AND b.cluster_id < a.cluster_id GROUP BY ALL)
 SELECT cluster_id, other_id, 'one' AS criterion, 0.25 AS weight, shared FROM s WHERE attribute = 'part' UNION ALL SELECT cluster_id, other_id, 'both', 0.75, CAST(sum(shared) AS BIGINT) FROM s GROUP BY cluster_id, other_id HAVING count(*) = 2"""
@@ -123,8 +123,8 @@ SELECT cluster_id, other_id, 'one' AS criterion, 0.25 AS weight, shared FROM s W
 
 @query("d15_link_by_criteria", f"SELECT cluster_id, other_id, criterion, CAST(weight AS DOUBLE) AS weight, shared FROM ({sql('members', _LONG)})")
 def d15(spark, sf):
-    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("record_id"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"))
-    return j.link_by_criteria(members(spark, sf), rows, [("one", 1, ["part"]), ("both", 3, ["part", "supplier"])], 40)
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("record_id"), F.col("l_partkey").alias("part"), F.concat_ws("-", F.col("l_partkey").cast("string"), F.col("l_quantity").cast("int").cast("string")).alias("lot"))
+    return j.link_by_criteria(members(spark, sf), rows, [("one", 1, ["part"]), ("both", 3, ["part", "lot"])], 40)
 
 
 @query("d16_expand_existing", sql("members idents cluster_values", ", shown AS (SELECT c_custkey AS cluster_id FROM customer WHERE c_acctbal > 9000) SELECT a.cluster_id, b.cluster_id AS new_id, a.attribute, a.value FROM cluster_values a JOIN cluster_values b USING (attribute, value) WHERE a.cluster_id IN (SELECT cluster_id FROM shown) AND b.cluster_id NOT IN (SELECT cluster_id FROM shown)"))
@@ -148,11 +148,11 @@ def d18(spark, sf):
     return j.geocode(rows, places(spark, sf), "k", "w")
 
 
-@query("d19_resolve_locations", sql("places", ", t AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN c_mktsegment END AS a, CASE WHEN c_custkey % 2 = 0 THEN n_name END AS b, 'kenya' AS c FROM customer JOIN nation ON c_nationkey = n_nationkey) SELECT c_custkey, coalesce(x.name, y.name) AS label, coalesce(x.lat, y.lat) AS lat, coalesce(x.lon, y.lon) AS lon, CASE WHEN x.name IS NOT NULL THEN 1 ELSE 2 END AS step FROM t LEFT JOIN places x ON lower(x.name) = lower(b) LEFT JOIN places y ON lower(y.name) = c WHERE coalesce(x.name, y.name) IS NOT NULL"))
+@query("d19_resolve_locations", sql("places", ", t AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'nation_' || (c_custkey % 40) END AS a, CASE WHEN c_custkey % 2 = 0 THEN n_name END AS b, 'nation_4' AS c FROM customer JOIN nation ON c_nationkey = n_nationkey) SELECT c_custkey, coalesce(x.name, y.name, z.name) AS label, coalesce(x.lat, y.lat, z.lat) AS lat, coalesce(x.lon, y.lon, z.lon) AS lon, CASE WHEN x.name IS NOT NULL THEN 0 WHEN y.name IS NOT NULL THEN 1 ELSE 2 END AS step FROM t LEFT JOIN places x ON lower(x.name) = a LEFT JOIN places y ON lower(y.name) = lower(b) LEFT JOIN places z ON lower(z.name) = c WHERE coalesce(x.name, y.name, z.name) IS NOT NULL"))
 def d19(spark, sf):
     c, n = table(spark, sf, "customer"), table(spark, sf, "nation")
     k = F.col("c_custkey")
-    return j.resolve_locations(c.join(n, c.c_nationkey == n.n_nationkey), places(spark, sf), "c_custkey", [F.when(k % 4 == 0, F.col("c_mktsegment")), F.when(k % 2 == 0, F.col("n_name")), F.lit("kenya")])
+    return j.resolve_locations(c.join(n, c.c_nationkey == n.n_nationkey), places(spark, sf), "c_custkey", [F.when(k % 4 == 0, F.concat(F.lit("nation_"), (k % 40).cast("string"))), F.when(k % 2 == 0, F.col("n_name")), F.lit("nation_4")])
 
 
 @query("d20_clusters_for_fingerprint", sql("members", "SELECT DISTINCT cluster_id FROM members JOIN lineitem ON l_orderkey = record_id JOIN part ON l_partkey = p_partkey WHERE p_brand IN (SELECT p_brand FROM part WHERE p_size = 9)"))
