@@ -79,6 +79,38 @@ def test_seeds_in_chunks(spark, many):
     assert whole == want and groups(k.link_by_seed(own, ["b", "a"], 1, chunk_rows=8)) == want
 
 
+def by_seeds(rows, order, least):
+    """The sequential rule over (record, attribute, value)."""
+    held, out, records = {}, {}, {}
+    for r, a, v in rows:
+        if r is not None and v is not None:
+            records.setdefault(r, set()).add((a, v))
+    for r in sorted(records):
+        own = sorted((order.index(a) if a in order else len(order), v, a) for a, v in records[r] if len(v) >= least)
+        out[r] = next((held[x[1:]] for x in own if x[1:] in held), r)
+        if out[r] == r:
+            held |= {x[1:]: r for x in own}
+    return out
+
+
+@pytest.mark.parametrize("chunk, parts", [(1, 3), (40, 7), (100_000, 1)])
+def test_seeds_in_rounds(spark, chunk, parts):
+    """One giant component, a hot value, short values, chains in id order and repeated rows, at any partition number."""
+    rng = random.Random(5)
+    rows = [(r, rng.choice("abc"), str(rng.randrange(6, 40))) for r in range(1, 70) for _ in range(rng.randrange(1, 4))]
+    rows += [(r, "c", "hot1") for r in range(30, 60)] + [(r, "a", f"{r:04}") for r in range(70, 90)] + [(r + 1, "a", f"{r:04}") for r in range(70, 90)]
+    rows += [rows[0], (200, "a", "x"), (201, "b", None), (None, "a", "0071"), (202, "a", "x")]
+    df = spark.createDataFrame([(*x, "other", 1) for x in rows], IDS + ", least string, seed int").repartition(parts)
+    got = k.link_by_seed(df, ["b", "a"], 2, chunk_rows=chunk).collect()
+    assert {r.record_id: r.cluster_id for r in got} == by_seeds(rows, ["b", "a"], 2) and len(got) == len({r.record_id for r in got})
+    assert k.link_by_seed(df.limit(0), ["a"]).count() == 0
+    flat = spark.createDataFrame([(r, f"p{r % 40}", v) for r, _, v in rows if r is not None], "record_id long, p string, s string")
+    named = {p: min(r for r, _, _ in rows if r is not None and r % 40 == int(p[1:])) for p in {f"p{r % 40}" for r, _, _ in rows if r is not None}}
+    joined = by_seeds([(named[f"p{r % 40}"], "s", v) for r, _, v in rows if r is not None], ["s"], 1)
+    want = {r: joined.get(named[f"p{r % 40}"], named[f"p{r % 40}"]) for r, _, _ in rows if r is not None}
+    assert {r.record_id: r.cluster_id for r in k.link_primary_secondary(flat, "p", "s", chunk).collect()} == want
+
+
 def test_incremental_equals_whole_run(spark, many):
     old = idents(spark, {i: v for i, v in many.items() if i <= 40}).distinct()
     new = idents(spark, {i: v for i, v in many.items() if i > 40}).distinct()

@@ -163,10 +163,70 @@ def link_best_match(identifiers: DataFrame, chunk_rows: int = CHUNK_ROWS) -> Dat
     return sequential(identifiers, BestMatch(), chunk_rows)
 
 
+def first_seeds(rows: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """record_id of the seeds among (record_id, attribute, value): records that share no value with a smaller seed.
+
+    Rounds over all records at once: a record that is the smallest undecided one of each of its values is a seed, and all other
+    records that hold a value of a new seed are none. What is undecided shares no value with a seed, so the rest
+    is the same question on fewer rows. Up to ``chunk_rows`` rows are answered in one pass in id order. A round that decides fewer than that
+    (a long chain of records in id order) is followed by a pass over the smallest ids, which are a run of their own.
+    """
+    keys = ["attribute", "value"]
+    left = written(rows.select("record_id", *keys), "seed-rows")
+    n, seeds = left.count(), [rows.select("record_id").limit(0)]
+
+    def passed(df: DataFrame) -> DataFrame:
+        own = df.select(F.lit(0).alias("component"), "record_id", *keys)
+        return written(_run(own, Seeds([], 0)).where("cluster_id = record_id").select("record_id"), "seeds")
+
+    def without(new: DataFrame, decided: DataFrame) -> DataFrame:
+        """Rows of records that share no value with a new seed and are not ``decided``."""
+        held = left.join(new, "record_id", "left_semi").select(keys)
+        gone = left.join(held, keys, "left_semi").select("record_id").unionByName(decided).distinct()
+        return written(left.join(gone, "record_id", "left_anti"), "seed-rows")
+
+    while n > chunk_rows:
+        least = left.groupBy(keys).agg(F.min("record_id").alias("least"))
+        new = left.join(least, keys).groupBy("record_id").agg(F.min("least").alias("least")).where("least = record_id").select("record_id")
+        new = written(new, "seeds")
+        left, before = without(new, new), n
+        seeds.append(new)
+        n = left.count()
+        if before - n < chunk_rows < n:
+            last = left.select("record_id").orderBy("record_id").limit(chunk_rows).agg(F.max("record_id")).first()[0]
+            front = left.where(F.col("record_id") <= last)
+            new = passed(front)
+            left = without(new, front.select("record_id"))
+            seeds.append(new)
+            n = left.count()
+    if n:
+        seeds.append(passed(left))
+    return reduce(DataFrame.unionByName, seeds)
+
+
+def seed_clusters(identifiers: DataFrame, order: list[str], least: int, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """(cluster_id, record_id) as a run of ``Seeds`` over the records in id order gives them, in rounds: the seeds first, then every other record
+    joins, of the smaller seeds that hold one of its values, that of its first value. Values of one record
+    link nothing; a record with values but none of ``least`` characters stays alone."""
+    own = identifiers.where("value IS NOT NULL AND record_id IS NOT NULL").select(F.col("record_id").cast("long"), "attribute", F.col("value").cast("string")).distinct()
+    own = written(own, "seed-values")
+    keys = ["attribute", "value"]
+    long = own.where(F.length("value") >= least)
+    linking = long.groupBy(keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(keys)
+    rows = written(long.join(linking, keys, "left_semi"), "seed-links")
+    seeds = written(first_seeds(rows, chunk_rows), "all-seeds")
+    held = rows.join(seeds, "record_id", "left_semi").select(*keys, F.col("record_id").alias("seed"))  # one seed to a value
+    place = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for i, a in enumerate(order) for x in (a, i)]), F.col("attribute")), F.lit(len(order))) if order else F.lit(0)
+    joined = rows.join(held, keys).where("seed < record_id").groupBy("record_id").agg(F.min_by("seed", F.struct(place, "value", "attribute")).alias("seed"))
+    return own.select("record_id").distinct().join(joined, "record_id", "left").select(F.coalesce("seed", "record_id").alias("cluster_id"), "record_id")
+
+
 def link_by_seed(identifiers: DataFrame, order: list[str], least: int = 4, key: str | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Seed clusters; with ``key`` a value counts only together with that column (a null key with null keys)."""
+    """Seed clusters: a record joins the first seed that holds one of its values, attributes in ``order`` and then others, or becomes one; only
+    seeds' values are held. With ``key`` a value counts only together with that column (a null key with null keys). Values of fewer than
+    ``least`` characters do not count. Repeated rows count once, null records and values are left out, an empty table gives an empty result."""
     own = identifiers if key is None else identifiers.where("value IS NOT NULL").where(F.length("value") >= least).withColumn("value", F.concat_ws("|", "value", F.coalesce(F.col(key).cast("string"), F.lit("null"))))
-    return sequential(own, Seeds(order, least), chunk_rows)
+    return seed_clusters(own, order, least, chunk_rows)
 
 
 def link_primary_secondary(df: DataFrame, primary: str, secondary: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -175,7 +235,7 @@ def link_primary_secondary(df: DataFrame, primary: str, secondary: str, chunk_ro
     groups = df.groupBy(primary).agg(F.min("record_id").alias("group"))
     rows = df.join(groups, primary).select("record_id", "group", F.col(secondary).cast("string").alias("value"))
     own = rows.select(F.col("group").alias("record_id"), F.lit("s").alias("attribute"), "value").where("value IS NOT NULL").distinct()
-    joined = sequential(own, Seeds(["s"], 1), chunk_rows).select(F.col("cluster_id").alias("joined"), F.col("record_id").alias("group"))
+    joined = seed_clusters(own, ["s"], 1, chunk_rows).select(F.col("cluster_id").alias("joined"), F.col("record_id").alias("group"))
     return rows.select("record_id", "group").distinct().join(joined, "group", "left").select(F.coalesce("joined", "group").alias("cluster_id"), "record_id")
 
 
