@@ -60,11 +60,25 @@ def test_components_give_the_whole_run(spark, many):
     want = whole_run(many)
     got = k.link_best_match(own.repartition(7)).collect()
     assert {r.record_id: r.cluster_id for r in got} == want and len(got) == len(want)
-    for rows in (3, 20):  # in chunks, far above what one task takes
+    for rows in (6, 25):  # in steps, far above what one task takes
         got = k.link_best_match(own, chunk_rows=rows).collect()
         assert {r.record_id: r.cluster_id for r in got} == want and len(got) == len(want)
 
 
+def test_steps_read_state_once(spark, many):
+    """One component in steps: groups of a step run side by side, and what is handed on grows with values in steps."""
+    own = idents(spark, {r: dict.fromkeys(v) for r, v in many.items()})
+    rows = own.select(F.lit(1).cast("long").alias("component"), "*").join(k.record_components(own).groupBy("component").count().orderBy(F.desc("count")).limit(1).join(k.record_components(own), "component").select("record_id"), "record_id")
+    steps = k._in_steps(rows, 6).collect()
+    assert len(steps) == rows.count() and len({r.step for r in steps}) > 3
+    assert max(len({r.group for r in steps if r.step == n}) for n in {r.step for r in steps}) > 2
+    for r in steps:
+        later = [x for x in steps if x.value == r.value and x.step > r.step]
+        assert (r.to, r.to_group) == (min((x.step, x.group) for x in later) if later else (None, None))
+    order = {r.record_id: r.step for r in steps}
+    assert [order[x] for x in sorted(order)] == sorted(order.values())
+
+
 def test_seeds_in_chunks(spark, many):
     own = idents(spark, many).unionByName(idents(spark, {i: [f"0{v[0]}"] for i, v in many.items()}, "b")).unionByName(idents(spark, {5: [None]}))
     whole = groups(k.link_by_seed(own, ["b", "a"], 1))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,10 +36,59 @@ def _signature() -> list[Column]:
     return [F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))]
 
 
+def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest node of each node's component in a graph of ``n`` nodes with links a[i] - b[i]: the larger root of each link is hung below the
+    smaller one and paths are halved, until all links lie within a tree."""
+    root = np.arange(n)
+    while len(a):
+        x, y = root[a], root[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(up := root[root], root):
+            root = up
+    return root
+
+
+def local_forests(links: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """(u, v) of links (u, v): what each partition knows of its links' components, as one star of each around its smallest node, which stands with itself.
+    At most one row for each node and partition, and fewer than the links have ends; a partition of more than ``most`` nodes gives stars of its parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+
+        def stars() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            ends = pa.chunked_array([*table.column("u").chunks, *table.column("v").chunks]).combine_chunks()
+            coded = ends.dictionary_encode()
+            order = pc.sort_indices(coded.dictionary)
+            rank = np.empty(len(order), np.int64)
+            rank[np.asarray(order)] = np.arange(len(order))
+            codes = rank[np.asarray(coded.indices)]
+            names = coded.dictionary.take(order)
+            root = roots(codes[: len(table)], codes[len(table) :], len(names))
+            return pa.record_batch([names, names.take(pa.array(root))], names=["u", "v"])
+
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows > most:  # stars have a row for each node
+                held = [stars()]
+                rows = 2 * held[0].num_rows if held[0].num_rows <= most // 2 else 0
+                if not rows:
+                    yield held.pop()
+        if held:
+            yield stars()
+
+    return links.select("u", "v").mapInArrow(run, links.select("u", "v").schema)
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges``; the component is its smallest node.
 
-    Alternates large-star and small-star steps until the edge set, by then a star around each smallest
+    Each partition first contracts its own links to stars, so what is shuffled grows with nodes, not links. Then large-star and
+    small-star steps alternate until the edge set, by then a star around each smallest
     node, no longer changes; this takes a number of rounds that grows with the logarithm of the
     longest path. Each round is checkpointed to the shared folder. Links with a null end are
     dropped, a link of a node to itself keeps the node, repeated links count once, and an empty
@@ -42,8 +96,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """
     shared_dir(edges.sparkSession)
     links = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
-    links = links.distinct().checkpoint()
-    nodes = links.select("u").unionByName(links.select(F.col("v").alias("u"))).distinct()
+    links = local_forests(links).distinct().checkpoint()
+    nodes = links.select("u").distinct()
     stars, before = links.where("u <> v"), None
     for _ in range(max_rounds):
         stars = _small_star(_large_star(stars)).distinct().checkpoint()

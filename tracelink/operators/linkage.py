@@ -1,13 +1,14 @@
 """Record linkage: sequential clustering rules, rule cascades, weighted links, binning.
 
-A record can only join clusters that share one of its values, so a sequential rule may run in each connected
-component of records and values on its own, records in id order, and gives the same clusters as over
-the whole table. Components are sorted in their partitions and read as a stream: a task holds one component's values, and
-a component of up to ``chunk_rows`` rows is one pass. A larger one is cut, in id order, into chunks of about that many
-rows; chunk after chunk runs as a job of its own that starts from the clusters which hold the chunk's values,
-aggregated from what the chunks before it decided and wrote. The result is the same at every ``chunk_rows``; no component goes
-into one task whole. The chunks of one component follow each other, as the rule itself demands; chunks of different
-components run side by side.
+A record can only join clusters that share one of its values. Seed rules, where only the first record of a cluster counts, run in rounds
+over all records at once (``first_seeds``). Best match, where every record counts, is a run in id order: it may run in each
+connected component of records and values on its own, and a component of up to ``chunk_rows`` rows is one pass of a stream.
+
+A larger component is cut into steps in id order (``_steps``). Records of a step that share no value, directly or through others of the step, do
+not depend on each other: these groups run side by side, each a stream of its own. A step is as long as keeps groups
+small - about as many steps as a record has partners - but not shorter than ``chunk_rows`` rows. What the clusters hold of a value travels with
+it: a step writes it for the next step that has the value, and no other reads it. So rows are read once, and the state as often as values occur in steps. Where one value is
+in a third of all records these depend on each other one by one, by the rule itself, and only bounded steps are left.
 
 A cluster's id is its smallest record id. Records without a value get no cluster, null records are left out, repeated
 rows count once, extra columns are ignored, and an empty table gives an empty result.
@@ -20,13 +21,13 @@ from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tracelink.operators.graph import connected_components
 from tracelink.session import shared_dir, work_path, written
 
-MEMBERS = "cluster_id long, record_id long"
 #: Rows of a component that one task takes at a time.
 CHUNK_ROWS = 200_000
 
@@ -38,11 +39,16 @@ def without_frequent(identifiers: DataFrame, max_freq: int) -> DataFrame:
 
 
 def record_components(identifiers: DataFrame) -> DataFrame:
-    """(record_id, component): records that share values, directly or through others. Each record is linked to the
-    smallest record of each of its values, so links grow with the rows, not with pairs."""
-    least = identifiers.groupBy("attribute", "value").agg(F.min("record_id").alias("least"))
-    edges = identifiers.join(least, ["attribute", "value"]).select(F.col("record_id").alias("src"), F.col("least").alias("dst"))
-    return connected_components(edges).select(F.col("node").alias("record_id"), "component")
+    """(record_id, component): records that share values, directly or through others; the component is the smallest record.
+
+    A value stands for its smallest record, and each record links the smallest of these with the others: the graph has a node
+    for a value, not for a record, and its links grow with the rows, not with pairs. Null records and values are left out."""
+    keys = ["attribute", "value"]
+    own = identifiers.where("record_id IS NOT NULL AND value IS NOT NULL")
+    marked = written(own.join(own.groupBy(keys).agg(F.min("record_id").alias("least")), keys).select("record_id", "least").distinct(), "least-records")
+    first = written(marked.groupBy("record_id").agg(F.min("least").alias("first")), "first-records")
+    edges = marked.join(first, "record_id").select(F.col("least").alias("src"), F.col("first").alias("dst"))
+    return first.join(connected_components(edges).withColumnRenamed("node", "first"), "first").select("record_id", "component")
 
 
 class BestMatch:
@@ -63,10 +69,6 @@ class BestMatch:
             own[cluster] = own.get(cluster, 0) + 1
         return cluster
 
-    def state(self, members: DataFrame, rows: DataFrame) -> DataFrame:
-        """(component, attribute, value, cluster_id, n): what the clusters of ``members`` hold of the values in ``rows``."""
-        return rows.join(members, "record_id").groupBy("component", "attribute", "value", "cluster_id").agg(F.count(F.lit(1)).alias("n"))
-
 
 class Seeds:
     """A record joins the first cluster that holds one of its values, attributes in ``order``, or opens one; only the
@@ -86,76 +88,124 @@ class Seeds:
         held.update(dict.fromkeys(own, record))
         return record
 
-    def state(self, members: DataFrame, rows: DataFrame) -> DataFrame:
-        seeds = members.where("cluster_id = record_id")
-        return rows.join(seeds, "record_id").where(F.length("value") >= self.least).select("component", "attribute", "value", "cluster_id", F.lit(1).cast("long").alias("n"))
+
+TOLD = "to int, cluster_id long, record_id long, group long, attribute string, value string, n long"
 
 
 def _run(rows: DataFrame, rule: BestMatch | Seeds, state: DataFrame | None = None) -> DataFrame:
-    """(cluster_id, record_id) of rows (component, record_id, attribute, value), each component in one pass, from
-    ``state`` (component, attribute, value, cluster_id, n)."""
-    columns = ["component", "record_id", "attribute", "value", "cluster_id", "n"]
-    none = F.lit(None).cast("long")
-    both = rows.select("component", "record_id", "attribute", "value", none.alias("cluster_id"), none.alias("n"))
+    """Rows of ``TOLD`` from rows (group, record_id, attribute, value), each group in one pass, from ``state`` (group, attribute, value,
+    cluster_id, n): members (cluster_id, record_id; to is -1) and, where rows have (to, to_group), what clusters then hold of the value, for that group."""
+    none = lambda kind: F.lit(None).cast(kind)
+    on = ["to", "to_group"] if "to" in rows.columns else [none("int").alias("to"), none("long").alias("to_group")]
+    both = rows.select("group", "record_id", "attribute", "value", none("long").alias("cluster_id"), none("long").alias("n"), *on)
     if state is not None:
-        both = both.unionByName(state.select("component", none.alias("record_id"), "attribute", "value", "cluster_id", F.col("n").cast("long")))
+        both = both.unionByName(state.select("group", none("long").alias("record_id"), "attribute", "value", "cluster_id", F.col("n").cast("long"), none("int").alias("to"), none("long").alias("to_group")))
+    kinds = [pa.int32(), *[pa.int64()] * 3, pa.string(), pa.string(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        component = record = None
+        group = record = None
         held: dict = {}
         keys: list[tuple] = []
+        ahead: dict[tuple, tuple] = {}  # value: the next step that has it, and its group there
+        out: list[tuple] = []
+
+        def close() -> None:
+            if record is not None:
+                out.append((-1, rule.take(held, record, keys), record, None, None, None, None))
+
+        def leave() -> None:
+            close()
+            for k, (to, to_group) in ahead.items():
+                out.extend((to, c, None, to_group, *k, n) for c, n in held[k].items())
+
         for batch in batches:
-            out: list[tuple[int, int]] = []
-            for c, r, a, v, cluster, n in zip(*(column.to_pylist() for column in batch.columns), strict=True):
-                if r != record or c != component:
-                    if record is not None:
-                        out.append((rule.take(held, record, keys), record))
-                    if c != component:
-                        component, held = c, {}
-                    record, keys = r, []
-                if r is None:  # what the chunks before hold; nulls sort first
+            for g, r, a, v, cluster, n, to, to_group in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                if g != group:
+                    leave()
+                    group, record, held, keys, ahead = g, None, {}, [], {}
+                if r is None:  # what earlier steps hold; nulls sort first
                     rule.load(held, (a, v), cluster, n)
-                else:
-                    keys.append((a, v))
-            yield pa.record_batch([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["cluster_id", "record_id"])
-        if record is not None:
-            yield pa.record_batch([pa.array([x], pa.int64()) for x in (rule.take(held, record, keys), record)], names=["cluster_id", "record_id"])
-
-    return both.repartition("component").sortWithinPartitions("component", "record_id", "attribute", "value").select(columns).mapInArrow(run, MEMBERS)
+                    continue
+                if r != record:
+                    close()
+                    record, keys = r, []
+                keys.append((a, v))
+                if to is not None:
+                    ahead[a, v] = to, to_group
+            yield pa.record_batch([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)], names=[c.split()[0] for c in TOLD.split(", ")])
+            out = []
+        leave()
+        yield pa.record_batch([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)], names=[c.split()[0] for c in TOLD.split(", ")])
+
+    return both.repartition("group").sortWithinPartitions("group", "record_id", "attribute", "value").mapInArrow(run, TOLD)
+
+
+def _members(told: DataFrame) -> DataFrame:
+    return told.where("to = -1").select("cluster_id", "record_id")
+
+
+def _in_steps(rows: DataFrame, chunk_rows: int) -> DataFrame:
+    """Rows (component, record_id, attribute, value) with step, group (records of the step that share values, directly or through others), to and to_group,
+    the next step that has the value and its group there."""
+    keys = ["component", "attribute", "value"]
+    counts = rows.groupBy(keys).agg(F.count(F.lit(1)).alias("f"))
+    partners = counts.groupBy("component").agg(F.sum(F.col("f") * (F.col("f") - 1)).alias("pairs"), F.sum("f").alias("rows"))
+    records = rows.groupBy("component").agg(F.count_distinct("record_id").alias("records"))
+    wanted = partners.join(records, "component").select("component", F.greatest(F.lit(1), F.least(F.ceil(F.col("pairs") / F.col("records")), F.ceil(F.col("rows") / chunk_rows))).alias("steps"))
+    total = rows.count()
+    ranged = rows.repartitionByRange(max(1, -(-total // chunk_rows)), "component", "record_id")
+    ranged = written(ranged.withColumn("chunk", F.spark_partition_id()), "chunks")
+    span = ranged.groupBy("component").agg(F.min("chunk").alias("first"), F.max("chunk").alias("last")).join(wanted, "component")
+    step = F.floor((F.col("chunk") - F.col("first")) * F.least("steps", F.col("last") - F.col("first") + 1) / (F.col("last") - F.col("first") + 1)).cast("int")
+    ranged = written(ranged.join(span, "component").select(*rows.columns, step.alias("step")), "in-steps")
+    inside = record_components(ranged.select("record_id", F.concat_ws("|", F.col("step").cast("string"), "attribute").alias("attribute"), "value"))
+    grouped = written(ranged.join(inside.withColumnRenamed("component", "group"), "record_id"), "in-groups")
+    met = grouped.select(*keys, "step", "group").distinct()  # a value lies in one group of a step
+    after = F.lead(F.struct(F.col("step").alias("to"), F.col("group").alias("to_group"))).over(Window.partitionBy(*keys).orderBy("step"))
+    return grouped.join(met.withColumn("after", after).select(*keys, "step", "after.to", "after.to_group"), [*keys, "step"])
+
+
+def _by_steps(rows: DataFrame, rule: BestMatch | Seeds, state: DataFrame | None, chunk_rows: int) -> DataFrame:
+    """(cluster_id, record_id) of rows (component, record_id, attribute, value) of large components, step by step."""
+    spark = rows.sparkSession
+    at = work_path(spark, "steps")
+    _in_steps(rows, chunk_rows).write.partitionBy("step").parquet(f"{at}/rows")
+    steps = spark.read.parquet(f"{at}/rows")
+    last = steps.agg(F.max("step")).first()[0]
+    sources: dict[int, list[int]] = {}
+    for r in steps.where("to IS NOT NULL").select("step", "to").distinct().collect():  # pairs of steps
+        sources.setdefault(r.to, []).append(r.step)
+    if state is not None:  # to the first step that has the value
+        first = steps.groupBy("component", "attribute", "value").agg(F.min(F.struct("step", "group")).alias("f")).select("component", "attribute", "value", F.col("f.step").alias("to"), F.col("f.group").alias("group"))
+        state = written(state.join(first, ["component", "attribute", "value"]).select("to", "group", "attribute", "value", "cluster_id", "n"), "first-state")
+    told = StructType.fromDDL(TOLD.removeprefix("to int, "))
+    for step in range(last + 1):
+        held = None if state is None else state.where(F.col("to") == step).drop("to")
+        if step in sources:
+            more = spark.read.schema(told).parquet(*[f"{at}/told/{n}/to={step}" for n in sorted(sources[step])]).select("group", "attribute", "value", "cluster_id", "n")
+            held = more if held is None else held.select(more.columns).unionByName(more)
+        now = steps.where(F.col("step") == step)
+        _run(now, rule, held).write.partitionBy("to").parquet(f"{at}/told/{step}")
+    return spark.read.schema(told).parquet(*[f"{at}/told/{step}/to=-1" for step in range(last + 1)]).select("cluster_id", "record_id")
 
 
 def sequential(identifiers: DataFrame, rule: BestMatch | Seeds, chunk_rows: int = CHUNK_ROWS, state: DataFrame | None = None) -> DataFrame:
     """(cluster_id, record_id): a sequential rule over records in id order, run in each component; ``state`` (attribute, value,
-    cluster_id, n) is what clusters of earlier runs hold."""
+    cluster_id, n) is what clusters of earlier runs hold. The result is the same at every ``chunk_rows``."""
     own = identifiers.where("value IS NOT NULL AND record_id IS NOT NULL").select(F.col("record_id").cast("long"), "attribute", F.col("value").cast("string")).distinct()
     rows = written(own.join(record_components(own), "record_id"), "component-rows")
     start = None
     if state is not None:  # a value lies in one component
         start = written(state.join(rows.select("attribute", "value", "component").distinct(), ["attribute", "value"]), "component-state")
-    sizes = rows.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk_rows)
-    total = sizes.agg(F.sum("n")).first()[0]
-    if not total:
-        return written(_run(rows, rule, start), "members")
-    large = written(sizes.select("component"), "large-components")
-    small_start = None if start is None else start.join(large, "component", "left_anti")
-    parts = [written(_run(rows.join(large, "component", "left_anti"), rule, small_start), "members")]
-    ranged = rows.join(large, "component", "left_semi").repartitionByRange(-(-total // chunk_rows), "component", "record_id")
-    ranged = written(ranged.withColumn("chunk", F.spark_partition_id()), "chunks")
-    first = ranged.groupBy("component").agg(F.min("chunk").alias("first"))
-    at = work_path(rows.sparkSession, "steps")
-    ranged.join(first, "component").withColumn("step", F.col("chunk") - F.col("first")).select(*rows.columns, "step").write.partitionBy("step").parquet(at)
-    steps = rows.sparkSession.read.parquet(at).select(*rows.columns, F.col("step").cast("int"))
-    last = steps.agg(F.max("step")).first()[0]
-    for step in range(last + 1):
-        now = steps.where(F.col("step") == step)
-        met = now.select("component", "attribute", "value").distinct()
-        held = None if start is None else start.join(met, ["component", "attribute", "value"], "left_semi")
-        if step:
-            before = steps.where(F.col("step") < step).join(met, ["component", "attribute", "value"], "left_semi")
-            more = rule.state(reduce(DataFrame.unionByName, parts[1:]), before)
-            held = more if held is None else held.select(more.columns).unionByName(more).groupBy("component", "attribute", "value", "cluster_id").agg(F.sum("n").alias("n"))
-        parts.append(written(_run(now, rule, held), "members"))
-    return reduce(DataFrame.unionByName, parts)
+    large = written(rows.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk_rows).select("component"), "large-components")
+    among = lambda df, how: None if df is None else df.join(large, "component", how)
+    if large.isEmpty():
+        among = lambda df, how: df
+    whole = [None if df is None else df.withColumnRenamed("component", "group") for df in (among(rows, "left_anti"), among(start, "left_anti"))]
+    members = _members(written(_run(whole[0], rule, whole[1]), "members"))
+    if large.isEmpty():
+        return members
+    return members.unionByName(_by_steps(among(rows, "left_semi"), rule, among(start, "left_semi"), chunk_rows))
 
 
 def link_best_match(identifiers: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -176,8 +226,8 @@ def first_seeds(rows: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     n, seeds = left.count(), [rows.select("record_id").limit(0)]
 
     def passed(df: DataFrame) -> DataFrame:
-        own = df.select(F.lit(0).alias("component"), "record_id", *keys)
-        return written(_run(own, Seeds([], 0)).where("cluster_id = record_id").select("record_id"), "seeds")
+        own = df.select(F.lit(0).cast("long").alias("group"), "record_id", *keys)
+        return written(_members(_run(own, Seeds([], 0))).where("cluster_id = record_id").select("record_id"), "seeds")
 
     def without(new: DataFrame, decided: DataFrame) -> DataFrame:
         """Rows of records that share no value with a new seed and are not ``decided``."""
