@@ -19,7 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of SimHash neighbours (five-word shingles, 6 bits or fewer): that with the smallest doc_id."""
+    """One document of each group of near copies, that with the smallest doc_id: SimHash neighbours (five-word shingles, 6 bits or fewer) and
+    texts that share 0.8 or more of their five-word shingles."""
     return simhash.first_of_each(docs)
 
 

@@ -7,6 +7,54 @@ import corpus_pipeline
 from tracelink.llm import bpe, mixing, simhash, toxicity
 
 
+def groups(texts):
+    """Place of the first text of each text's group: SimHash of five words within 6 bits, or 0.8 of all distinct five-word shingles shared."""
+    fps = np.array([simhash.fingerprint(t.encode(), 5) for t in texts], np.uint64)
+    sets = [set(shingles(t)) for t in texts]
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 6
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and min(len(a), len(sets[j])) >= 0.8 * max(len(a), len(sets[j])) and (both := len(a & sets[j])) >= 0.8 * (len(a) + len(sets[j]) - both):
+                near[i, j] = near[j, i] = True
+    own, todo = np.arange(len(texts)), True
+    while todo:
+        new = np.where(near, own[None, :], len(texts)).min(axis=1)
+        todo, own = bool((new != own).any()), new
+    return own
+
+
+def shingles(text):
+    words = text.lower().split()
+    return [" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))] if words else []
+
+
+def test_near_copies_against_brute_force(spark):
+    """Texts whose copies differ in a few words at 0.8 or more, some of them only through the text they come from; other texts stay."""
+    rng = np.random.default_rng(8)
+    vocabulary = [f"word{i}" for i in range(3000)]
+    texts = []
+    for n in range(40):
+        base = rng.choice(vocabulary, 300).tolist()
+        for changes in rng.integers(1, 7, 5) if n < 30 else (40, 60):
+            copy = list(base)
+            for at in rng.choice(300, changes, replace=False):
+                copy[at] = "changed" + str(rng.integers(1 << 30))
+            texts.append(" ".join(copy))
+        texts.append(" ".join(base))
+    order = rng.permutation(len(texts))
+    texts = [texts[i] for i in order]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    kept = {r.doc_id for r in simhash.first_of_each(docs).collect()}
+    own = groups(texts)
+    want = set(own.tolist())
+    fps = np.array([simhash.fingerprint(t.encode(), 5) for t in texts], np.uint64)
+    assert want <= kept  # nothing is dropped that brute force keeps
+    pairs = len(texts) - len(want)
+    assert len(kept) - len(want) <= 0.05 * pairs and pairs > 100
+    alone = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 6
+    assert alone.sum() - len(texts) < 2 * pairs  # SimHash alone would miss most
+
+
 def test_stages(spark):
     """Each stage against its own decision taken by plain Python."""
     sf = "/root/testdata/sf0.001"
@@ -19,12 +67,7 @@ def test_stages(spark):
 
     single = corpus_pipeline.drop_near_copies(spark, clean, sf).cache()
     ids = sorted(r.doc_id for r in clean.collect())
-    fps = np.array([simhash.fingerprint(rows[i].text.encode(), 5) for i in ids], np.uint64)
-    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 6
-    own, todo = np.arange(len(ids)), True
-    while todo:
-        new = np.where(near, own[None, :], len(ids)).min(axis=1)
-        todo, own = bool((new != own).any()), new
+    own = groups([rows[i].text for i in ids])
     assert sorted(r.doc_id for r in single.collect()) == sorted({ids[i] for i in own}) and single.columns == docs.columns
 
     mixed = corpus_pipeline.mix_sources(spark, single, sf).cache()

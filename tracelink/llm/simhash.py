@@ -36,20 +36,32 @@ from tracelink.session import written
 
 SEED = 42
 SMALL = 64
+#: Values of a sketch, and of each of its bands: of two texts at 0.8 a band agrees with a chance of 0.33, one of all 20 with 0.9996.
+SKETCH, BAND = 100, 5
+_MIX = np.random.default_rng(SEED).integers(1, 1 << 63, (2, SKETCH), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def fingerprint(text: bytes, width: int = 4) -> int:
-    """Unsigned 64-bit SimHash of a text's shingles of ``width`` words, repeats included."""
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """XXH64 of each shingle of ``width`` words, in order, repeats included; fewer words are one shingle."""
     words = text.lower().split()  # of bytes: only A-Z change, and only ASCII blanks split
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     starts = np.cumsum(lengths + 1) - lengths - 1
     width = min(width, len(words))
     begin, end = starts[: len(words) - width + 1].tolist(), (starts + lengths)[width - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(begin, end, strict=True)], "<u8")
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(begin, end, strict=True)], "<u8")
+
+
+def fingerprint(text: bytes, width: int = 4) -> int:
+    """Unsigned 64-bit SimHash of a text's shingles of ``width`` words, repeats included."""
+    return folded(shingle_hashes(text, width))
+
+
+def folded(hashes: np.ndarray) -> int:
+    """A bit is 1 if set in over half the hashes."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 65_536):
         ones += np.unpackbits(hashes[i : i + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -182,13 +194,100 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, count: i
     return marked.join(own, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def first_of_each(docs: DataFrame, width: int = 5, distance: int = 6, count: int = 4) -> DataFrame:
-    """One row of each component, all columns kept whatever their names: of the rows with the component's smallest doc_id (null, if
-    none has one) that with the smallest hash of its text. For tables whose doc_ids repeat or are missing as well."""
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """The smallest of each of ``SKETCH`` mixes of the hashes, as 32 bits."""
+    least = np.full(SKETCH, 0xFFFFFFFF, np.uint64)
+    for i in range(0, len(hashes), 2048):
+        np.minimum(least, (((hashes[i : i + 2048, None] ^ _MIX[0]) * _MIX[1]) >> np.uint64(32)).min(axis=0), out=least)
+    return least.astype("<u4")
+
+
+def sketched(docs: DataFrame, width: int) -> DataFrame:
+    """``docs`` with fp and its sketch as bytes (null for a text without words)."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sized(batch, "text"):
+                fps, sketches = np.zeros(part.num_rows, np.uint64), []
+                for i, x in enumerate(texts_of(part, "text").cast(pa.large_binary())):
+                    hashes = shingle_hashes(x.as_py(), width)
+                    fps[i] = folded(hashes)
+                    sketches.append(sketch(hashes).tobytes() if len(hashes) else None)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fps.view(np.int64)), pa.array(sketches, pa.binary())], names=[*part.schema.names, "fp", "sketch"])
+
+    return docs.mapInArrow(mark, T.StructType([*docs.schema.fields, T.StructField("fp", T.LongType()), T.StructField("sketch", T.BinaryType())]))
+
+
+def bands(nodes: DataFrame) -> DataFrame:
+    """(band, fp, root) of nodes (fp, root, sketch): a row for each band of a sketch."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column("sketch").to_pylist()
+            size, count = 4 * BAND, SKETCH // BAND
+            keys = np.array([xxhash.xxh64_intdigest(x[i * size : (i + 1) * size], i) for x in own for i in range(count)], np.uint64).view(np.int64)
+            yield pa.record_batch([pa.array(keys), *(pa.array(np.repeat(np.asarray(batch.column(c)), count)) for c in ("fp", "root"))], names=["band", "fp", "root"])
+
+    return nodes.mapInArrow(cut, "band long, fp long, root long")
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """(a, b): pairs of fps that share a band and have other roots. A band's rows meet its leader, not each other, so pairs grow
+    with rows; the leader is the one that meets most others in all its bands, which in a group of copies is the text that they come from."""
+    rows = bands(nodes)
+    shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("met"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band", "met")
+    rows = written(rows.join(shared, "band"), "bands")
+    weight = rows.groupBy("fp").agg(F.sum("met").alias("weight"))
+    leader = rows.join(weight, "fp").groupBy("band").agg(F.max_by(F.struct(F.col("fp").alias("a"), F.col("root").alias("other")), F.struct("weight", -F.col("fp"))).alias("l")).select("band", "l.*")
+    return rows.join(leader, "band").where("root <> other").select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b")).distinct()
+
+
+def resembling(marked: DataFrame, own: DataFrame, width: int, least: float = 0.8, slack: float = 0.2) -> DataFrame:
+    """(src, dst): roots of fps (``own``: fp, root) one of whose texts shares ``least`` of the distinct shingles of both with the other's. ``marked`` has fp,
+    text and sketch. Candidates share a band; those whose sketches agree in less than ``least`` - ``slack`` are left out (by
+    chance one in 10,000 of the pairs at ``least``), all others are compared by their whole texts."""
+    nodes = marked.where("sketch IS NOT NULL").groupBy("fp").agg(F.min("sketch").alias("sketch")).join(own.select("fp", "root"), "fp")
+    nodes = written(nodes, "sketches")
+    side = lambda df, c, x: df.select(F.col("fp").alias(c), F.col(x).alias(f"{x}_{c}"))
+    pairs = candidates(nodes).join(side(nodes, "a", "sketch"), "a").join(side(nodes, "b", "sketch"), "b")
+
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, SKETCH) for c in ("sketch_a", "sketch_b"))
+            yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= least - slack))
+
+    pairs = written(pairs.mapInArrow(agree, "a long, b long"), "agreeing")
+    asked = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+    texts = written(marked.join(asked, "fp", "left_semi").groupBy("fp").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "compared", compression="zstd")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sized(batch, "text_a"):
+                keep = []
+                for x, y in zip(*(texts_of(part, c).cast(pa.large_binary()).to_pylist() for c in ("text_a", "text_b")), strict=True):
+                    x, y = (np.unique(shingle_hashes(t, width)) for t in (x, y))
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    keep.append(both >= least * (len(x) + len(y) - both))
+                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    near = pairs.join(side(texts, "a", "text"), "a").join(side(texts, "b", "text"), "b").mapInArrow(compare, "a long, b long")
+    roots = own.select("fp", "root")
+    return near.join(roots.select(F.col("fp").alias("a"), F.col("root").alias("src")), "a").join(roots.select(F.col("fp").alias("b"), F.col("root").alias("dst")), "b").select("src", "dst")
+
+
+def first_of_each(docs: DataFrame, width: int = 5, distance: int = 6, count: int = 4, least: float = 0.8) -> DataFrame:
+    """One row of each group of near copies, all columns kept whatever their names: of the rows with the group's smallest doc_id (null, if
+    none has one) that with the smallest hash of its text. For tables whose doc_ids repeat or are missing as well.
+
+    Groups are the SimHash components, joined where texts of two share ``least`` of their shingles (``resembling``): fingerprints of
+    texts at 0.8 differ in about 10 bits, which no table of this size finds."""
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marked = written(fingerprints(packed, width), "fingerprinted", compression="zstd")
-    own = components(marked.select("doc_id", "fp"), distance, count)
-    rows = marked.join(own, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    marked = written(sketched(packed, width), "fingerprinted", compression="zstd")
+    own = written(components(marked.select("doc_id", "fp"), distance, count), "simhash-components")
+    joined = connected_components(resembling(marked, own, width, least)).select(F.col("node").alias("root"), "component")
+    own = own.join(joined, "root", "left").select("fp", F.coalesce("component", "root").alias("root"), "component_id")
+    smallest = own.groupBy("root").agg(F.min("component_id").alias("component_id"))
+    rows = marked.drop("sketch").join(own.select("fp", "root"), "fp").join(smallest, "root").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     return rows.groupBy("root").agg(F.min_by("row", F.struct(F.xxhash64("text"), "row")).alias("row")).select("row.*")
 
 
