@@ -8,9 +8,11 @@ from tracelink.operators import aggregate as a
 from tracelink.operators import graph as g
 from tracelink.operators import joins as j
 from tracelink.operators import linkage as k
+from tracelink.operators import maintained as mt
 from tracelink.operators import ranking as r
 from tracelink.operators import updates as u
 from tracelink.plans.roles import cluster_values, idents, members, records, sql, table, tags
+from tracelink.session import work_path
 
 QUERIES, SQL = {}, {}
 
@@ -225,6 +227,32 @@ def i1(spark, sf):
     return u.invalidate_value(own, k.link_best_match(own), "part", value)[1]
 
 
+def _refreshed(spark, sf):
+    """Details of customers, refreshed after the most frequent part has been taken out of all identifiers."""
+    own, held = idents(spark, sf), members(spark, sf)
+    value = own.groupBy("value").count().orderBy(F.desc("count"), "value").first()[0]
+    at = mt.Details(work_path(spark, "details"))
+    known = records(spark, sf).select("record_id", "ts", F.col("region").alias("location"))
+    mt.save_details(at, held, own, known)
+    mt.refresh_details(spark, at, held, held, own.where(F.col("value") != value), known, own.where(F.col("value") == value))
+    return at
+
+
+_LEFT = ", gone AS (SELECT value FROM idents GROUP BY 1 ORDER BY count(*) DESC, value LIMIT 1), v AS MATERIALIZED (SELECT DISTINCT cluster_id, attribute, value FROM members JOIN idents USING (record_id) WHERE value NOT IN (SELECT value FROM gone))"
+
+
+@query("i1_refreshed_links", sql("members idents", _LEFT + " SELECT a.cluster_id, b.cluster_id AS other_id, count(*) AS shared FROM v a JOIN v b USING (attribute, value) WHERE a.cluster_id <> b.cluster_id GROUP BY 1, 2"))
+def i1b(spark, sf):
+    return _refreshed(spark, sf).read(spark, "links", mt.SCHEMAS["links"]).drop("bucket")
+
+
+@query("i1_refreshed_details", sql("records members", "SELECT cluster_id, 'latest' AS kind, CAST(CAST(max(ts) AS DATE) AS VARCHAR) AS item, count(*) AS n FROM records GROUP BY 1 UNION ALL SELECT cluster_id, 'location', region, count(*) FROM records GROUP BY 1, region"))
+def i1c(spark, sf):
+    at = _refreshed(spark, sf)
+    profiles = at.read(spark, "profiles", mt.SCHEMAS["profiles"]).select("cluster_id", F.lit("latest").alias("kind"), F.col("latest").cast("string").alias("item"), F.col("record_count").alias("n"))
+    return profiles.unionByName(at.read(spark, "locations", mt.SCHEMAS["locations"]).select("cluster_id", F.lit("location").alias("kind"), F.col("location").alias("item"), F.col("matches").alias("n")))
+
+
 @query("i2_link_incremental")
 def i2(spark, sf):
     old, new = _half(spark, sf)
