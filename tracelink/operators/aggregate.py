@@ -213,14 +213,6 @@ def largest_id(df: DataFrame, key: str) -> DataFrame:
     return df.agg(F.max(key).alias("largest"), F.count(F.lit(1)).alias("rows"))
 
 
-def tag_keywords(df: DataFrame, key: str, column: str, lexicon: list[tuple[str, str]]) -> DataFrame:
-    """(key, keyword, class, count): occurrences of each keyword (a regular expression, case counts, no word
-    borders) in texts of two characters or more. The lexicon is an argument: one expression per keyword,
-    one pass over the texts."""
-    found: list[Column] = [F.struct(F.lit(k).alias("keyword"), F.lit(c).alias("class"), F.regexp_count(F.col(column), F.lit(k)).cast("long").alias("count")) for k, c in lexicon]
-    return df.where(F.length(column) >= 2).select(key, F.explode(F.filter(F.array(*found), lambda s: s["count"] > 0)).alias("k")).select(key, "k.*")
-
-
 def count_containing(df: DataFrame, column: str, terms: list[str]) -> DataFrame:
     """One row with the number of texts that contain each term, in one pass."""
     return df.agg(*[F.count_if(F.contains(F.col(column), F.lit(t))).alias(f"n_{i}") for i, t in enumerate(terms)])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tracelink.functions import text as fx
 from tracelink.operators import aggregate as a
+from tracelink.operators import keywords as kw
 from tracelink.operators import ranking as r
 from tracelink.plans.roles import hrefs, idents, members, places, records, sql, table, tags
 
@@ -75,7 +76,17 @@ _LEXICON = [("licen[cs]e", "law"), ("Copyright", "law"), ("@[a-z]", "contact"),
 
 @query("c7_tag_keywords", " UNION ALL ".join(f"SELECT doc_id, '{k}' AS keyword, '{c}' AS class, CAST(len(regexp_extract_all(text, '{k}')) AS BIGINT) AS count FROM documents WHERE length(text) >= 2 AND regexp_matches(text, '{k}')" for k, c in _LEXICON))
 def c7(spark, sf):
-    return a.tag_keywords(table(spark, sf, "documents"), "doc_id", "text", _LEXICON)
+    return kw.tag_keywords(table(spark, sf, "documents"), "doc_id", "text", spark.createDataFrame(_LEXICON, "keyword string, class string"))
+
+
+_ASKED = "SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{5,}')) AS keyword FROM benchmark"
+
+
+@query("c7_tag_lexicon", f"WITH k AS MATERIALIZED ({_ASKED}) SELECT doc_id, keyword, 'asked' AS class, CAST((length(text) - length(replace(text, keyword, ''))) // length(keyword) AS BIGINT) AS count FROM documents JOIN k ON contains(text, keyword) WHERE length(text) >= 2")
+def c7b(spark, sf):
+    """A lexicon of thousands of literal keywords: the longer words of all benchmark items."""
+    words = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{5,}"), F.lit(0))).alias("keyword"), F.lit("asked").alias("class"))
+    return kw.tag_keywords(table(spark, sf, "documents"), "doc_id", "text", words)
 
 
 _FP = "array_to_string(list_sort(list_distinct(string_split(trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g')), ' '))), ' ')"
