@@ -69,14 +69,59 @@ def test_listing_and_json(spark):
 
 
 def test_stream_linking_equals_batch(spark, tmp_path):
-    rows = [[(1, "a", "x"), (2, "a", "y")], [(3, "a", "x"), (3, "a", "y"), (4, "a", "z")]]
+    """Six batches of two runs; what a batch reads is a few runs, whatever came before."""
+    rows = [[(10 * n + i, "a", f"v{(n * 3 + i) % 5}") for i in range(3)] + [(10 * n, "a", "x"), (10 * n, "a", "x"), (10 * n + 5, "a", None)] for n in range(6)]
     schema = "record_id long, attribute string, value string"
-    for part in rows:
+    for n, part in enumerate(rows):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        v.link_stream(v.stream_table(spark, f"{tmp_path}/in", schema), f"{tmp_path}/m", f"{tmp_path}/i", f"{tmp_path}/c")
-        got = {x.record_id: x.cluster_id for x in v.read_versions(spark, f"{tmp_path}/m").collect()}
+        if n % 2:
+            v.link_stream(v.stream_table(spark, f"{tmp_path}/in", schema, 1), f"{tmp_path}/m", f"{tmp_path}/h", f"{tmp_path}/c", fanout=2)
+    got = v.read_members(spark, f"{tmp_path}/m").collect()
     whole = k.link_best_match(spark.createDataFrame(sum(rows, []), schema))
-    assert got == {x.record_id: x.cluster_id for x in whole.collect()}
+    assert {x.record_id: x.cluster_id for x in got} == {x.record_id: x.cluster_id for x in whole.collect()} and len(got) == 18
+    assert len(list((tmp_path / "h").iterdir())) <= 5
+    assert v.read_members(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_runs():
+    assert v.runs(0, 4) == [] and v.runs(27, 4) == [(0, 16), (16, 4), (20, 4), (24, 1), (25, 1), (26, 1)]
+    for count in range(1, 200):
+        found = v.runs(count, 4)
+        assert sum(n for _, n in found) == count and [f for f, _ in found] == [sum(n for _, n in found[:i]) for i in range(len(found))] and len(found) <= 12
+
+
+def at_day(n, hour=0):
+    return datetime.datetime(2024, 1, 1) + datetime.timedelta(days=n, hours=hour)
+
+
+def test_volume_state_ends(spark, tmp_path):
+    """A key for each day and batch: state goes once the watermark has passed, late rows are left out, and changed days alone are written."""
+    schema = "ts timestamp, kind string"
+    batches = [[(at_day(n, h), f"k{h}") for h in range(6)] + ([(None, "k0")] if n == 10 else []) for n in (0, 10, 20, 30)] + [[(at_day(2), "late"), (at_day(30), "k1")]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    sizes = v.run_available(v.windowed_volume(v.stream_table(spark, f"{tmp_path}/in", schema, 1), "ts", ["kind"], "1 day"), f"{tmp_path}/out", f"{tmp_path}/c")
+    assert max(sizes) <= 13 and sizes[-1] < max(sizes) + 1 and len(sizes) >= 5
+    got = {(r.day, r.kind): r["count"] for r in v.read_latest(spark, f"{tmp_path}/out", ["day", "kind"]).collect()}
+    assert got == {(at_day(n).date(), f"k{h}"): 1 + (n == 30 and h == 1) for n in (0, 10, 20, 30) for h in range(6)}
+
+
+def test_labels_forget(spark, tmp_path):
+    schema = "id long, who string, town string, ts timestamp"
+    batches = [
+        [(1, "a", "x", at_day(0)), (2, "a", "y", at_day(0, 1)), (3, "a", "x", at_day(1)), (4, "b", None, at_day(0)), (5, "b", None, at_day(0)), (6, None, "x", at_day(0)), (7, "a", "x", None)],
+        [(8, "a", "z", at_day(5)), (9, "c", "x", at_day(5)), (10, "b", "x", at_day(5))],
+        [(11, "a", "z", at_day(12)), (12, "a", "x", at_day(12)), (13, "b", "x", at_day(40))],
+        [(14, "a", "x", at_day(41)), (15, "c", "x", at_day(41)), (16, "c", "x", at_day(42)), (17, "c", "x", at_day(1))],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = v.stream_table(spark, f"{tmp_path}/in", schema, 1)
+    sizes = v.run_available(v.labels(stream, "who", "town", "ts", "id", "1 day", "10 days"), f"{tmp_path}/out", f"{tmp_path}/c", "append")
+    got = {r.id: r.label for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    data, town, local = "new to data", "new to town", "local"
+    assert got == {1: data, 2: town, 3: local, 4: data, 5: local, 8: town, 9: data, 10: town, 11: local, 12: town, 13: data, 14: data, 15: data, 16: local}
+    assert len(sizes) >= 4 and max(sizes) <= 3
 
 
 def test_sound_keys(spark):

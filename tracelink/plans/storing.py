@@ -122,30 +122,34 @@ def i5(spark, sf):
 
 
 def _events_folder(spark, sf, parts: int = 3):
-    """The events as files of a folder, as a stream reads them."""
-    at = work_path(spark, "events")
-    table(spark, sf, "events").repartition(parts, "event_id").write.parquet(at)
-    return at, table(spark, sf, "events").schema
+    """The events as files of a folder, one after the other in time, as a stream reads them."""
+    at, own = work_path(spark, "events"), table(spark, sf, "events")
+    ends = own.agg(F.percentile_approx(F.col("ts").cast("timestamp").cast("double"), [(i + 1) / parts for i in range(parts)])).first()[0]
+    seconds = F.col("ts").cast("timestamp").cast("double")
+    for low, high in zip([None, *ends], [*ends[:-1], None], strict=False):
+        now = own.where(F.lit(True) if low is None else seconds > low).where(F.lit(True) if high is None else seconds <= high)
+        now.coalesce(1).write.mode("append").parquet(at)
+    return at, own.schema
 
 
 @query("j1_stream_daily_volume", "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS count FROM events GROUP BY 1, 2")
 def j1(spark, sf):
     at, schema = _events_folder(spark, sf)
     out = work_path(spark, "stream-out")
-    v.run_available(v.windowed_volume(v.stream_table(spark, at, schema), "ts", ["event_type"], "60 days"), out, work_path(spark, "stream-state"))
-    return spark.read.parquet(out)
+    v.run_available(v.windowed_volume(v.stream_table(spark, at, schema, 1), "ts", ["event_type"], "2 days"), out, work_path(spark, "stream-state"))
+    return v.read_latest(spark, out, ["day", "event_type"])
 
 
 @query("j2_stream_linking")
 def j2(spark, sf):
     """Three runs of the stream, each over the records that came since the one before."""
-    at, out, state, names = (work_path(spark, n) for n in ("idents", "members", "stream-state", "identifiers"))
+    at, out, state, held = (work_path(spark, n) for n in ("idents", "members", "stream-state", "held"))
     own = idents(spark, sf)
     ends = own.agg(F.percentile_approx("record_id", [0.4, 0.7, 1.0])).first()[0]
     for low, high in zip([None, *ends], ends, strict=False):
         own.where(F.col("record_id") <= high).where(F.lit(True) if low is None else F.col("record_id") > low).write.mode("append").parquet(at)
-        v.link_stream(v.stream_table(spark, at, own.schema), out, names, state)
-    return v.read_versions(spark, out)
+        v.link_stream(v.stream_table(spark, at, own.schema), out, held, state)
+    return v.read_members(spark, out)
 
 
 @query("j3_stream_first_sights", "SELECT DISTINCT user_id, event_type FROM events")
@@ -159,11 +163,7 @@ def j3(spark, sf):
 @query("j3_stream_labels", "WITH e AS (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS a, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS b FROM events) SELECT event_id, CASE WHEN a = 1 THEN 'new to data' WHEN b = 1 THEN 'new to town' ELSE 'local' END AS label FROM e")
 def j3b(spark, sf):
     at, schema = _events_folder(spark, sf)
-    found = []
-    for keys in (["user_id"], ["user_id", "event_type"]):
-        out = work_path(spark, "stream-out")
-        v.run_available(v.first_rows(v.stream_table(spark, at, schema), keys, "ts", "event_id"), out, work_path(spark, "stream-state"))
-        found.append(spark.read.parquet(out).select("first.event_id"))
-    label = F.when(F.col("data"), "new to data").when(F.col("town"), "new to town").otherwise("local")
-    own = table(spark, sf, "events").select("event_id")
-    return own.join(found[0].withColumn("data", F.lit(True)), "event_id", "left").join(found[1].withColumn("town", F.lit(True)), "event_id", "left").select("event_id", label.alias("label"))
+    out = work_path(spark, "stream-out")
+    marked = v.labels(v.stream_table(spark, at, schema, 1), "user_id", "event_type", "ts", "event_id", forget="40000 days")
+    v.run_available(marked, out, work_path(spark, "stream-state"), "append")
+    return spark.read.parquet(out).select("event_id", "label")
