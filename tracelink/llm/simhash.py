@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelink.llm.common import sized, texts_of
+from tracelink.llm.common import release, sized, small_batches, texts_of
 from tracelink.operators.graph import connected_components
 from tracelink.session import written
 
@@ -214,6 +214,7 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
                     fps[i] = folded(hashes)
                     sketches.append(sketch(hashes).tobytes() if len(hashes) else None)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fps.view(np.int64)), pa.array(sketches, pa.binary())], names=[*part.schema.names, "fp", "sketch"])
+        release()
 
     return docs.mapInArrow(mark, T.StructType([*docs.schema.fields, T.StructField("fp", T.LongType()), T.StructField("sketch", T.BinaryType())]))
 
@@ -269,8 +270,11 @@ def resembling(marked: DataFrame, own: DataFrame, width: int, least: float = 0.8
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     keep.append(both >= least * (len(x) + len(y) - both))
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        release()
 
-    near = pairs.join(side(texts, "a", "text"), "a").join(side(texts, "b", "text"), "b").mapInArrow(compare, "a long, b long")
+    near = pairs.join(side(texts, "a", "text"), "a").join(side(texts, "b", "text"), "b")
+    with small_batches(marked.sparkSession, 500):
+        near = written(near.mapInArrow(compare, "a long, b long"), "resembling")
     roots = own.select("fp", "root")
     return near.join(roots.select(F.col("fp").alias("a"), F.col("root").alias("src")), "a").join(roots.select(F.col("fp").alias("b"), F.col("root").alias("dst")), "b").select("src", "dst")
 
@@ -282,7 +286,8 @@ def first_of_each(docs: DataFrame, width: int = 5, distance: int = 6, count: int
     Groups are the SimHash components, joined where texts of two share ``least`` of their shingles (``resembling``): fingerprints of
     texts at 0.8 differ in about 10 bits, which no table of this size finds."""
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marked = written(sketched(packed, width), "fingerprinted", compression="zstd")
+    with small_batches(docs.sparkSession, 500):
+        marked = written(sketched(packed, width), "fingerprinted", compression="zstd")
     own = written(components(marked.select("doc_id", "fp"), distance, count), "simhash-components")
     joined = connected_components(resembling(marked, own, width, least)).select(F.col("node").alias("root"), "component")
     own = own.join(joined, "root", "left").select("fp", F.coalesce("component", "root").alias("root"), "component_id")
