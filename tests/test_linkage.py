@@ -173,6 +173,24 @@ def test_communities(spark):
     assert got[1] == got[2] == got[3] != got[11] == got[12] == got[13]
 
 
+def test_communities_by_values(spark):
+    """Equal to votes along all links, whose weight is the number of shared values."""
+    rng = random.Random(9)
+    rows = {(n, "ab"[rng.randrange(2)], str(rng.randrange(9))) for n in range(40) for _ in range(rng.randrange(1, 4))} | {(n, "a", "hot") for n in range(20)} | {(90, "a", "alone")}
+    values = spark.createDataFrame([*rows, *list(rows)[:5], (None, "a", "hot"), (91, "a", None)], "node long, attribute string, value string")
+    weights = {}
+    for n, a, v in rows:
+        for m, b, w in rows:
+            if n < m and (a, v) == (b, w):
+                weights[n, m] = weights.get((n, m), 0) + 1
+    pairs = spark.createDataFrame([(*p, w) for p, w in weights.items()], "src long, dst long, weight long")
+    for rounds in (1, 4):
+        want = {tuple(r) for r in g.communities(pairs, rounds).collect()} | {(n, n, True) for n in {n for n, *_ in rows} - {x for p in weights for x in p}}
+        got = g.communities_by_values(values, rounds).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert g.communities_by_values(values.limit(0)).count() == 0
+
+
 def test_geo_kmeans(spark):
     points = spark.createDataFrame([(0.0, 0.0)] * 5 + [(10.0, 10.0)] * 3 + [(None, 1.0)], "lat double, lon double")
     assert sorted(map(tuple, g.geo_kmeans(points, 4).collect())) == [(0.0, 0.0, 5), (10.0, 10.0, 3)]

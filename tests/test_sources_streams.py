@@ -62,6 +62,22 @@ def test_snapshots_only_move_forward(spark, tmp_path):
     assert s.read_snapshot(spark, root, "t").first().mod_ts.year == 2022
 
 
+def test_of_several_publishers_one_wins(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = f"file://{tmp_path}/s"
+    with ThreadPoolExecutor(8) as pool:
+        assert sorted(pool.map(lambda i: s.put_if_absent(spark, f"{root}/x", str(i)), range(24))) == [False] * 23 + [True]
+    at = lambda y, n: spark.createDataFrame([(n, datetime.datetime(y, 1, 1)), (n, datetime.datetime(y - 1, 1, 1))], "id int, mod_ts timestamp")
+    for year in (2020, 2021):
+        with ThreadPoolExecutor(4) as pool:
+            won = list(pool.map(lambda n, year=year: s.publish_snapshot(spark, at(year, n), root, "t"), range(4)))
+        rows = s.read_snapshot(spark, root, "t").collect()
+        assert won.count(True) == 1 and {r.id for r in rows} == {won.index(True)} and len(rows) == 2 and max(r.mod_ts.year for r in rows) == year
+    assert s.active_version(spark, root, "t")["version"] == 1
+    assert len([p for p in (tmp_path / "s" / "t").iterdir()]) == 2  # what lost is gone
+
+
 def test_listing_and_json(spark):
     assert s.describe_datasets(spark, SF, ["nation"]).count() == 3
     row = spark.createDataFrame([(1, {"a": 2})], "cluster_id long, m map<string,long>")

@@ -228,6 +228,31 @@ def communities(edges: DataFrame, max_rounds: int = 20) -> DataFrame:
     return labels
 
 
+def communities_by_values(values: DataFrame, max_rounds: int = 20) -> DataFrame:
+    """``communities`` of nodes (node, attribute, value) that are linked by shared values, a link's weight being their number, without forming links.
+
+    A round counts the labels at each value and adds these counts up at the value's nodes, less the node's own share: as many rows
+    as values have labels, times their nodes. That is the number of links in the first round at most and falls as labels spread. Nodes
+    without a shared value keep their own label. Null nodes and values are left out and repeated rows count once."""
+    shared_dir(values.sparkSession)
+    keys = ["attribute", "value"]
+    own = values.where("node IS NOT NULL AND value IS NOT NULL").select("node", *keys).distinct().checkpoint()
+    shared = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("f")).where("f > 1").select(*keys)
+    linked = own.join(shared, keys).checkpoint()
+    labels = linked.groupBy("node").agg(F.count(F.lit(1)).alias("own")).select("node", F.col("node").alias("community"), "own", F.lit(False).alias("settled")).checkpoint()
+    for _ in range(max_rounds):
+        at_value = linked.join(labels.select("node", "community"), "node").groupBy(*keys, "community").agg(F.count(F.lit(1)).alias("n"))
+        votes = linked.join(at_value, keys).groupBy("node", "community").agg(F.sum("n").cast("double").alias("w"))
+        less = labels.select("node", "community", (0.5 - F.col("own")).alias("w"))  # a node stands at each of its values itself
+        votes = votes.unionByName(less).groupBy("node", "community").agg(F.sum("w").alias("w")).where("w > 0")
+        best = votes.groupBy("node").agg(F.min_by("community", F.struct(-F.col("w"), F.col("community"))).alias("new"))
+        labels = labels.join(best, "node").select("node", F.col("new").alias("community"), "own", (F.col("new") == F.col("community")).alias("settled")).checkpoint()
+        if labels.where("NOT settled").isEmpty():
+            break
+    alone = own.select("node").distinct().join(labels.select("node"), "node", "left_anti")
+    return labels.select("node", "community", "settled").unionByName(alone.select("node", F.col("node").alias("community"), F.lit(True).alias("settled")))
+
+
 def cluster_values(members: DataFrame, identifiers: DataFrame) -> DataFrame:
     """(cluster_id, attribute, value, count): distinct records of a cluster with a value; grouping by either side gives
     the index in that direction."""

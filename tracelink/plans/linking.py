@@ -13,6 +13,7 @@ from tracelink.operators import ranking as r
 from tracelink.operators import updates as u
 from tracelink.plans.roles import cluster_values, idents, members, records, sql, table, tags
 from tracelink.session import work_path
+from tracelink.sources import tables as s
 
 QUERIES, SQL = {}, {}
 
@@ -186,11 +187,34 @@ def h17(spark, sf):
     return k.exact_duplicates(table(spark, sf, "documents"), "text", "doc_id")
 
 
-@query("h18_communities")
+def _voting(rounds: int) -> str:
+    """CTEs up to ``label`` (node, community, settled) after some rounds of votes through ``linked`` (node, value)."""
+    out = ["l0 AS MATERIALIZED (SELECT node, node AS community, count(*) AS own, false AS settled FROM linked GROUP BY 1)"]
+    for n in range(rounds):
+        out.append(f"a{n} AS MATERIALIZED (SELECT value, community, count(*) AS n FROM linked JOIN l{n} USING (node) GROUP BY 1, 2)")
+        out.append(f"w{n} AS MATERIALIZED (SELECT node, community, sum(w) AS w FROM (SELECT node, community, CAST(n AS DOUBLE) AS w FROM linked JOIN a{n} USING (value) UNION ALL SELECT node, community, 0.5 - own FROM l{n}) GROUP BY 1, 2)")
+        out.append(f"l{n + 1} AS MATERIALIZED (SELECT b.node, b.new AS community, own, b.new = l.community AS settled FROM (SELECT node, arg_min(community, (-w, community)) AS new FROM w{n} WHERE w > 0 GROUP BY 1) b JOIN l{n} l ON b.node = l.node)")
+    return ", " + ", ".join(out) + f", label AS (SELECT node, community, settled FROM l{rounds})"
+
+
+@query("h18_communities", sql("members idents cluster_values", ", linked AS MATERIALIZED (SELECT cluster_id AS node, value FROM cluster_values WHERE value IN (SELECT value FROM cluster_values GROUP BY 1 HAVING count(*) > 1))" + _voting(8) + " SELECT node, community, settled FROM label UNION ALL SELECT DISTINCT cluster_id, cluster_id, true FROM cluster_values WHERE cluster_id NOT IN (SELECT node FROM label)"))
 def h18(spark, sf):
-    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("record_id"), F.col("l_partkey").alias("part"))
-    own = j.link_by_criteria(members(spark, sf), rows, [("part", 1, ["part"])], 40)
-    return g.communities(own.select(F.col("cluster_id").alias("src"), F.col("other_id").alias("dst"), F.col("shared").alias("weight")))
+    return g.communities_by_values(cluster_values(spark, sf).withColumnRenamed("cluster_id", "node"), 8)
+
+
+_LEVEL = "(instr('0123456789ABCDEF', substr(h, 6 * i + {}, 1)) - 1) // 4"
+
+
+@query("h15_image_histogram", f"""WITH b AS (SELECT doc_id, hex(encode(text)) AS h FROM documents WHERE length(text) > 0),
+f AS (SELECT doc_id, rpad(h, CAST(ceil(length(h) / 96.0) * 96 AS INT), '0') AS h FROM b), p AS (SELECT doc_id, h, unnest(range(0, length(h) // 6)) AS i, length(h) // 6 AS n FROM f),
+c AS (SELECT doc_id, n, {_LEVEL.format(1)} * 16 + {_LEVEL.format(3)} * 4 + {_LEVEL.format(5)} AS bin, count(*) AS k FROM p GROUP BY ALL),
+e AS (SELECT doc_id, n, unnest(range(0, 64)) AS bin FROM (SELECT DISTINCT doc_id, n FROM c))
+SELECT doc_id, string_agg(lower(lpad(to_hex(least(255, coalesce(k, 0) * 64 // n)), 2, '0')), '' ORDER BY bin) AS hash FROM e LEFT JOIN c USING (doc_id, n, bin) GROUP BY 1""")
+def h15(spark, sf):
+    """Documents as pictures: their bytes are rendered to image files, which Spark's image source reads again."""
+    at = work_path(spark, "images")
+    s.render_images(table(spark, sf, "documents"), "doc_id", "text", at)
+    return k.image_histogram(spark, at).select(F.regexp_extract("origin", r"(\d+)\.bmp$", 1).cast("long").alias("doc_id"), "hash")
 
 
 @query("h19_cluster_values", sql("members idents cluster_values", "SELECT cluster_id, attribute, value, count FROM cluster_values"))

@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import json
+import struct
+import uuid
+from collections.abc import Iterator
 from functools import reduce
 
-import datetime
-
+import numpy as np
+import pyarrow as pa
+from py4j.protocol import Py4JJavaError
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracelink.session import remove
+
 
 def read_table(spark: SparkSession, source: str, id_column: str | None = None, bounds: tuple[int, int] | None = None, partitions: int = 16, **options: str) -> DataFrame:
     """A partitioned scan: Parquet by path, or a table over JDBC (``jdbc:`` url with a dbtable option) in ranges of an
@@ -42,34 +50,111 @@ def save_result(df: DataFrame, target: str, partition_by: list[str] = ()) -> Non
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(target)
 
 
+def _store(spark: SparkSession, path: str):
+    """File system and path of a URI, through Spark."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a file with a text unless there is one; of several that try at once exactly one succeeds. On local disks a finished file is
+    linked to its name, as creation there is not atomic; other stores create without overwriting."""
+    store, at = _store(spark, path)
+    store.mkdirs(at.getParent())
+    own = at if store.getScheme() != "file" else at.suffix(f".{uuid.uuid4().hex}")
+    try:
+        out = store.create(own, False)
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in str(e.java_exception):
+            return False
+        raise
+    out.write(bytearray(text.encode()))
+    out.close()
+    if own is at:
+        return True
+    files = spark.sparkContext._jvm.java.nio.file.Files
+    name = lambda p: spark.sparkContext._jvm.java.io.File(p.toUri().getPath()).toPath()
+    try:
+        files.createLink(name(at), name(own))
+        return True
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in str(e.java_exception):
+            return False
+        raise
+    finally:
+        store.delete(own, False)
+
+
 def publish_snapshot(spark: SparkSession, staged: DataFrame, root: str, name: str, ts: str = "mod_ts") -> bool:
-    """Publish ``staged`` as the active version of a table if its newest row is newer than that of the active one.
+    """Publish ``staged`` as the active version of a table if its newest row is newer than that of the active one; returns whether it was.
 
-    Versions are written beside each other and the log's last row names the active one, so readers never
-    see a half-written table. Returns whether it was published.
-    """
+    Every attempt writes a folder of its own. A version is committed by a log entry under its number, which only one publisher can put;
+    the others look again and try the next number, if their rows are still the newer ones. Readers follow the last entry, so
+    they see one version whole. An empty table and one without times are not published."""
     newest = staged.agg(F.max(ts)).first()[0]
-    active = active_version(spark, root, name)
-    if newest is None or (active is not None and active["newest"] is not None and active["newest"] >= newest):
+    if newest is None:
         return False
-    version = 0 if active is None else active["version"] + 1
-    staged.write.mode("overwrite").parquet(f"{root}/{name}/v{version}")
-    row = [(name, version, newest, datetime.datetime.now(datetime.UTC).replace(tzinfo=None))]
-    spark.createDataFrame(row, "name string, version int, newest timestamp, logged timestamp").coalesce(1).write.mode("append").parquet(f"{root}/_log")
-    return True
-
-
-def active_version(spark: SparkSession, root: str, name: str):
-    """The log row of the active version, or None."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/_log")
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+    at = f"{root}/{name}/{uuid.uuid4().hex}"
+    written = False
+    while True:
+        active = active_version(spark, root, name)
+        if active is not None and active["newest"] >= newest.isoformat():
+            if written:
+                remove(spark, at)
+            return False
+        if not written:
+            staged.write.parquet(at)
+            written = True
+        version = 0 if active is None else active["version"] + 1
+        entry = {"version": version, "newest": newest.isoformat(), "at": at.removeprefix(f"{root}/")}
+        if put_if_absent(spark, f"{root}/_log/{name}/{version:020}.json", json.dumps(entry)):
+            return True
+
+
+def active_version(spark: SparkSession, root: str, name: str) -> dict | None:
+    """The last complete log entry (version, newest, at) of a table, or None."""
+    store, at = _store(spark, f"{root}/_log/{name}")
+    if not store.exists(at):
         return None
-    return spark.read.parquet(f"{root}/_log").where(F.col("name") == name).orderBy(F.desc("version")).first()
+    names = sorted((s.getPath() for s in store.listStatus(at) if s.getPath().getName().endswith(".json")), key=lambda p: p.getName(), reverse=True)
+    for path in names:
+        stream = store.open(path)
+        try:
+            text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        if text.endswith("}"):  # else its publisher still writes it
+            return json.loads(text)
+    return None
 
 
 def read_snapshot(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """The active version of a published table."""
-    return spark.read.parquet(f"{root}/{name}/v{active_version(spark, root, name)['version']}")
+    """The active version of a published table; an unknown table raises LookupError."""
+    active = active_version(spark, root, name)
+    if active is None:
+        raise LookupError(f"{name} was never published under {root}")
+    return spark.read.parquet(f"{root}/{active['at']}")
+
+
+def render_images(df: DataFrame, key: str, column: str, path: str, width: int = 16) -> int:
+    """Write each row's bytes as a colour image (BMP, three bytes to a pixel, rows of ``width`` pixels filled up with 0) named by its key, in tasks; returns
+    how many. Rows with a null key or null or empty bytes are left out; of repeated keys one image stays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, to = fs.FileSystem.from_uri(path)
+        store.create_dir(to, recursive=True)
+        for batch in batches:
+            for name, data in zip(batch.column("key").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                pixels = np.frombuffer(data + bytes(-len(data) % (3 * width)), np.uint8).reshape(-1, width, 3)[::-1, :, ::-1]  # BMP: from the bottom, blue first
+                rows = np.zeros((len(pixels), -(-3 * width // 4) * 4), np.uint8)
+                rows[:, : 3 * width] = pixels.reshape(len(pixels), -1)
+                head = struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 54 + rows.size, 0, 0, 54, 40, width, len(rows), 1, 24, 0, rows.size, 2835, 2835, 0, 0)
+                with store.open_output_stream(f"{to}/{name}.bmp") as out:
+                    out.write(head + rows.tobytes())
+            yield pa.record_batch([pa.array([batch.num_rows])], names=["n"])
+
+    own = df.select(F.col(key).cast("string").alias("key"), F.col(column).cast("binary").alias("data")).where("key IS NOT NULL AND length(data) > 0")
+    return own.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def load_dimension(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
