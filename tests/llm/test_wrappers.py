@@ -30,6 +30,11 @@ def test_text_of_blocks():
         ("<div id=cookie-notice>c</div><div class=\"has-sidebar\">kept</div><span class='ad'>ad</span>", "kept"),
         ("<script>var a='<p>';</script><style>p{}</style><!-- x > y --><p title='a>b'>t", "t"),
         ("plain < text & more", "plain < text & more"),
+        ("<article><p>Main</p></article><article class='comment'><p>Reader</p></article>", "Main"),
+        ("<main><article class=story><p>Main</p></article><ul><li><article class='comment-body'>Reader</article></ul><article class='teaser-box'><p>Next</p></article></main>", "Main"),
+        ("<article><p>a</p><section class='related-work'><p>b</p></section><div id='social-studies'>c</div><div class='related-posts'>d</div><div class='share-buttons'>e</div></article>", "a\nb\nc"),
+        ("<p>A <span class='ad'>BUY <b>now</b></span> b</p><p>c <i class='ad-slot'>x</p><p>d</p>", "A b\nc\nd"),
+        ("<p>a<!--> b</p><p>c<!---> d</p><!-- x --!><p>e</p><!-- open", "a b\nc d\ne"),
         ("", ""), (None, ""), ("<p></p>  ", ""), ("</p></div>x</article>", "x"), ("<p>a<ul><li>b</ul>c", "a\nb\nc"), ("<p>a</p\n>b<p", "a\nb"),
         ("<article><p>" + "long " * 60_000 + "</p></article>", ("long " * 60_000).strip()),
     ]:
@@ -120,3 +125,26 @@ def test_deep_pages():
     assert w.main_text("<nav>" * 3000 + "a" + "</nav>" * 3000 + "b", None) == "b"
     assert w.main_text("x" + "<div><article>" * 2000 + "a" + "</article></div>" * 2000 + "b", None) == "a"
     assert w.main_text("<p>" + "<b>" * 5000 + "c", None) == "c"
+
+
+def test_wide_pages_and_many_structures(spark):
+    """Thousands of siblings of other names are aligned in time that grows with their number; a host's structures in a tree."""
+    import time
+
+    a, b = (shape("".join(f"<div class='{x}{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}'>t</div>" for i in range(8000))) for x in "pq")
+    began = time.time()
+    own = w.align(a, b)
+    assert time.time() - began < 5 and len(own) == 16_000
+    pages = [f"<div><p>{{}}</p>{''.join(f'<h{1 + (i >> k & 1)}>x</h{1 + (i >> k & 1)}>' for k in range(6))}</div>" for i in range(64)]
+    df = spark.createDataFrame([(i, "http://many.example/x", p.format(f"text {i}")) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    got = w.wrappers(w.structures(df.select("url", "html")), each=4).collect()
+    assert len(got) == 1
+    marked = w.labelled(json.loads(got[0].wrapper))
+    assert all(w.walk(marked, w.tree(p)[0], []) for p in pages)
+
+
+def test_keys_are_equal_where_items_are_alike():
+    items = [["t"], ["e", "p", [["t"]]], ["e", "q", []], ["?", [["e", "p", []]]], ["+", [["e", "p", []]]], ["?", [["+", [["e", "q", []]]]]], ["+", [["e", "p", []], ["t"]]], ["+", [["e", "p", []], ["e", "q", []]]], ["?", [["t"]]]]
+    for x in items:
+        for y in items:
+            assert w.alike(x, y) == (w.key_of(x) is not None and w.key_of(x) == w.key_of(y))

@@ -24,8 +24,8 @@ not told apart from the one around them, unless they begin a dropped or a main p
 
 Edge cases: null or empty html has empty text; a null url or one without a host belongs to the host '';
 rows with the same page_id are pages of their own; unclosed and stray tags are repaired (a block
-closes an open paragraph, a closing tag without an opening one is dropped); an empty table gives an empty
-result; other columns are ignored.
+closes an open paragraph, a closing tag without an opening one is dropped, a dropped inline element ends with
+its block at the latest); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -47,7 +48,7 @@ from tracelink.llm.common import sized
 from tracelink.session import written
 
 RAW = "script|style|noscript|template|textarea|iframe|svg|math|canvas|object|select|title"
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)|<[!?][^>]*+>|<(?P<end>/?)(?P<name>[a-z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[a-z/][^<>]*+(?:>|\Z)|[^<]++|<", re.S | re.I)
+TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?P<raw>{RAW})\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)|<[!?][^>]*+>|<(?P<end>/?)(?P<name>[a-z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[a-z/][^<>]*+(?:>|\Z)|[^<]++|<", re.S | re.I)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -60,10 +61,23 @@ DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search fo
 DROPPED_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo nav navbar navigation menu header footer sidebar aside breadcrumb breadcrumbs cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup share sharing social related recommended comment comments disqus respond replies widget toolbar pagination pager login banner".split()
 )
+#: Parts of a class or id that say where something stands, not what it is.
+NEUTRAL_WORDS = frozenset(
+    "area article author bar block body bottom box btn button buttons container content count entry feed first form global group header heading icon icons id inline inner item items last left level line link links list main media meta more now outer overlay page panel parent post posts primary reply right row secondary section site slot small stories story text thread title tool tools top unit us user view wrap wrapper".split()
+)
+#: What a nested article is not, if it is named so.
+OTHER_ARTICLES = frozenset("ad advert advertisement comment comments promo promoted recommended related replies reply response sponsored teaser teasers".split())
 MAIN = ("article", "main")
 DEPTH = 64
 
 
+def unwanted(word: str, words: frozenset = DROPPED_WORDS) -> bool:
+    """Whether a class or id names what is none of the main text: a dropped word, alone or with parts that only say where it
+    stands (related-posts; but not related-work)."""
+    parts = [p for p in re.split(r"[-_\d]+", word) if p]
+    return any(p in words for p in parts) and all(p in words or p in DROPPED_WORDS or p in NEUTRAL_WORDS for p in parts)
+
+
 @lru_cache(maxsize=65_536)
 def element(name: str, attrs: str) -> tuple[str, bool]:
     """Label (name, classes and id without digits) and whether the element is none of the main text."""
@@ -75,10 +89,10 @@ def element(name: str, attrs: str) -> tuple[str, bool]:
         else:
             words += value.split()
     dropped = name in DROPPED_TAGS or role in DROPPED_ROLES
-    if name not in ("html", "body", "main", "article"):
-        for w in words:
-            parts = [p for p in re.split(r"[-_\d]+", w) if p]
-            dropped |= bool(parts) and parts[0] not in ("has", "with", "no") and (parts[0] in DROPPED_WORDS or parts[-1] in DROPPED_WORDS)
+    if name == "article":
+        dropped |= any(unwanted(w, OTHER_ARTICLES) for w in words)
+    elif name not in ("html", "body", "main"):
+        dropped |= any(map(unwanted, words))
     label = ".".join([name, *sorted({re.sub(r"\d+", "0", w) for w in words})])
     return label + ("!" if dropped else ""), dropped
 
@@ -107,14 +121,27 @@ def tree(page: str) -> tuple[list, list[str]]:
                 del stack[depth:]
                 return
 
+    skipped: list[str] = []  # a dropped inline element and what is open in it; its block goes on after it
+
     for m in TOKEN.finditer(page):
         name = m["name"]
         if name is None:
             raw = m.group()
-            if raw[0] != "<" or raw == "<":
+            if not skipped and (raw[0] != "<" or raw == "<"):
                 held.append(raw)
             continue
         name = name.lower()
+        if skipped:
+            if not m["end"]:
+                if name not in VOID and not m["attrs"].endswith("/"):
+                    skipped.append(name)
+                continue
+            if name in skipped:
+                del skipped[len(skipped) - 1 - skipped[::-1].index(name) :]
+                continue
+            if name not in BLOCKS:
+                continue
+            skipped.clear()  # it was never closed: the block around it ends
         if name in VOID:
             if name == "br":
                 held.append(" ")
@@ -126,8 +153,10 @@ def tree(page: str) -> tuple[list, list[str]]:
                 close((name,))
             continue
         label, dropped = element(name, m["attrs"])
-        if name not in BLOCKS and not dropped:
-            continue  # inline: a part of its block
+        if name not in BLOCKS:  # inline: a part of its block, or left out of it
+            if dropped and not m["attrs"].endswith("/"):
+                skipped.append(name)
+            continue
         if name in BLOCKS:
             if name in CLOSES and stack[-1][0] in CLOSES[name]:
                 close(CLOSES[name])
@@ -161,6 +190,31 @@ def alike(a: list, b: list) -> bool:
     return a[0] == b[0] and (a[0] == "t" or a[1] == b[1])
 
 
+def key_of(x: list) -> str | None:
+    """Equal for items that are alike; a group of several items is like none."""
+    while x[0] in "?+":
+        if len(x[1]) > 1:
+            return None
+        x = x[1][0]
+    return x[0] if x[0] == "t" else f"e {x[1]}"
+
+
+def places(items: list) -> dict:
+    """Where each key stands."""
+    out: dict = {}
+    for k, x in enumerate(items):
+        out.setdefault(key_of(x), []).append(k)
+    out.pop(None, None)
+    return out
+
+
+def after(found: dict, x: list, k: int) -> int | None:
+    """The first place from ``k`` on of an item that is like ``x``."""
+    own = found.get(key_of(x), ())
+    at = bisect_left(own, k)
+    return own[at] if at < len(own) else None
+
+
 def merge(a: list, b: list) -> list:
     """The item that stands for two that are alike."""
     if a[0] in "?+" or b[0] in "?+":
@@ -190,6 +244,7 @@ def align(a: list, b: list) -> list:
     """The smallest generalisation found of two item lists."""
     out: list = []
     i = j = 0
+    in_a = in_b = None
     while i < len(a) and j < len(b):
         x, y = a[i], b[j]
         if alike(x, y):
@@ -213,8 +268,9 @@ def align(a: list, b: list) -> list:
             out[-1], i = repeated(out[-1], x), i + 1
             continue
         # optional: the nearer of the two items that turns up further on
-        at = next((k for k in range(j + 1, len(b)) if alike(x, b[k])), None)
-        to = next((k for k in range(i + 1, len(a)) if alike(a[k], y)), None)
+        if in_a is None:
+            in_a, in_b = places(a), places(b)
+        at, to = after(in_b, x, j + 1), after(in_a, y, i + 1)
         if at is not None and (to is None or at - j <= to - i):
             out += [o for k in range(j, at) for o in optional([b[k]])]
             j = at
@@ -364,8 +420,9 @@ def structures(pages: DataFrame) -> DataFrame:
     return pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, wrapper string").distinct()
 
 
-def wrappers(found: DataFrame, salts: int = 16) -> DataFrame:
-    """(host, wrapper): one wrapper per host, aligned in salted groups of structures and then across them."""
+def wrappers(found: DataFrame, each: int = 16) -> DataFrame:
+    """(host, wrapper): one wrapper per host. Up to ``each`` structures are aligned in a task, then what came of these, until one is left:
+    a tree for each host, so no task has all structures of a host."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, own = None, None
@@ -374,16 +431,23 @@ def wrappers(found: DataFrame, salts: int = 16) -> DataFrame:
             for h, s, w in zip(*(batch.column(c).to_pylist() for c in ("host", "salt", "wrapper")), strict=True):
                 if (h, s) != key:
                     if key is not None:
-                        rows.append((*key, json.dumps(own, separators=(",", ":"))))
+                        rows.append((key[0], json.dumps(own, separators=(",", ":"))))
                     key, own = (h, s), json.loads(w)
                 else:
                     own = align(own, json.loads(w))
-            yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string()))], names=["host", "salt", "wrapper"])
+            yield pa.record_batch([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], names=["host", "wrapper"])
         if key is not None:
-            yield pa.record_batch([pa.array([x]) for x in (*key, json.dumps(own, separators=(",", ":")))], schema=pa.schema([("host", pa.string()), ("salt", pa.int64()), ("wrapper", pa.string())]))
+            yield pa.record_batch([pa.array([x], pa.string()) for x in (key[0], json.dumps(own, separators=(",", ":")))], names=["host", "wrapper"])
 
-    step = lambda df, salt: df.withColumn("salt", salt).repartition("host", "salt").sortWithinPartitions("host", "salt", F.length("wrapper"), "wrapper").select("host", "salt", "wrapper").mapInArrow(run, "host string, salt long, wrapper string").drop("salt")
-    return step(step(found, F.pmod(F.xxhash64("wrapper"), F.lit(salts))), F.lit(0).cast("long"))
+    found = written(found, "structures")
+    while True:
+        sizes = found.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+        most = sizes.agg(F.max("n")).first()[0] or 0
+        if most <= 1:
+            return found
+        salted = found.join(sizes, "host").withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.ceil(F.col("n") / each)))
+        rows = salted.repartition("host", "salt").sortWithinPartitions("host", "salt", F.length("wrapper"), "wrapper").select("host", "salt", "wrapper")
+        found = written(rows.mapInArrow(run, "host string, wrapper string"), "aligned")
 
 
 def with_wrapper(pages: DataFrame, own: DataFrame, small: bool) -> DataFrame:
@@ -424,6 +488,8 @@ def extract(pages: DataFrame, broadcast_bytes: int = 8 << 20, least: int = 5) ->
     own = written(wrappers(structures(pages)), "wrappers")
     small = (own.agg(F.sum(F.length("wrapper") + F.length("host"))).first()[0] or 0) <= broadcast_bytes
     own = written(own.join(constants(with_wrapper(pages, own, small), least), "host", "left"), "wrappers-with-strings")
+    strings = F.coalesce(F.aggregate("constants", F.lit(0), lambda n, x: n + F.length(x)), F.lit(0))
+    small = (own.agg(F.sum(F.length("wrapper") + F.length("host") + strings)).first()[0] or 0) <= broadcast_bytes
     rows = with_wrapper(pages, own, small).select("page_id", "url", "html", "wrapper", "constants")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
