@@ -258,7 +258,7 @@ def resembling(marked: DataFrame, own: DataFrame, width: int, least: float = 0.8
             yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= least - slack))
 
     pairs = written(pairs.mapInArrow(agree, "a long, b long"), "agreeing")
-    asked = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+    asked = few(written(pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct(), "asked"))
     texts = written(marked.join(asked, "fp", "left_semi").groupBy("fp").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "compared", compression="zstd")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,6 +279,11 @@ def resembling(marked: DataFrame, own: DataFrame, width: int, least: float = 0.8
     return near.join(roots.select(F.col("fp").alias("a"), F.col("root").alias("src")), "a").join(roots.select(F.col("fp").alias("b"), F.col("root").alias("dst")), "b").select("src", "dst")
 
 
+def few(keys: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``keys`` (one long, written), to be broadcast if they are at most ``most``: else texts would be shuffled to meet a few numbers."""
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
 def first_of_each(docs: DataFrame, width: int = 5, distance: int = 6, count: int = 4, least: float = 0.8) -> DataFrame:
     """One row of each group of near copies, all columns kept whatever their names: of the rows with the group's smallest doc_id (null, if
     none has one) that with the smallest hash of its text. For tables whose doc_ids repeat or are missing as well.
@@ -287,13 +292,15 @@ def first_of_each(docs: DataFrame, width: int = 5, distance: int = 6, count: int
     texts at 0.8 differ in about 10 bits, which no table of this size finds."""
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     with small_batches(docs.sparkSession, 500):
-        marked = written(sketched(packed, width), "fingerprinted", compression="zstd")
+        marked = sketched(packed, width).withColumns({"text_hash": F.xxhash64("text"), "row_hash": F.xxhash64("row"), "row_no": F.monotonically_increasing_id()})
+        marked = written(marked.drop("text"), "fingerprinted", compression="zstd")  # the text is in the row
     own = written(components(marked.select("doc_id", "fp"), distance, count), "simhash-components")
-    joined = connected_components(resembling(marked, own, width, least)).select(F.col("node").alias("root"), "component")
+    joined = connected_components(resembling(marked.withColumn("text", F.col("row.text")), own, width, least)).select(F.col("node").alias("root"), "component")
     own = own.join(joined, "root", "left").select("fp", F.coalesce("component", "root").alias("root"), "component_id")
     smallest = own.groupBy("root").agg(F.min("component_id").alias("component_id"))
-    rows = marked.drop("sketch").join(own.select("fp", "root"), "fp").join(smallest, "root").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return rows.groupBy("root").agg(F.min_by("row", F.struct(F.xxhash64("text"), "row")).alias("row")).select("row.*")
+    rows = marked.select("doc_id", "fp", "text_hash", "row_hash", "row_no").join(own.select("fp", "root"), "fp").join(smallest, "root").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = written(rows.groupBy("root").agg(F.min_by("row_no", F.struct("text_hash", "row_hash", "row_no")).alias("row_no")).select("row_no"), "kept")
+    return marked.select("row", "row_no").join(few(kept), "row_no", "left_semi").select("row.*")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
