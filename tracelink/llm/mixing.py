@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelink.session import shared_dir
@@ -93,16 +93,17 @@ def stepped(full: Column, open_: Column) -> Column:
 
 
 def rake_few(cells: DataFrame, targets: dict[str, DataFrame], rounds: int, keep: float) -> DataFrame:
-    """``rake`` for few cells: these are one row of arrays, and all rounds are one expression over it."""
+    """``rake`` for few cells: these are one row of arrays, and all rounds are one expression over it. A margin's values are numbered and its cells sorted
+    by value once, so a round takes time in proportion to the cells."""
     own = cells
     for m, t in targets.items():
-        own = own.join(t.withColumnRenamed("target", f"{m}_target"), m, "left")
+        own = own.join(t.withColumnRenamed("target", f"{m}_target"), m, "left").withColumn(f"{m}_at", F.dense_rank().over(Window.orderBy(m)) - 1)
     row = own.agg(F.array_sort(F.collect_list(F.struct(*own.columns))).alias("c"))
     row = row.selectExpr("c", "transform(c, x -> cast(x.tokens AS double)) AS t")
     for m in targets:
-        row = row.selectExpr("*", f"array_distinct(transform(c, x -> x.{m})) AS {m}_values")
-        # the value of each cell by number, the cells of each value, and its target
-        row = row.selectExpr("*", f"transform(c, x -> cast(array_position({m}_values, x.{m}) - 1 AS int)) AS {m}_at", f"transform({m}_values, v -> filter(sequence(0, size(c) - 1), k -> c[k].{m} = v)) AS {m}_cells").drop(f"{m}_values")
+        # the value of each cell by number, the cells in order of these, where each value begins, and the cells of each value
+        row = row.selectExpr("*", f"transform(c, x -> x.{m}_at) AS {m}_at", f"array_sort(transform(c, (x, k) -> named_struct('n', x.{m}_at, 'k', k))) AS by")
+        row = row.selectExpr("*", "filter(transform(by, (x, i) -> i), i -> i = 0 OR by[i].n <> by[i - 1].n) AS first").selectExpr("*", f"transform(first, (i, n) -> slice(by.k, i + 1, coalesce(get(first, n + 1), size(by)) - i)) AS {m}_cells").drop("by", "first")
         row = row.selectExpr("*", f"transform({m}_cells, p -> coalesce(c[p[0]].{m}_target, 0D)) AS {m}_target")
 
     def step(w: str, m: str) -> str:
