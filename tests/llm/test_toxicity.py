@@ -18,7 +18,7 @@ def subsequences(x):
     out = defaultdict(float)
     for at in combinations(range(len(x)), tx.ORDER):
         steps = [b - a for a, b in zip(at, at[1:], strict=False)]
-        if max(steps) <= tx.REACH:
+        if max(steps) <= tx.REACH and (x[at[0]] != tx.START[0] or steps[0] == 1):
             out[bytes(x[i] for i in at)] += tx.DECAY ** (sum(steps) - len(steps))
     return out
 
@@ -61,20 +61,21 @@ def test_train_and_score():
 def plain_score(model, text):
     """The score of a text, place by place."""
     best = model.weights[-1]
-    for word in re.split(r"[\s.]+", text.lower()):
+    marks = model.landmarks
+    for word in re.split(r"[\s.]+", re.sub("[\u200b\u00ad]", "", text.lower())):
         word = word.strip(tx.PUNCTUATION).encode()
-        for w in {word, *(x for x in tx.INNER.split(word) if len(x) >= tx.ORDER)}:
-            whole = b"^" + w + b"$"
-            v = np.array([min(1, plain_kernel(whole, m) / plain_kernel(m, m)) for m in model.landmarks.strings])
-            if v.max() >= 0.25:
-                best = max(best, v @ model.landmarks.whiten @ model.weights[:-1] + model.weights[-1])
+        parts = tx.INNER.split(word)
+        pieces = {word, *(x for x in [*parts, b"".join(parts)] if len(x) >= tx.ORDER)}
+        v = np.max([[min(1, plain_kernel(b"^" + w + b"$", m) / plain_kernel(m, m)) for m in marks.strings] for w in pieces], axis=0)
+        if v[: marks.leading].max() >= 0.25:
+            best = max(best, v @ marks.whiten @ model.weights[:-1] + model.weights[-1])
     return 1 / (1 + np.exp(-(model.slope * best + model.offset)))
 
 
 def test_against_brute_force(spark):
     rng = np.random.default_rng(5)
     syllables = ["mo", "ron", "clo", "wn", "sa", "te", "li", "do"]
-    rows = [(i, " ".join("".join(rng.choice(syllables, rng.integers(1, 4))) for _ in range(12)) + (" idiot" if i % 4 == 0 else " id-iot, you" if i % 9 == 0 else "")) for i in range(120)]
+    rows = [(i, " ".join("".join(rng.choice(syllables, rng.integers(1, 4))) for _ in range(12)) + (" idiot" if i % 4 == 0 else " id-iot, you" if i % 9 == 0 else " id\u200bi*ot so" if i % 11 == 0 else "")) for i in range(120)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     model = tx.fit(docs, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(120)], "doc_id long, toxic int"))
     assert model.landmarks is not None
@@ -133,9 +134,15 @@ def test_disguised_insults(spark):
     clean = [r.text for r in docs.join(labels.where("toxic = 0"), "doc_id").where((docs.lang == "en") & tx.held_out(docs.doc_id) & (F.length("text") < 4000)).collect()]
     words = "idiot moron scum loser worthless clown trash pathetic disgusting stupid".split()
     half = lambda w, sign: w[: len(w) // 2] + sign + w[len(w) // 2 :]
-    kinds = {"plain": str, "star": lambda w: half(w, "*"), "dash": lambda w: half(w, "-"), "letter": lambda w: half(w, "x"), "doubled": lambda w: w[:2] + w[1:], "dotted": ".".join, "spaced": " ".join}
+    apart = lambda w: w[0] + "*" + w[1:-1] + "-" + w[-1]
+    kinds = {"two signs": lambda w: half(w, "*-"), "two places": apart, "no width": lambda w: "\u200b".join(w), "plain": str, "star": lambda w: half(w, "*"), "dash": lambda w: half(w, "-"), "letter": lambda w: half(w, "x"), "doubled": lambda w: w[:2] + w[1:], "dotted": ".".join, "spaced": " ".join}
     base = model.scores(pa.array(clean, pa.large_string()))
     assert len(clean) > 100 and (base >= 0.5).mean() < 0.05
     for kind, change in kinds.items():
         texts = [t[:100] + f" you are {change(words[i % 10])} today " + t[100:] for i, t in enumerate(clean)]
         assert (model.scores(pa.array(texts, pa.large_string())) >= 0.5).mean() >= 0.8, kind
+    # everyday words near an insult, none of which the labelled texts have
+    everyday = "morning sympathetic clone idiom apathetic disguised moral losing classic stupendous tropical worth crowned".split()
+    scores = dict(zip(everyday, model.scores(pa.array([f"We saw the {w} again." for w in everyday], pa.large_string())), strict=True))
+    assert all(v < 0.5 for v in scores.values()), scores
+    assert model.scores(pa.array(["Good morning, everyone."], pa.large_string()))[0] < 0.5

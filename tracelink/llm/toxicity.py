@@ -1,14 +1,16 @@
 """Toxicity by a subsequence string kernel, Nyström landmarks and a linear support vector machine.
 
 The kernel of two strings sums, over all common subsequences of ``ORDER`` characters with at most ``REACH`` - 1 characters skipped
-between neighbours, decay to the power of the characters skipped in both strings; so a gapped or padded insult still shares most of its
+between neighbours and none after a word's start, decay to the power of the characters skipped in both strings; so a gapped or padded insult still shares most of its
 subsequences with the plain one. A sentence's value for a landmark is the largest kernel value of any of its places with it (a word between
 its ends, a part of a word between inner signs, a window of a long word), as a share of the landmark's own. Landmarks come
-from both classes: word starts and words that mark toxic documents, and the clean words that come closest
-to them. The values are whitened with the landmarks' own kernel matrix (Nyström). The machine is trained on sentences:
-those of clean documents, of toxic documents those that the machine itself finds most toxic (chosen anew in each of
-a few rounds), and, with the weight of all of these, copies of insults in which characters are inserted, doubled or set apart. A
-document scores as its most toxic sentence, through a logistic curve.
+from both classes: word starts and words that mark toxic documents, the clean words that come closest
+to them, and the first letters of insults. The values are whitened with the landmarks' own kernel matrix (Nyström). The machine is trained on the places
+of labelled sentences, each distinct place once, as a sentence is as toxic as its most toxic place: all places of clean documents' sentences are clean, and of toxic documents those
+are toxic that the machine itself finds so (chosen anew in each of a few rounds). Two kinds of made places join them, with weights of their own: copies of insults in which
+characters are inserted, doubled or set apart, and other words near an insult (closer, idiom), with letters before it, another ending, or other letters in one place. A
+document scores as its most toxic sentence, through a logistic curve. Characters without width do not count, and a word with signs inside is also
+read without them.
 
 The kernel is computed exactly and for all words: a table has a row for each subsequence of any landmark, and a
 word's subsequences are looked up in it, so what shares none costs a look-up.
@@ -45,6 +47,8 @@ START, END = b"^", b"$"
 #: Characters of a window of a long word, and from one window to the next.
 WINDOW, STRIDE = 24, 14
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]_`{|}~¡¿«»“”„’‘…–—"
+#: Characters without width.
+UNSEEN = r"[\x{AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}]"
 SPACED = r"(?:^|\s)(?:[^\s][\s.\-_*]{1,3}){3,}[^\s](?:\s|$)"
 _spaced = re.compile(r"(?:(?<=\s)|^)(?:[^\s][\s.\-_*]{1,3}){3,}[^\s](?=\s|$)")
 INNER = re.compile(rb"[^0-9a-z\x80-\xff]+")
@@ -53,7 +57,10 @@ INNER = re.compile(rb"[^0-9a-z\x80-\xff]+")
 class Landmarks:
     """Landmark strings and the kernel values of words against them."""
 
-    def __init__(self, strings_: list[bytes]) -> None:
+    def __init__(self, strings_: list[bytes], starts: list[bytes] = ()) -> None:
+        """``starts`` are further landmarks, which a word cannot be like alone."""
+        self.leading = len(strings_)
+        strings_ = [*strings_, *starts]
         self.strings = strings_
         used = sorted(set(b"".join(strings_)))
         self.code = np.zeros(256, np.int32)  # 0: in no landmark, so in no common subsequence
@@ -88,13 +95,15 @@ class Landmarks:
         """Word, number and weight of all subsequences, in parts of one shape, words in order; once ``known`` is
         filled, of those whose start some landmark has."""
         flat = np.concatenate([flat, np.zeros(REACH * ORDER, flat.dtype)])
-        base = self.base
+        base, opening = self.base, self.code[START[0]]
 
         def grow(at: np.ndarray, key: np.ndarray, end: int, n: int, skipped: int) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
             for step in range(1, REACH + 1):
                 next_ = flat[at + (end + step)]
                 longer = key * base + next_
                 keep = next_ > 0
+                if n == 1 and step > 1 and opening:
+                    keep &= key != opening  # a word's first character follows its start
                 if n + 1 < ORDER and self.known[n - 1].any():
                     keep &= self.known[n - 1][longer]
                 some = np.flatnonzero(keep)
@@ -137,14 +146,14 @@ class Landmarks:
         for i, w in enumerate(words):
             add(w, i)
             if not w.isalnum() and len(parts := INNER.split(w)) > 1:
-                for p in parts:
+                for p in {*parts, b"".join(parts)}:  # each part, and all as if the signs were not there
                     if len(p) >= ORDER and p != w:
                         add(p, i)
         value = np.minimum(1, self.kernel(pieces) / self.own.astype(np.float32))
         own = np.asarray(owner, np.int64)
         first = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1]) if len(own) else np.zeros(0, np.int64)
         pooled = np.maximum.reduceat(value, first, axis=0) if len(own) else value
-        hits = np.flatnonzero(pooled.max(axis=1, initial=0) >= least)
+        hits = np.flatnonzero(pooled[:, : self.leading].max(axis=1, initial=0) >= least)
         return own[first][hits], pooled[hits]
 
 
@@ -152,10 +161,12 @@ class Words:
     """The words of a batch of texts, with document and sentence of each. Words end at any white space."""
 
     def __init__(self, texts: pa.Array) -> None:
-        low = pc.utf8_lower(texts)
+        low = pc.replace_substring_regex(pc.utf8_lower(texts), pattern=UNSEEN, replacement="")
         spaced = pc.match_substring_regex(low, pattern=SPACED)
         if pc.any(spaced).as_py():  # letters set apart are read together as well
-            joined = [t + " . " + " ".join(re.sub(r"[\s.\-_*]", "", m) for m in _spaced.findall(t)) for t in low.filter(spaced).to_pylist()]
+            runs = [[re.sub(r"[\s.\-_*]", "", m) for m in _spaced.findall(t)] for t in low.filter(spaced).to_pylist()]
+            # the first letter may be a word of its own (a m o r o n)
+            joined = [t + " . " + " ".join(x for m in own for x in (m, m[1:])) for t, own in zip(low.filter(spaced).to_pylist(), runs, strict=True)]
             low = pc.replace_with_mask(low, spaced, pa.array(joined, low.type))
         low = pc.replace_substring(low, pattern="\n", replacement=" . ")
         low = pc.replace_substring_regex(low, pattern=r"[\t\r\v\f\x1c-\x1f\x{85}\pZ]", replacement=" ")
@@ -227,6 +238,7 @@ def choose_landmarks(docs: list[set[bytes]], toxic: np.ndarray, most: int, need:
     fiftieth of its share among the toxic). Counts of hashes go first, so only strings that can be of use are held.
     """
     positive = int(toxic.sum())
+    need = max(need, positive // 33)  # what few documents have may be the habit of their author
     slots = np.zeros(1 << 22, np.int32)
     for i in np.flatnonzero(toxic):
         own = np.fromiter({zlib.crc32(s) & 0x3FFFFF for s in _starts(docs[i])}, np.int64)
@@ -280,14 +292,29 @@ def clean_landmarks(words: list[bytes], values: np.ndarray, clean: np.ndarray, m
 
 
 def disguises(word: bytes, rng: random.Random) -> list[bytes]:
-    """Copies of a word with characters inserted, doubled or set apart."""
-    out = [bytes([word[0]]) + b"".join(sign + word[i : i + 1] for i in range(1, len(word))) for sign in (b".", b"-", b"*")]
+    """Copies of a word with characters inserted, doubled or set apart; letters most of all, as signs inside a word are read over."""
+    letter = lambda: bytes([rng.randrange(97, 123)])
+    out = [b".".join(word[i : i + 1] for i in range(len(word))), letter().join(word[i : i + 1] for i in range(len(word)))]
     for at in range(1, len(word)):
-        out += [word[:at] + sign + word[at:] for sign in (b"*", b"-", bytes([rng.randrange(97, 123)]), word[at - 1 : at])]
-        out.append(word[:at] + rng.choice((b"**", b"--", b"..", b"xx")) + word[at:])
+        out += [word[:at] + inserted + word[at:] for inserted in (b"*", letter(), letter(), letter(), b"x", word[at - 1 : at])]
+        if at % 2:
+            out.append(word[:at] + letter() + letter() + word[at:])
     return out
 
 
+def lookalikes(word: bytes, rng: random.Random) -> list[bytes]:
+    """Other words that share much with a word: letters before it, another ending, other letters in one place. Everyday words
+    near an insult (closer, idiom, morning) are of this kind, whether or not the labelled texts have them."""
+    letters = lambda n: bytes(rng.choice(b"eeeetttaaooiinnssrrhhldcumfpgwybvk") for _ in range(n))
+    out = [letters(n) + word for n in (1, 1, 2, 3, 4)] + [word + letters(n) for n in (3, 4)]
+    for at in range(len(word)):
+        out.append(word[:at] + letters(1) + word[at + 1 :])
+        out.append(word[:at] + letters(2) + word[at + 2 :])
+        if at >= 2:
+            out += [word[:at] + letters(n) for n in (2, 3, 4)]
+    return [w for w in out if not w.startswith(word[:-1]) or len(w) > len(word) + 1]
+
+
 class Model:
     """A trained scorer."""
 
@@ -355,7 +382,9 @@ def train(texts: list[str], toxic: np.ndarray, most: int = 40, rounds: int = 3,
     clean = np.zeros(len(near), bool)
     for i in np.flatnonzero(toxic == 0):
         clean[own[i]] = True
-    landmarks = Landmarks(chosen + clean_landmarks(near, values, clean, len(chosen)))
+    # a letter before an insult makes another word, one inside it does not: starts tell them apart
+    starts = sorted({s[:ORDER] for s in chosen if s.startswith(START) and len(s) > ORDER} - set(chosen))
+    landmarks = Landmarks(chosen + clean_landmarks(near, values, clean, len(chosen)), starts)
     hits, rows = landmarks(near, 0.0)
     strong = values.max(axis=1)
     values = np.zeros((len(near), len(landmarks.strings)), np.float32)
@@ -363,6 +392,8 @@ def train(texts: list[str], toxic: np.ndarray, most: int = 40, rounds: int = 3,
     rng = random.Random(seed)
     extra_words = [d for s in chosen for d in disguises(s.removeprefix(START).removesuffix(END), rng)]
     _, extra = landmarks([w for w in extra_words if w not in place or not clean[place[w]]])
+    toxic_words = {near[i] for i in np.flatnonzero(~clean)} | set(extra_words)
+    _, other = landmarks(sorted({w for s in chosen for w in lookalikes(s.removeprefix(START).removesuffix(END), rng)} - toxic_words))
     negative = np.flatnonzero(clean & (strong > 0.3))
     weights = None
     for _ in range(rounds):
@@ -373,9 +404,9 @@ def train(texts: list[str], toxic: np.ndarray, most: int = 40, rounds: int = 3,
             if len(able):
                 votes[able[rank[able] >= min(rank[able].max(), 0.9)]] += 1
         positive = np.flatnonzero(votes)
-        x = np.vstack([values[negative], values[positive], extra, np.zeros((1, values.shape[1]))]) @ landmarks.whiten
-        y = np.concatenate([-np.ones(len(negative)), np.ones(len(positive) + len(extra)), [-1]])
-        c = 100 * np.concatenate([np.full(len(negative), 3 / max(1, len(negative))), votes[positive] / max(1, votes.sum()), np.full(len(extra), 1 / max(1, len(extra))), [1.0]])
+        x = np.vstack([values[negative], values[positive], extra, other, np.zeros((1, values.shape[1]))]) @ landmarks.whiten
+        y = np.concatenate([-np.ones(len(negative)), np.ones(len(positive) + len(extra)), -np.ones(len(other)), [-1]])
+        c = 100 * np.concatenate([np.full(len(negative), 3 / max(1, len(negative))), votes[positive] / max(1, votes.sum()), np.full(len(extra), 4 / max(1, len(extra))), np.full(len(other), 2 / max(1, len(other))), [1.0]])
         weights = support_vector_machine(x, y, c)
     model = Model(landmarks, weights, 1.0, 0.0)
     decide = lambda v: v @ (landmarks.whiten @ weights[:-1]) + weights[-1]
@@ -398,7 +429,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1000, clean_ratio:
     # one row of each chosen id, so what the driver gets is bounded by the parameters
     rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(ids), "doc_id")
     rows = rows.groupBy("doc_id").agg(F.min_by(F.struct("text", "is_toxic"), F.xxhash64("text")).alias("row")).select("doc_id", "row.*").orderBy("doc_id").toArrow()
-    return train(rows.column("text").to_pylist(), rows.column("is_toxic").to_numpy().astype(np.int64))
+    model = train(rows.column("text").to_pylist(), rows.column("is_toxic").to_numpy().astype(np.int64))
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
