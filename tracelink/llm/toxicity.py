@@ -27,6 +27,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import random
 import re
 import zlib
@@ -430,6 +431,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1000, clean_ratio:
     rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(ids), "doc_id")
     rows = rows.groupBy("doc_id").agg(F.min_by(F.struct("text", "is_toxic"), F.xxhash64("text")).alias("row")).select("doc_id", "row.*").orderBy("doc_id").toArrow()
     model = train(rows.column("text").to_pylist(), rows.column("is_toxic").to_numpy().astype(np.int64))
+    del rows
+    gc.collect()
+    release()  # the driver lives on, with other stages after this one
     return model
 
 
