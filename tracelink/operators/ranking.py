@@ -55,7 +55,7 @@ def numbered(df: DataFrame, order: list[Column], key: str = "cluster_id") -> Dat
     rows = written(ranged, "ranges")
     sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return rows.join(before, "part").select(key, (F.col("before") + F.col("at") + 1).cast("int").alias("position"))
+    return rows.join(before, "part").select(key, (F.col("before") + F.col("at") + 1).alias("position"))
 
 
 def sample_members(members: DataFrame, n: int = 100) -> DataFrame:

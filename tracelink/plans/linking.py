@@ -244,17 +244,21 @@ def _half(spark, sf):
     return own.where(F.col("record_id") <= middle), own.where(F.col("record_id") > middle)
 
 
+def _most_frequent(own) -> str:
+    row = own.groupBy("value").count().orderBy(F.desc("count"), "value").first()
+    return row[0] if row else ""
+
+
 @query("i1_invalidate_value")
 def i1(spark, sf):
     own = idents(spark, sf)
-    value = own.groupBy("value").count().orderBy(F.desc("count"), "value").first()[0]
-    return u.invalidate_value(own, k.link_best_match(own), "part", value)[1]
+    return u.invalidate_value(own, k.link_best_match(own), "part", _most_frequent(own))[1]
 
 
 def _refreshed(spark, sf):
     """Details of customers, refreshed after the most frequent part has been taken out of all identifiers."""
     own, held = idents(spark, sf), members(spark, sf)
-    value = own.groupBy("value").count().orderBy(F.desc("count"), "value").first()[0]
+    value = _most_frequent(own)
     at = mt.Details(work_path(spark, "details"))
     known = records(spark, sf).select("record_id", "ts", F.col("region").alias("location"))
     mt.save_details(at, held, own, known)

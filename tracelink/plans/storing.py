@@ -62,7 +62,7 @@ def a6(spark, sf):
     counts = a.source_counts(records(spark, sf))
     s.save_result(counts, at, ["source"])
     s.save_result(counts.where("source = '1-URGENT'").withColumn("count", F.col("count") + 1000), at, ["source"])
-    return spark.read.parquet(at).select(F.col("source").cast("string"), "count")
+    return spark.read.schema("count long, source string").parquet(at).select("source", "count")
 
 
 @query("a7_publish_snapshot", "SELECT o_orderkey, o_orderdate AS mod_ts FROM orders")
@@ -72,7 +72,7 @@ def a7(spark, sf):
     s.publish_snapshot(spark, own.where("mod_ts < '1997-01-01'"), root, "orders")
     s.publish_snapshot(spark, own, root, "orders")
     s.publish_snapshot(spark, own.where("mod_ts < '1996-01-01'"), root, "orders")  # older: not published
-    return s.read_snapshot(spark, root, "orders")
+    return s.read_snapshot(spark, root, "orders") if s.active_version(spark, root, "orders") else own  # of no rows nothing is published
 
 
 @query("a8_clean_dimension", "SELECT CAST(p_partkey AS BIGINT) AS id, trim(p_name) AS name, CASE WHEN p_size % 3 = 0 THEN 0 ELSE p_size END AS size FROM part")
@@ -94,16 +94,18 @@ def a10(spark, sf):
     at = work_path(spark, "sets")
     u.save_cluster_set(members(spark, sf), at, "one", "p=1")
     u.save_cluster_set(records(spark, sf).where("status = 'F'").select("cluster_id", "record_id"), at, "two", "p=2")
-    sets = spark.read.parquet(at).select(F.col("set_id").cast("string"), F.lit("orders").alias("dataset"))
+    sets = spark.read.schema(u.SETS).parquet(at).select("set_id", F.lit("orders").alias("dataset"))
     return s.datasets_with_sets(spark, sf, ["orders", "customer"], sets)
 
 
 @query("c8_ensure_lexicon", "SELECT DISTINCT p_type AS keyword, p_brand AS class FROM part")
 def c8(spark, sf):
-    name = f"lexicon_{uuid.uuid4().hex}"
+    name, at = f"lexicon_{uuid.uuid4().hex}", work_path(spark, "lexicon")
     own = table(spark, sf, "part").select(F.col("p_type").alias("keyword"), F.col("p_brand").alias("class"))
-    s.ensure_lexicon(spark, name, own)
-    return s.ensure_lexicon(spark, name, own.limit(0))  # is there: stays as it is
+    s.ensure_lexicon(spark, name, own, at)
+    s.ensure_lexicon(spark, name, own.limit(0), at)  # is there: stays as it is
+    spark.sql(f"DROP TABLE {name}")  # its files are the work folder's
+    return spark.read.schema("keyword string, class string").parquet(at)
 
 
 @query("a11_profiles_to_json")
@@ -124,7 +126,7 @@ def i5(spark, sf):
 def _events_folder(spark, sf, parts: int = 3):
     """The events as files of a folder, one after the other in time, as a stream reads them."""
     at, own = work_path(spark, "events"), table(spark, sf, "events")
-    ends = own.agg(F.percentile_approx(F.col("ts").cast("timestamp").cast("double"), [(i + 1) / parts for i in range(parts)])).first()[0]
+    ends = own.agg(F.percentile_approx(F.col("ts").cast("timestamp").cast("double"), [(i + 1) / parts for i in range(parts)])).first()[0] or [None]
     seconds = F.col("ts").cast("timestamp").cast("double")
     for low, high in zip([None, *ends], [*ends[:-1], None], strict=False):
         now = own.where(F.lit(True) if low is None else seconds > low).where(F.lit(True) if high is None else seconds <= high)
@@ -145,7 +147,7 @@ def j2(spark, sf):
     """Three runs of the stream, each over the records that came since the one before."""
     at, out, state, held = (work_path(spark, n) for n in ("idents", "members", "stream-state", "held"))
     own = idents(spark, sf)
-    ends = own.agg(F.percentile_approx("record_id", [0.4, 0.7, 1.0])).first()[0]
+    ends = own.agg(F.percentile_approx("record_id", [0.4, 0.7, 1.0])).first()[0] or [0]
     for low, high in zip([None, *ends], ends, strict=False):
         own.where(F.col("record_id") <= high).where(F.lit(True) if low is None else F.col("record_id") > low).write.mode("append").parquet(at)
         v.link_stream(v.stream_table(spark, at, own.schema), out, held, state)

@@ -289,7 +289,7 @@ def f4(spark, sf):
     return r.movement_timeline(records(spark, sf)).select("place", "record_id", "step", "first_ts")
 
 
-@query("f5_order_profiles", sql("records", _FACET_SQL + ", t AS (SELECT cluster_id, CAST(sum(count) AS BIGINT) AS total, CAST(coalesce(sum(count) FILTER (value = 'none'), 0) AS BIGINT) AS none, max(count) FILTER (value <> 'none') AS largest FROM f WHERE facet = 'status' GROUP BY 1) SELECT cluster_id, CAST(row_number() OVER (ORDER BY cluster_id % 7 = 0 DESC, total - none DESC NULLS LAST, largest DESC NULLS LAST, cluster_id) AS INT) AS position FROM t"))
+@query("f5_order_profiles", sql("records", _FACET_SQL + ", t AS (SELECT cluster_id, CAST(sum(count) AS BIGINT) AS total, CAST(coalesce(sum(count) FILTER (value = 'none'), 0) AS BIGINT) AS none, max(count) FILTER (value <> 'none') AS largest FROM f WHERE facet = 'status' GROUP BY 1) SELECT cluster_id, CAST(row_number() OVER (ORDER BY cluster_id % 7 = 0 DESC, total - none DESC NULLS LAST, largest DESC NULLS LAST, cluster_id) AS BIGINT) AS position FROM t"))
 def f5(spark, sf):
     own = a.facet_totals(own_facets(spark, sf)).where("facet = 'status'").withColumn("selected", F.col("cluster_id") % 7 == 0)
     return r.numbered(own, r.profile_order(own))
@@ -305,7 +305,7 @@ def f7(spark, sf):
     return r.new_to_town(table(spark, sf, "events"), "user_id", "event_type", "ts", "event_id").select("event_id", "label")
 
 
-@query("f8_order_records", "SELECT page_id, CAST(row_number() OVER (ORDER BY n DESC, page_id) AS INT) AS position FROM (SELECT page_id, len(regexp_extract_all(html, 'href=\"')) AS n FROM pages)")
+@query("f8_order_records", "SELECT page_id, CAST(row_number() OVER (ORDER BY n DESC, page_id) AS BIGINT) AS position FROM (SELECT page_id, len(regexp_extract_all(html, 'href=\"')) AS n FROM pages)")
 def f8(spark, sf):
     own = table(spark, sf, "pages").select("page_id", F.regexp_extract_all("html", F.lit('(href=")'), F.lit(1)).alias("links"))
     return r.numbered(own, r.record_order(own, "links", True, "page_id"), "page_id")

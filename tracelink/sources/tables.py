@@ -174,10 +174,11 @@ def clean_dimension(raw: DataFrame, schema: T.StructType) -> DataFrame:
     return raw.select(*out)
 
 
-def ensure_lexicon(spark: SparkSession, table: str, rows: DataFrame) -> DataFrame:
-    """The lexicon table (keyword, class), seeded with the distinct ``rows`` if there is none. Rows without a keyword are left out."""
+def ensure_lexicon(spark: SparkSession, table: str, rows: DataFrame, path: str | None = None) -> DataFrame:
+    """The lexicon table (keyword, class), seeded with the distinct ``rows`` if there is none, in the warehouse or at a path. Rows without a keyword are left out."""
     if not spark.catalog.tableExists(table):
-        rows.select("keyword", "class").where("keyword IS NOT NULL").distinct().write.saveAsTable(table)
+        writer = rows.select("keyword", "class").where("keyword IS NOT NULL").distinct().write
+        (writer if path is None else writer.option("path", path)).saveAsTable(table)
     return spark.table(table)
 
 
