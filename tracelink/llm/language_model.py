@@ -36,9 +36,9 @@ APART = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 #: The end of a text as a word; no word holds white space.
 END = b"\n"
 #: Bytes of text in a chunk.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 #: Items of a bucket, about.
-BUCKET = 1_000_000
+BUCKET = 700_000
 CHUNKS = "chunk long, doc_id array<long>, train array<boolean>, fold array<boolean>, sizes array<int>, codes binary, words array<binary>, n binary, h binary"
 CODED = "chunk long, doc_id array<long>, train array<boolean>, fold array<boolean>, sizes array<int>, codes binary, ids binary, c binary, h binary"
 JOINED = "doc_id array<long>, train array<boolean>, fold array<boolean>, sizes array<int>, counts array<binary>, held array<binary>"
@@ -128,6 +128,7 @@ def chunks(docs: DataFrame, train: Column, fold: Column, at: str) -> DataFrame:
                 if size >= CHUNK:
                     yield chunk_row(*held)
                     held, size = ([], [], [], []), 0
+                    release()
         if held[0]:
             yield chunk_row(*held)
         release()
@@ -162,6 +163,7 @@ def word_answers(own: DataFrame, bits: int, at: str) -> DataFrame:
                 ends = pa.array(cut.astype(np.int32))
                 chunk = np.full(len(bucket), batch.column("chunk")[row].as_py(), np.int64)
                 yield pa.record_batch([pa.array(chunk), pa.array(bucket.astype(np.int32)), pa.ListArray.from_arrays(ends, found), *(pa.array([pack(x[a:b]) for a, b in zip(cut, cut[1:], strict=False)]) for x in (n, h))], names=["chunk", "bucket", "words", "n", "h"])
+                release()
 
     def add(group: pa.Table) -> pa.Table:
         lists = group.column("words").combine_chunks()
