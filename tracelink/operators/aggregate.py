@@ -1,5 +1,10 @@
 """Volumes, profiles and distributions. Counts are aggregated in long form, map-side first; maps are built
-only from ranked rows, so no row holds an unbounded map."""
+only from ranked rows, so no row holds an unbounded map.
+
+Unless a function says otherwise: null keys and places are a group of their own, null ids meet nothing in a join, rows without a value or time that a function ranks, bins or
+compares by are left out; repeated rows count as often as they stand (records of clusters and values once); ties go to the smaller value or id;
+an empty table gives no rows, or one row of nulls and zeros where the result is one row; other columns are ignored, whatever their names.
+"""
 
 from __future__ import annotations
 

@@ -1,5 +1,9 @@
 """Filters, searches and value cleaning. All predicates are column expressions, so they reach the scan; id
-lists are semi joins, never literal lists."""
+lists are semi joins, never literal lists.
+
+Unless a function says otherwise: a null meets no condition except as the empty text of a text comparison, and null ids match nothing; repeated rows stay, repeated ids of a list count once;
+rows keep their order and columns, also ones that are named like a function's own; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Graphs over clusters and values: components, rings, communities, indexes, place clusters."""
+"""Graphs over clusters and values: components, rings, communities, indexes, place clusters.
+
+Unless a function says otherwise: null nodes and values are in no link, repeated links and values count once, ties go to the smaller node, an empty table gives an
+empty result, and other columns are ignored.
+"""
 
 from __future__ import annotations
 

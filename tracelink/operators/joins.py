@@ -2,6 +2,9 @@
 
 Sides are joined by key and left to adaptive execution: what proves small at run time is broadcast, a hot
 key is split. Pairs within a group are formed only where the result is the pairs; ``max_freq`` bounds them.
+
+Unless a function says otherwise: null ids, keys and values match nothing; repeated rows of the wanted ids count once, those of a table that is looked up stay rows; ties go to the
+smaller id; an empty side gives an empty result (or the left rows with nulls, where a function keeps them); columns that are not named are ignored.
 """
 
 from __future__ import annotations

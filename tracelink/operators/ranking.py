@@ -1,4 +1,8 @@
-"""Rankings, orders, limits and set operations."""
+"""Rankings, orders, limits and set operations.
+
+Unless a function says otherwise: nulls come last in an order, in set operations a null equals a null, repeated rows are ranked each, ties go to the smaller
+id, an empty table gives an empty result, and other columns are kept by filters and orders and ignored by the rest.
+"""
 
 from __future__ import annotations
 

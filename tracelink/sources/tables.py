@@ -1,4 +1,5 @@
-"""Readers, sinks, published snapshots and listings."""
+"""Readers, sinks, published snapshots and listings. Rows are written as they are, nulls and repeated ones too; an empty table is written and
+read as one, but not published."""
 
 from __future__ import annotations
 
