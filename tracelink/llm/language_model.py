@@ -353,6 +353,8 @@ def learn(joined: DataFrame, order: int, types: int, tokens: int, held: int, doc
                     f, buckets = shares(left, contexts(left, sizes, tokens - held, documents - held_documents))
                     flat = b"".join(x[fold].astype(t).tobytes() for xs, t in ((f, np.float32), (buckets, np.uint8)) for x in xs)
                     yield pa.record_batch([pa.array([flat])], names=["data"])
+                    del c, h, left, f, buckets, flat
+                release()
 
     own = written(joined.select("sizes", "fold", "counts", "held").mapInArrow(estimates, "data binary"), "lm-fold")
 
@@ -364,6 +366,7 @@ def learn(joined: DataFrame, order: int, types: int, tokens: int, held: int, doc
                 f = np.frombuffer(data, np.float32, n * order).reshape(order, n).astype(np.float64)
                 buckets = np.frombuffer(data, np.uint8, offset=4 * n * order).reshape(order, n)
                 total += expected(list(f), list(buckets), weights, even)
+        release()
         some = np.flatnonzero(total.ravel())
         yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(total.ravel()[some])], names=["at", "n"])
 
