@@ -74,18 +74,38 @@ def _two(spark, sf):
     return part.unionByName(line).distinct()
 
 
-@query("h2_link_by_seed")
+def _seeded(rows: str, rounds: int = 14) -> str:
+    """CTEs up to ``seeded`` (cluster_id, record_id) of the seed rule over ``rows`` (record_id, place, key), in a fixed number of rounds that is more than the given
+    tables need: the smallest undecided record of all its keys is a seed, and who shares a key with a seed is decided."""
+    out = [f"k AS MATERIALIZED (SELECT DISTINCT * FROM ({rows}))", "u0 AS MATERIALIZED (SELECT * FROM k WHERE key IN (SELECT key FROM k GROUP BY 1 HAVING count(*) > 1))"]
+    for n in range(rounds):
+        out.append(f"s{n} AS MATERIALIZED (SELECT record_id FROM u{n} JOIN (SELECT key, min(record_id) AS least FROM u{n} GROUP BY 1) USING (key) GROUP BY 1 HAVING min(least) = record_id)")
+        out.append(f"d{n} AS MATERIALIZED (SELECT DISTINCT record_id FROM u{n} WHERE key IN (SELECT key FROM u{n} JOIN s{n} USING (record_id)))")
+        out.append(f"u{n + 1} AS MATERIALIZED (SELECT * FROM u{n} WHERE record_id NOT IN (SELECT record_id FROM d{n}))")
+    seeds = " UNION ALL ".join(f"SELECT record_id FROM s{n}" for n in range(rounds))
+    out.append(f"held AS MATERIALIZED (SELECT key, record_id AS seed FROM u0 WHERE record_id IN ({seeds}))")
+    out.append("joined AS (SELECT record_id, arg_min(seed, (place, key)) AS seed FROM u0 JOIN held USING (key) WHERE seed < record_id GROUP BY 1)")
+    return ", ".join(out) + ", seeded AS (SELECT coalesce(seed, record_id) AS cluster_id, record_id FROM (SELECT DISTINCT record_id FROM k) LEFT JOIN joined USING (record_id))"
+
+
+_TWO = "SELECT l_orderkey AS record_id, 0 AS place, lpad(CAST(l_partkey AS VARCHAR), 6, '0') AS key FROM lineitem UNION SELECT l_orderkey, 1, concat_ws('-', l_suppkey, l_linenumber, strftime(l_shipdate, '%Y%m')) FROM lineitem"
+
+
+@query("h2_link_by_seed", f"WITH {_seeded(_TWO)} SELECT cluster_id, record_id FROM seeded")
 def h2(spark, sf):
     return k.link_by_seed(_two(spark, sf), ["part", "line"])
 
 
-@query("h3_link_by_seed_with_key")
+@query("h3_link_by_seed_with_key", sql("records", f", {_seeded(f'SELECT record_id, place, concat_ws(chr(124), key, region) AS key FROM ({_TWO}) JOIN records USING (record_id)')} SELECT cluster_id, record_id FROM seeded"))
 def h3(spark, sf):
     keyed = _two(spark, sf).join(records(spark, sf).select("record_id", "region"), "record_id")
     return k.link_by_seed(keyed, ["part", "line"], 3, key="region")
 
 
-@query("h4_link_primary_secondary")
+_GROUPS = "g AS MATERIALIZED (SELECT cluster_id, min(record_id) AS first FROM members JOIN idents USING (record_id) GROUP BY 1), r AS MATERIALIZED (SELECT record_id, first, value FROM idents JOIN members USING (record_id) JOIN g USING (cluster_id))"
+
+
+@query("h4_link_primary_secondary", sql("members idents", f", {_GROUPS}, {_seeded('SELECT first AS record_id, 0 AS place, value AS key FROM r')} SELECT coalesce(s.cluster_id, first) AS cluster_id, record_id FROM (SELECT DISTINCT record_id, first FROM r) LEFT JOIN (SELECT cluster_id, record_id AS first FROM seeded) s USING (first)"))
 def h4(spark, sf):
     own = idents(spark, sf).join(members(spark, sf), "record_id").select("record_id", "cluster_id", "value")
     return k.link_primary_secondary(own, "cluster_id", "value")
