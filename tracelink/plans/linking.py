@@ -96,7 +96,7 @@ def h2(spark, sf):
     return k.link_by_seed(_two(spark, sf), ["part", "line"])
 
 
-@query("h3_link_by_seed_with_key", sql("records", f", {_seeded(f'SELECT record_id, place, concat_ws(chr(124), key, region) AS key FROM ({_TWO}) JOIN records USING (record_id)')} SELECT cluster_id, record_id FROM seeded"))
+@query("h3_link_by_seed_with_key", sql("records", f", {_seeded(f'SELECT t.record_id, t.place, concat_ws(chr(124), t.key, region) AS key FROM ({_TWO}) t JOIN records r ON r.record_id = t.record_id')} SELECT cluster_id, record_id FROM seeded"))
 def h3(spark, sf):
     keyed = _two(spark, sf).join(records(spark, sf).select("record_id", "region"), "record_id")
     return k.link_by_seed(keyed, ["part", "line"], 3, key="region")
