@@ -66,3 +66,14 @@ def test_weighted_links_compare_classes(spark, monkeypatch):
         assert {r.record_id: r.cluster_id for r in got} == want and len(got) == len(want)
     assert min(seen) <= 2 * 2 * 5 + 150 - sum(r[1] is not None and r[2] is not None for r in rows) + 1  # classes, and rows with an unknown value
     assert k.link_weighted(df.limit(0), ["block"], features).count() == 0
+
+
+def test_few_chunks_are_one_pass(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(i, "a", str(rng.randrange(25))) for i in range(60) for _ in range(2)]
+    own = spark.createDataFrame(rows, "record_id long, attribute string, value string")
+    want = sorted(map(tuple, k.link_best_match(own).collect()))
+    steps, cut = [], k._by_steps
+    monkeypatch.setattr(k, "_by_steps", lambda *a: (steps.append(1), cut(*a))[1])
+    assert sorted(map(tuple, k.link_best_match(own, chunk_rows=40).collect())) == want and not steps
+    assert sorted(map(tuple, k.link_best_match(own, chunk_rows=9).collect())) == want and steps
