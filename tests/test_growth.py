@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tracelink.operators import graph as g
 from tracelink.operators import joins as j
 from tracelink.operators import linkage as k
+from tracelink.operators import maintained as m
 
 
 def shuffled(spark, run):
@@ -77,3 +78,19 @@ def test_few_chunks_are_one_pass(spark, monkeypatch):
     monkeypatch.setattr(k, "_by_steps", lambda *a: (steps.append(1), cut(*a))[1])
     assert sorted(map(tuple, k.link_best_match(own, chunk_rows=40).collect())) == want and not steps
     assert sorted(map(tuple, k.link_best_match(own, chunk_rows=9).collect())) == want and steps
+
+
+def _values(spark):
+    rng = random.Random(3)
+    return spark.createDataFrame([(n, "a", f"v{v}") for v in range(100) for n in rng.sample(range(800), 40)], "node long, attribute string, value string")
+
+
+def test_votes_shuffle_lists_not_pairs(spark):
+    values = _values(spark)
+    assert shuffled(spark, lambda: g.communities_by_values(values, 1).collect()) < 50_000  # before: a row for each pair
+
+
+def test_links_shuffle_lists_not_pairs(spark):
+    values = _values(spark)
+    members, own = values.select(F.col("node").alias("cluster_id"), F.col("node").alias("record_id")).distinct(), values.withColumnRenamed("node", "record_id")
+    assert shuffled(spark, lambda: m.links_of(members, own).collect()) < 50_000  # before: a row for each pair
