@@ -99,7 +99,7 @@ def test_links_shuffle_lists_not_pairs(spark):
 def test_fingerprints_are_compared_in_blocks(spark, monkeypatch):
     rng = random.Random(11)
     rows = [(i, [rng.randrange(-40, 40) for _ in range(6 if i % 3 else 5)]) for i in rng.sample(range(900), 300)]
-    rows += [(900, [2**31 - 1] * 6), (901, [-(2**31)] * 6), (902, [2**31 - 9] * 6), (903, [1, None, 3, 4, 5, 6]), (904, []), (905, None)]
+    rows += [(900, [2**31 - 1] * 6), (901, [-(2**31)] * 6), (902, [2**31 - 9] * 6), (903, [1, None, 3, 4, 5, 6]), (904, []), (905, None), (906, [2**31 - 1, -(2**31), 0, 0, 0, 0]), (907, [-(2**31), 2**31 - 1, 0, 0, 0, 0])]
     bins, want = [], {}
     for i, h in sorted(rows, key=lambda r: r[0]):
         if h is None:
@@ -109,6 +109,6 @@ def test_fingerprints_are_compared_in_blocks(spark, monkeypatch):
         bins += [] if near else [(i, h)]
     monkeypatch.setattr(k, "BLOCK_ROWS", 16, raising=False)
     monkeypatch.setattr(k, "STEP", 50, raising=False)
-    got = k.bin_fingerprints(spark.createDataFrame(rows, "item_id long, hash array<int>"), 70).collect()  # before: sums overflow, pairs meet row by row
+    got = k.bin_fingerprints(spark.createDataFrame(rows, "item_id long, hash array<int>"), 70).collect()  # before: differences overflow
     assert {r.item_id: r.bin for r in got} == want and len(got) == len(want)
     assert len(set(want.values())) < len(want) - 50
