@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from tracelink import session
 from tracelink.operators import graph as g
 from tracelink.operators import joins as j
 from tracelink.operators import linkage as k
@@ -112,3 +113,19 @@ def test_fingerprints_are_compared_in_blocks(spark, monkeypatch):
     got = k.bin_fingerprints(spark.createDataFrame(rows, "item_id long, hash array<int>"), 70).collect()  # before: differences overflow
     assert {r.item_id: r.bin for r in got} == want and len(got) == len(want)
     assert len(set(want.values())) < len(want) - 50
+
+
+def test_tasks_grow_with_rows(spark, monkeypatch):
+    monkeypatch.setattr(session, "TASK_ROWS", 100, raising=False)
+    values = _values(spark)  # 4,000 rows
+    members = values.select(F.col("node").alias("cluster_id"), F.col("node").alias("record_id")).distinct()
+    own = values.withColumnRenamed("node", "record_id")
+    assert g.cluster_values(members, own).rdd.getNumPartitions() >= 40  # before: the session's partitions, whatever the rows
+    once = j.attribute_links(own, directed=False)
+    assert once.rdd.getNumPartitions() >= 80
+    want = {}
+    for r in own.groupBy("record_id").agg(F.sort_array(F.collect_list("value")).alias("vs")).collect():
+        for i, x in enumerate(r.vs):
+            for y in r.vs[i + 1 :]:
+                want[x, y] = want.get((x, y), 0) + 1
+    assert {(r.val1, r.val2): r["count"] for r in once.collect()} == want
