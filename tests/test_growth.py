@@ -129,3 +129,22 @@ def test_tasks_grow_with_rows(spark, monkeypatch):
             for y in r.vs[i + 1 :]:
                 want[x, y] = want.get((x, y), 0) + 1
     assert {(r.val1, r.val2): r["count"] for r in once.collect()} == want
+
+
+def test_kmeans_compiles_and_groups_once(spark):
+    rng = random.Random(9)
+    points = [(rng.choice([0, 10, 40]) + rng.random(), rng.choice([0, 30]) + rng.random(), rng.randrange(1, 4)) for _ in range(300)]
+    df = spark.createDataFrame([*points, (None, 1.0, 2), (1.0, None, 2)], "lat double, lon double, count long")
+    runs = spark.sparkContext.accumulator(0)
+
+    def tell(batches):
+        for batch in batches:
+            runs.add(batch.num_rows)
+            yield batch
+
+    got = g.geo_kmeans(df.mapInArrow(tell, df.schema), 9, 50).collect()
+    assert runs.value == 302  # before: all points again in each round
+    assert sum(r["count"] for r in got) == sum(p[2] for p in points)
+    for r in got:  # a centre is the mean of the points that are nearest to it
+        own = [p for p in points if min(got, key=lambda c: (c.lat - p[0]) ** 2 + (c.lon - p[1]) ** 2) == r]
+        assert abs(sum(p[0] * p[2] for p in own) / sum(p[2] for p in own) - r.lat) < 1e-6
