@@ -131,6 +131,14 @@ def test_tasks_grow_with_rows(spark, monkeypatch):
     assert {(r.val1, r.val2): r["count"] for r in once.collect()} == want
 
 
+def test_forests_hold_a_bounded_part(spark):
+    rng = random.Random(5)
+    edges = spark.createDataFrame([(rng.randrange(2_000), rng.randrange(2_000)) for _ in range(3_000)], "u long, v long").coalesce(1)
+    plain = {r.node: r.component for r in g.connected_components(edges, "u", "v").collect()}
+    parts = g.local_forests(edges, most=100)
+    assert {r.node: r.component for r in g.connected_components(parts, "u", "v").collect()} == plain
+
+
 def test_kmeans_compiles_and_groups_once(spark):
     rng = random.Random(9)
     points = [(rng.choice([0, 10, 40]) + rng.random(), rng.choice([0, 30]) + rng.random(), rng.randrange(1, 4)) for _ in range(300)]
