@@ -1,5 +1,6 @@
 """What queries shuffle and compare grows with their rows, and results stay those of the plain rule."""
 
+import os
 import random
 
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from tracelink.operators import graph as g
 from tracelink.operators import joins as j
 from tracelink.operators import linkage as k
 from tracelink.operators import maintained as m
+from tracelink.sources import tables as t
 
 
 def shuffled(spark, run):
@@ -156,3 +158,20 @@ def test_kmeans_compiles_and_groups_once(spark):
     for r in got:  # a centre is the mean of the points that are nearest to it
         own = [p for p in points if min(got, key=lambda c: (c.lat - p[0]) ** 2 + (c.lon - p[1]) ** 2) == r]
         assert abs(sum(p[0] * p[2] for p in own) / sum(p[2] for p in own) - r.lat) < 1e-6
+
+
+def test_pictures_share_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(t, "SHEET_BYTES", 5_000)
+    rng = random.Random(4)
+    texts = {f"key {i}" + "x" * (60 * (i % 7 == 0)): rng.randbytes(rng.randrange(1, 400)) for i in range(200)} | {"large": rng.randbytes(20_000)}
+    rows = [*texts.items(), ("key 1", texts["key 1"]), (None, b"a"), ("none", None), ("empty", b"")]
+    df = spark.createDataFrame(rows, "key string, data binary").repartition(3)
+    assert t.render_sheets(df, "key", "data", f"file://{tmp_path}/sheets") == len(texts) + 1
+    assert len([n for n in os.listdir(tmp_path / "sheets") if n.endswith(".bmp")]) <= 30  # before: a file for each row
+    want = {}
+    for key, data in texts.items():
+        data += bytes(-len(data) % 48)
+        bins = [data[i] // 64 * 16 + data[i + 1] // 64 * 4 + data[i + 2] // 64 for i in range(0, len(data), 3)]
+        want[key] = bytes(min(255, bins.count(b) * 64 // len(bins)) for b in range(64)).hex()
+    got = k.sheet_histogram(spark, f"file://{tmp_path}/sheets").collect()
+    assert {r.key: r.hash for r in got} == want and len(got) == len(want)

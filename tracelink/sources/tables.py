@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -137,22 +138,41 @@ def read_snapshot(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{active['at']}")
 
 
-def render_images(df: DataFrame, key: str, column: str, path: str, width: int = 16) -> int:
-    """Write each row's bytes as a colour image (BMP, three bytes to a pixel, rows of ``width`` pixels filled up with 0) named by its key, in tasks; returns
-    how many. Rows with a null key or null or empty bytes are left out; of repeated keys one image stays."""
+#: Bytes of pixels that an image sheet is closed at.
+SHEET_BYTES = 1 << 20
+
+
+def render_sheets(df: DataFrame, key: str, column: str, path: str, width: int = 16) -> int:
+    """Write each row's bytes as a colour picture (three bytes to a pixel, rows of ``width`` pixels filled up with 0), pictures of a task one below another in
+    image files (BMP) of about ``SHEET_BYTES``, so files grow with bytes, not with rows; returns how many pictures. Above each picture stand pixel rows
+    that say its rows (8 bytes) and its key (2 bytes of length, text). Rows with a null key or null or empty bytes are left out."""
+    filled = lambda data: data + bytes(-len(data) % (3 * width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, to = fs.FileSystem.from_uri(path)
         store.create_dir(to, recursive=True)
+        part, sheets, held = TaskContext.get().partitionId(), 0, bytearray()
+
+        def close() -> None:
+            nonlocal sheets
+            pixels = np.frombuffer(held, np.uint8).reshape(-1, width, 3)[::-1, :, ::-1]  # BMP: from the bottom, blue first
+            rows = np.zeros((len(pixels), -(-3 * width // 4) * 4), np.uint8)
+            rows[:, : 3 * width] = pixels.reshape(len(pixels), -1)
+            head = struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 54 + rows.size, 0, 0, 54, 40, width, len(rows), 1, 24, 0, rows.size, 2835, 2835, 0, 0)
+            with store.open_output_stream(f"{to}/{part}-{sheets}.bmp") as out:
+                out.write(head + rows.tobytes())
+            sheets += 1
+
         for batch in batches:
             for name, data in zip(batch.column("key").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                pixels = np.frombuffer(data + bytes(-len(data) % (3 * width)), np.uint8).reshape(-1, width, 3)[::-1, :, ::-1]  # BMP: from the bottom, blue first
-                rows = np.zeros((len(pixels), -(-3 * width // 4) * 4), np.uint8)
-                rows[:, : 3 * width] = pixels.reshape(len(pixels), -1)
-                head = struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 54 + rows.size, 0, 0, 54, 40, width, len(rows), 1, 24, 0, rows.size, 2835, 2835, 0, 0)
-                with store.open_output_stream(f"{to}/{name}.bmp") as out:
-                    out.write(head + rows.tobytes())
+                label, picture = name.encode(), filled(data)
+                held += filled(struct.pack("<QH", len(picture) // (3 * width), len(label)) + label) + picture
+                if len(held) >= SHEET_BYTES:
+                    close()
+                    held = bytearray()
             yield pa.record_batch([pa.array([batch.num_rows])], names=["n"])
+        if held:
+            close()
 
     own = df.select(F.col(key).cast("string").alias("key"), F.col(column).cast("binary").alias("data")).where("key IS NOT NULL AND length(data) > 0")
     return own.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
