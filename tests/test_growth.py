@@ -177,6 +177,25 @@ def test_pictures_share_files(spark, tmp_path, monkeypatch):
     assert {r.key: r.hash for r in got} == want and len(got) == len(want)
 
 
+def _told_rows(df, runs):
+    """``df`` that adds each row to an accumulator as often as it is read."""
+
+    def tell(batches):
+        for batch in batches:
+            runs.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(tell, df.schema)
+
+
+def test_groups_read_rows_once(spark):
+    rng = random.Random(6)
+    rows = [(i % 90, rng.choice(["A", "b", "c", None]), rng.choice(["x", "y", "z", None])) for i in range(200)]
+    runs = spark.sparkContext.accumulator(0)
+    k.link_primary_secondary(_told_rows(spark.createDataFrame(rows, "record_id long, p string, s string"), runs), "p", "s").collect()
+    assert runs.value == 200  # before: twice for the groups and twice for their rows
+
+
 def test_seed_rounds_shuffle_numbers(spark, monkeypatch):
     rng = random.Random(8)
     rows = [(r, "a", f"{rng.randrange(300):0200}") for r in range(3_000) for _ in range(3)]
