@@ -210,3 +210,20 @@ def test_seed_rounds_shuffle_numbers(spark, monkeypatch):
     got = k.link_by_seed(spark.createDataFrame(rows, "record_id long, attribute string, value string").repartition(5), ["a"], chunk_rows=200).collect()
     assert {r.record_id: r.cluster_id for r in got} == want and len(got) == len(want)
     assert seen == [{"record_id": "bigint", "value": "bigint"}]  # before: attributes and values as texts in every round
+
+
+def test_rings_compute_values_once(spark):
+    rng = random.Random(12)
+    rows = [(rng.randrange(150), "a", str(rng.randrange(120))) for _ in range(300)]
+    own = {}
+    for n, _, v in rows:
+        own.setdefault(v, set()).add(n)
+    want, new = {1: 0, 2: 0}, {1, 2}
+    for ring in (1, 2, 3):
+        new = {n for held in own.values() if held & new for n in held} - set(want)
+        want |= dict.fromkeys(new, ring)
+    runs = spark.sparkContext.accumulator(0)
+    values = _told_rows(spark.createDataFrame(rows, "cluster_id long, attribute string, value string"), runs)
+    got = g.expand_rings_by_values(spark.createDataFrame([(1,), (2,)], "node long"), values, 4).collect()
+    assert {r.node: r.ring for r in got} == want and len(got) == len(want)
+    assert runs.value == 300  # before: twice in each ring
