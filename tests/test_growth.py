@@ -10,6 +10,7 @@ from tracelink.operators import graph as g
 from tracelink.operators import joins as j
 from tracelink.operators import linkage as k
 from tracelink.operators import maintained as m
+from tracelink.plans import storing
 from tracelink.sources import tables as t
 
 
@@ -227,3 +228,18 @@ def test_rings_compute_values_once(spark):
     got = g.expand_rings_by_values(spark.createDataFrame([(1,), (2,)], "node long"), values, 4).collect()
     assert {r.node: r.ring for r in got} == want and len(got) == len(want)
     assert runs.value == 300  # before: twice in each ring
+
+
+def test_stream_parts_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    rng = random.Random(13)
+    rows = [(i, f"2024-01-{1 + i // 40:02} 10:{rng.randrange(60):02}:00", i % 17, rng.choice("abc")) for i in range(1_000)]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string").withColumn("ts", F.to_timestamp("ts"))
+    events.repartition(6).write.option("maxRecordsPerFile", 200).parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(storing, "work_path", lambda _, name: f"{tmp_path}/{name}")
+    seen, want = set(), {}
+    for i, _, user, town in sorted(rows, key=lambda r: (r[1], r[0])):
+        want[i] = "new to data" if user not in seen else "new to town" if (user, town) not in seen else "local"
+        seen |= {user, (user, town)}
+    got = storing.QUERIES["j3_stream_labels"](spark, str(tmp_path)).collect()
+    assert {r.event_id: r.label for r in got} == want and len(got) == len(want)
+    assert len([n for n in os.listdir(tmp_path / "events") if n.endswith(".parquet")]) > 3  # before: a part is one task's file

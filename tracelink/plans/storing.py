@@ -124,21 +124,21 @@ def i5(spark, sf):
 
 
 def _events_folder(spark, sf, parts: int = 3):
-    """The events as files of a folder, one after the other in time, as a stream reads them."""
+    """The events as files of a folder, as a stream reads them: (path, schema) each time that files came, one part after the other in time, each written by as many tasks as read it."""
     at, own = work_path(spark, "events"), table(spark, sf, "events")
     ends = own.agg(F.percentile_approx(F.col("ts").cast("timestamp").cast("double"), [(i + 1) / parts for i in range(parts)])).first()[0] or [None]
     seconds = F.col("ts").cast("timestamp").cast("double")
     for low, high in zip([None, *ends], [*ends[:-1], None], strict=False):
         now = own.where(F.lit(True) if low is None else seconds > low).where(F.lit(True) if high is None else seconds <= high)
-        now.coalesce(1).write.mode("append").parquet(at)
-    return at, own.schema
+        now.write.mode("append").parquet(at)
+        yield at, own.schema
 
 
 @query("j1_stream_daily_volume", "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS count FROM events GROUP BY 1, 2")
 def j1(spark, sf):
-    at, schema = _events_folder(spark, sf)
-    out = work_path(spark, "stream-out")
-    v.run_available(v.windowed_volume(v.stream_table(spark, at, schema, 1), "ts", ["event_type"], "2 days"), out, work_path(spark, "stream-state"))
+    out, state = work_path(spark, "stream-out"), work_path(spark, "stream-state")
+    for at, schema in _events_folder(spark, sf):  # a batch each
+        v.run_available(v.windowed_volume(v.stream_table(spark, at, schema), "ts", ["event_type"], "2 days"), out, state)
     return v.read_latest(spark, out, ["day", "event_type"])
 
 
@@ -156,7 +156,7 @@ def j2(spark, sf):
 
 @query("j3_stream_first_sights", "SELECT DISTINCT user_id, event_type FROM events")
 def j3(spark, sf):
-    at, schema = _events_folder(spark, sf)
+    *_, (at, schema) = _events_folder(spark, sf)
     out = work_path(spark, "stream-out")
     v.run_available(v.first_sights(v.stream_table(spark, at, schema), ["user_id", "event_type"], "ts", "60 days"), out, work_path(spark, "stream-state"), "append")
     return spark.read.parquet(out).select("user_id", "event_type").distinct()
@@ -164,8 +164,7 @@ def j3(spark, sf):
 
 @query("j3_stream_labels", "WITH e AS (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS a, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS b FROM events) SELECT event_id, CASE WHEN a = 1 THEN 'new to data' WHEN b = 1 THEN 'new to town' ELSE 'local' END AS label FROM e")
 def j3b(spark, sf):
-    at, schema = _events_folder(spark, sf)
-    out = work_path(spark, "stream-out")
-    marked = v.labels(v.stream_table(spark, at, schema, 1), "user_id", "event_type", "ts", "event_id", forget="40000 days")
-    v.run_available(marked, out, work_path(spark, "stream-state"), "append")
+    out, state = work_path(spark, "stream-out"), work_path(spark, "stream-state")
+    for at, schema in _events_folder(spark, sf):  # a batch each
+        v.run_available(v.labels(v.stream_table(spark, at, schema), "user_id", "event_type", "ts", "event_id", forget="40000 days"), out, state, "append")
     return spark.read.parquet(out).select("event_id", "label")

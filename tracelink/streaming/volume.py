@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,8 +62,7 @@ def labels(stream: DataFrame, entity: str, place: str, ts: str, key: str, late:
     last row, and so is a place of it, which ends the state of both; rows later than ``late``, or without an entity or time, are left out."""
     life = pd.Timedelta(forget)
     kinds = dict(stream.dtypes)
-    rows = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).where(F.col(entity).isNotNull() & F.col(ts).isNotNull()).select(F.col(entity).alias("entity"), F.col(place).cast("string").alias("place"), F.col(ts).alias("ts"), F.col(key).alias(key))
-    millis = lambda t: int(pd.Timestamp(t).value // 1_000_000)
+    rows = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).where(F.col(entity).isNotNull() & F.col(ts).isNotNull()).select(F.col(entity).alias("entity"), F.col(place).cast("string").alias("place"), F.col(ts).alias("ts"), F.unix_micros(ts).alias("at"), F.col(key).alias(key))
     span = int(life.total_seconds() * 1000)
 
     def mark(who: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -71,10 +71,12 @@ def labels(stream: DataFrame, entity: str, place: str, ts: str, key: str, late:
             return
         last, names, times = state.get if state.exists else (None, [], [])
         seen = dict(zip(names, times, strict=True))
-        own = pd.concat(list(parts)).sort_values(["ts", key], kind="stable")  # of one entity in one batch
+        parts = list(parts)
+        own = parts[0] if len(parts) == 1 else pd.concat(parts)  # of one entity in one batch
+        ids, at, places = (own[c].to_numpy() for c in (key, "at", "place"))
+        order = own.reset_index(drop=True).sort_values(["at", key], kind="stable").index if ids.dtype == object else np.lexsort((ids, at))
         out = []
-        for at, where in zip(own["ts"], own["place"], strict=True):
-            now = millis(at)
+        for now, where in zip((at[order] // 1000).tolist(), places[order].tolist(), strict=True):
             if last is None or now - last > span:
                 out.append("new to data")
                 seen = {}
@@ -84,7 +86,7 @@ def labels(stream: DataFrame, entity: str, place: str, ts: str, key: str, late:
         seen = {p: t for p, t in seen.items() if last - t <= span}
         state.update((last, list(seen), list(seen.values())))
         state.setTimeoutTimestamp(max(last + span, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({key: own[key].to_numpy(), "label": out})
+        yield pd.DataFrame({key: ids[order], "label": out})
 
     return rows.groupBy("entity").applyInPandasWithState(mark, f"{key} {kinds[key]}, label string", "last long, places array<string>, times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
