@@ -11,8 +11,9 @@ from tracelink.operators import graph as g
 from tracelink.operators import joins as j
 from tracelink.operators import linkage as k
 from tracelink.operators import maintained as m
-from tracelink.plans import storing
+from tracelink.plans import linking, storing
 from tracelink.sources import tables as t
+from tracelink.streaming import volume as stream
 
 
 def shuffled(spark, run):
@@ -345,3 +346,26 @@ def test_scores_compare_classes(spark, monkeypatch):
             assert a.keys() == b.keys() and all(abs(a[x] - b[x]) < 2e-6 for x in a)
     assert seen[-1] <= 3 * 3 * 5 and len({s for s in a.values()}) > 1  # before: a row of each record
     assert k.score_weighted(df.limit(0), members, ["block"], features)[0].where("score <> 1").count() == 0
+
+
+def test_updates_and_streams_compute_identifiers_once(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, "part", str(v)) for i in range(60) for v in {rng.randrange(30) for _ in range(2)}]
+    own = spark.createDataFrame(rows, "record_id long, attribute string, value string")
+    want = sorted(map(tuple, k.link_best_match(own).collect()))
+    for plan, query in ((linking, linking.i1), (linking, linking.i2), (storing, storing.j2)):
+        runs = spark.sparkContext.accumulator(0)
+        monkeypatch.setattr(plan, "idents", lambda *_, runs=runs: _told_rows(own, runs))
+        got = sorted(map(tuple, query(spark, "").collect()))
+        assert runs.value == len(rows)  # before: for each of its uses
+        assert got == want or query is linking.i1
+
+
+def test_a_stream_adds_up_what_its_batches_hold(spark, tmp_path):
+    """Three batches: cluster 10 has x of two batches, together more than cluster 1 has y."""
+    at, out, state, held = (f"{tmp_path}/{n}" for n in ("rows", "members", "state", "held"))
+    schema = "record_id long, attribute string, value string"
+    for rows in ([(1, "y"), (2, "y"), (10, "x"), (11, "x")], [(20, "x")], [(30, "x"), (30, "y")]):
+        spark.createDataFrame([(r, "a", v) for r, v in rows], schema).coalesce(1).write.mode("append").parquet(at)
+        stream.link_stream(stream.stream_table(spark, at, schema), out, held, state)
+    assert {r.record_id: r.cluster_id for r in stream.read_members(spark, out).collect()} == {1: 1, 2: 1, 10: 10, 11: 10, 20: 10, 30: 10}  # before: 30 in 1

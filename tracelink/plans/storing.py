@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from tracelink.operators import aggregate as a
 from tracelink.operators import updates as u
 from tracelink.plans.roles import idents, members, records, sql, table
-from tracelink.session import work_path
+from tracelink.session import work_path, written
 from tracelink.sources import tables as s
 from tracelink.streaming import volume as v
 
@@ -146,7 +146,7 @@ def j1(spark, sf):
 def j2(spark, sf):
     """Three runs of the stream, each over the records that came since the one before."""
     at, out, state, held = (work_path(spark, n) for n in ("idents", "members", "stream-state", "held"))
-    own = idents(spark, sf)
+    own = written(idents(spark, sf), "identifiers")
     ends = own.agg(F.percentile_approx("record_id", [0.4, 0.7, 1.0])).first()[0] or [0]
     for low, high in zip([None, *ends], ends, strict=False):
         own.where(F.col("record_id") <= high).where(F.lit(True) if low is None else F.col("record_id") > low).write.mode("append").parquet(at)
